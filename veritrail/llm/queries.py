@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, quality, urls, wordpieces
+from . import fingerprints, jaccard, language, licenses, lm, packing, quality, urls, wordpieces
 from .common import crc_mod, table
 
 #: The URL rules.
@@ -31,10 +31,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def byte_encoder():
+    """Made on each executor; the vocabulary's path is looked up there."""
+    import public_tokenizers as public
+
+    return packing.byte_level_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.crc32_of(packing.pack(table(spark, sf_dir, "documents"), byte_encoder))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", crc_mod("doc_id", 10) != 0)
+    scored = lm.score(docs, "train")
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -49,5 +66,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_url_filter, op4_quality, op6_licenses, op8_language, op9_token_counts)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), 85, 100, 4)
+
+
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_url_filter, op4_quality, op5_packing, op6_licenses, op7_language_model, op8_language, op9_token_counts, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
