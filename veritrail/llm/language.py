@@ -161,3 +161,19 @@ def identify(docs: DataFrame, model: Backoff, id_col: str = "doc_id", text_col:
 
     kind = dict(docs.dtypes)[id_col]
     return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def text_language(model: Backoff, spark):
+    """A column function from texts to (lang_pred, score), for filters."""
+    shared = spark.sparkContext.broadcast(model)  # tables of fixed size
+    held: list = []
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(texts):
+        import pandas as pd
+
+        if not held:
+            held.append(shared.value.predictor())
+        return pd.DataFrame([held[0](t) for t in texts], columns=["lang_pred", "score"])
+
+    return predicted

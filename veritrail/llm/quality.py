@@ -159,6 +159,19 @@ def calibrate(at: np.ndarray, counts: np.ndarray, steps: int = 50, ridge: float
     return float(w[0]), float(w[1])
 
 
+def text_score(model: Discriminant):
+    """A column function from texts to scores, for filters."""
+    kinds = byte_classes()
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        import pandas as pd
+
+        return pd.Series(model.scores(np.array([statistics(t, kinds) for t in texts], float).reshape(-1, len(STATISTICS))))
+
+    return scored
+
+
 def score(rows: DataFrame, model: Discriminant, stats_col: str = "stats") -> DataFrame:
     """The rows with a score column instead of their statistics."""
 
@@ -176,7 +189,12 @@ def classify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     The texts are read once; all later steps use the written vectors, a few dozen bytes a row.
     """
+    vectors, model = trained(docs, labelled, id_col, text_col, label_col)
+    return score(vectors, model)
+
+
+def trained(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[DataFrame, Discriminant]:
+    """The written (id, stats) vectors of all documents, and the model of those that are labelled."""
     vectors = written(features(docs, id_col, text_col), "quality")
     known = labelled.select(F.col(id_col).alias("_id"), label_col)
-    model = fit(vectors.join(known, vectors[id_col] == known["_id"]).select(label_col, "stats"), label_col)
-    return score(vectors, model)
+    return vectors, fit(vectors.join(known, vectors[id_col] == known["_id"]).select(label_col, "stats"), label_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, language, licenses, lm, packing, quality, urls, wordpieces
+from . import decontaminate, fingerprints, jaccard, language, licenses, lm, packing, quality, urls, wordpieces
 from .common import crc_mod, table
 
 #: The URL rules.
@@ -14,6 +14,10 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 QUALITY_THRESHOLD = 0.3
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = {"fingerprint": ("digest", "suffix"), "edited_fingerprint": ("edited_digest", "edited_suffix")}
@@ -70,5 +74,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), 85, 100, 4)
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_url_filter, op4_quality, op5_packing, op6_licenses, op7_language_model, op8_language, op9_token_counts, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_fingerprints, op3_url_filter, op4_quality, op5_packing, op6_licenses, op7_language_model, op8_language, op9_token_counts, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
