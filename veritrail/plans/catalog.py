@@ -1,4 +1,482 @@
 """All registered queries over the evidence model, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veritrail.functions import text
+from veritrail.operators import graph, judging, rules, stats
+from veritrail.session import table
+
+from .evidence import evidence, sql, with_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of sums doesn't show."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+# ---- rules, findings and their roll-ups ----
+
+
+def found(spark: SparkSession, sf_dir: str, pack: str | None = None) -> DataFrame:
+    classes = {n: evidence(spark, sf_dir, n) for n in ("results", "factors")}
+    return rules.evaluate(evidence(spark, sf_dir, "packages"), classes, [r for r in rules.RULES if pack in (None, r.pack)])
+
+
+def found_sql(pack: str | None = None) -> str:
+    return rules.sql([r for r in rules.RULES if pack in (None, r.pack)])
+
+
+CLASSES = ["packages", "results", "factors"]
+RANK = "CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 99 END"
+COMPOUND = """compounds AS (
+  SELECT c.package_id, 'COMPOUND-01' AS pattern_id, 'Critical' AS severity, c.pattern_id || '+' || h.pattern_id AS node
+  FROM (SELECT DISTINCT package_id, pattern_id FROM findings WHERE severity = 'Critical') c JOIN (SELECT DISTINCT package_id, pattern_id FROM findings WHERE severity = 'High') h USING (package_id)
+  UNION ALL SELECT package_id, 'COMPOUND-03', 'High', CAST(package_id AS STRING) FROM packages WHERE assurance_level <> 'Low' AND package_id IN (SELECT package_id FROM findings WHERE severity = 'Critical'))"""
+ROLLUP = f"SELECT package_id, pattern_id, severity, count(*) AS hits, count(DISTINCT node) AS nodes, min(node) AS first_node, {RANK} AS rank FROM"
+
+for _pack in ("core", "nasa", "surrogate", "cards"):
+    QUERIES[f"rules_{_pack}"] = lambda spark, sf_dir, pack=_pack: found(spark, sf_dir, pack)
+    ORACLES[f"rules_{_pack}"] = with_sql(CLASSES, "SELECT * FROM findings", found_sql(_pack))
+
+
+@query(with_sql(CLASSES, ROLLUP + " (SELECT * FROM findings UNION ALL SELECT * FROM compounds) GROUP BY ALL", found_sql(), COMPOUND))
+def check(spark, sf_dir):
+    """The flagship: all rules, then compounds over them, rolled up."""
+    findings = found(spark, sf_dir).persist()
+    return rules.rollup(findings.unionByName(rules.compound(findings, evidence(spark, sf_dir, "packages"))))
+
+
+@query(with_sql(CLASSES, "SELECT * FROM compounds", found_sql(), COMPOUND))
+def compound(spark, sf_dir):
+    return rules.compound(found(spark, sf_dir), evidence(spark, sf_dir, "packages"))
+
+
+@query(with_sql(CLASSES, ROLLUP + " findings GROUP BY ALL", found_sql("core")))
+def ag_1(spark, sf_dir):
+    return rules.rollup(found(spark, sf_dir, "core"))
+
+
+@query(with_sql(CLASSES, "SELECT package_id, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium FROM findings GROUP BY package_id", found_sql()))
+def ag_2(spark, sf_dir):
+    return found(spark, sf_dir).groupBy("package_id").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("Critical", "High", "Medium")])
+
+
+@query(with_sql(CLASSES, f"SELECT * FROM ({ROLLUP} findings GROUP BY ALL) ORDER BY rank, hits DESC, package_id, pattern_id LIMIT 50", found_sql()))
+def so_2(spark, sf_dir):
+    return rules.rollup(found(spark, sf_dir)).orderBy("rank", F.desc("hits"), "package_id", "pattern_id").limit(50)
+
+
+@query(with_sql(CLASSES, "SELECT package_id, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) AS worst, count(*) AS hits, CASE WHEN count(*) FILTER (severity = 'Critical') >= 3 THEN 'refuse' WHEN count(*) FILTER (severity = 'Critical') >= 1 THEN 'restrict' ELSE 'none' END AS action FROM findings GROUP BY package_id", found_sql("core")))
+def gr_1(spark, sf_dir):
+    """Guardrail: what the severest findings and their number ask for."""
+    rank = F.when(F.col("severity") == "Critical", 4).when(F.col("severity") == "High", 3).when(F.col("severity") == "Medium", 2).otherwise(1)
+    critical = F.count_if(F.col("severity") == "Critical")
+    return found(spark, sf_dir, "core").groupBy("package_id").agg(F.max(rank).alias("worst"), F.count("*").alias("hits"), F.when(critical >= 3, "refuse").when(critical >= 1, "restrict").otherwise("none").alias("action"))
+
+
+@query(with_sql(CLASSES, "SELECT coalesce(a.pattern_id, b.pattern_id) AS pattern_id, coalesce(a.hits, 0) AS hits_a, coalesce(b.hits, 0) AS hits_b, CASE WHEN b.hits IS NULL THEN 'only_a' WHEN a.hits IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 0 AND severity <> 'Medium' GROUP BY pattern_id) a FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 1 AND severity <> 'High' GROUP BY pattern_id) b ON a.pattern_id = b.pattern_id", found_sql()))
+def j_11(spark, sf_dir):
+    """Diff of two sets of findings by pattern."""
+    rows = found(spark, sf_dir)
+    side = lambda cond, name: rows.where(cond).groupBy("pattern_id").agg(F.count("*").alias(name))
+    both = side("package_id % 2 = 0 AND severity <> 'Medium'", "a").join(side("package_id % 2 = 1 AND severity <> 'High'", "b"), "pattern_id", "full_outer")
+    return both.select("pattern_id", F.coalesce("a", F.lit(0)).alias("hits_a"), F.coalesce("b", F.lit(0)).alias("hits_b"), F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"))
+
+
+@query(with_sql(CLASSES, "SELECT f.package_id, count(*) AS expected, count(*) FILTER (f.factor_status = 'assessed' AND h.node IS NULL) AS evidenced, round(100.0 * count(*) FILTER (f.factor_status = 'assessed' AND h.node IS NULL) / count(*), 6) AS percent FROM factors f LEFT JOIN (SELECT DISTINCT package_id, node FROM findings WHERE severity IN ('Critical', 'High')) h ON h.package_id = f.package_id AND h.node = f.factor_id GROUP BY f.package_id", found_sql("core")))
+def ag_3(spark, sf_dir):
+    """Completeness: assessed factors without a severe finding, over those expected."""
+    hit = found(spark, sf_dir, "core").where("severity IN ('Critical', 'High')").select("package_id", F.col("node").alias("factor_id")).distinct().withColumn("hit", F.lit(True))
+    good = F.count_if((F.col("factor_status") == "assessed") & F.col("hit").isNull())
+    rows = evidence(spark, sf_dir, "factors").join(hit, ["package_id", "factor_id"], "left").groupBy("package_id").agg(F.count("*").alias("expected"), good.alias("evidenced"))
+    return rounded(rows.withColumn("percent", 100.0 * F.col("evidenced") / F.col("expected")))
+
+
+# ---- graph operators ----
+
+TRIPLES = """triples AS (
+  SELECT package_id, 'uoa' AS s, 'hasResult' AS p, result_id AS o, 'iri' AS o_kind FROM results
+  UNION SELECT package_id, result_id, 'generatedBy', generated_by, 'iri' FROM results WHERE generated_by IS NOT NULL
+  UNION SELECT package_id, result_id, 'comparedAgainst', comparator, 'iri' FROM results WHERE comparator IS NOT NULL
+  UNION SELECT package_id, generated_by, 'activityType', activity_type, 'lit' FROM results WHERE generated_by IS NOT NULL)"""
+
+
+def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence(spark, sf_dir, "results")
+    triple = lambda s, p, o, kind: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"))
+    result, made = F.col("result_id"), F.col("generated_by")
+    own = F.array(triple(F.lit("uoa"), "hasResult", result, "iri"), triple(result, "generatedBy", made, "iri"), triple(result, "comparedAgainst", F.col("comparator"), "iri"), triple(made, "activityType", F.when(made.isNotNull(), F.col("activity_type")), "lit"))
+    return rows.select("package_id", F.explode(F.filter(own, lambda t: t["o"].isNotNull())).alias("t")).select("package_id", "t.*").distinct()
+
+
+@query(with_sql(["results"], "SELECT a.package_id, a.o AS v, b.o AS a, c.o AS kind FROM triples a JOIN triples b ON a.package_id = b.package_id AND a.o = b.s AND b.p = 'generatedBy' JOIN triples c ON c.package_id = b.package_id AND c.s = b.o AND c.p = 'activityType' WHERE a.p = 'hasResult'", TRIPLES))
+def j_1(spark, sf_dir):
+    """A chain of three patterns."""
+    t = triples(spark, sf_dir).persist()
+    return graph.match(graph.pattern(t, "uoa", "hasResult", "?v"), graph.pattern(t, "?v", "generatedBy", "?a"), graph.pattern(t, "?a", "activityType", "?kind"))
+
+
+@query(with_sql(["results"], "SELECT package_id, o AS v FROM triples a WHERE p = 'hasResult' AND NOT EXISTS (SELECT 1 FROM triples b WHERE b.package_id = a.package_id AND b.s = a.o AND b.p = 'generatedBy')", TRIPLES))
+def fp_3(spark, sf_dir):
+    """Absence of any object."""
+    t = triples(spark, sf_dir)
+    return graph.absent(graph.pattern(t, "uoa", "hasResult", "?v"), graph.pattern(t, "?v", "generatedBy", "?any").drop("any"))
+
+
+@query(with_sql(["results"], "SELECT package_id, o AS node, count(*) AS uses FROM triples a WHERE o_kind = 'iri' AND NOT EXISTS (SELECT 1 FROM triples b WHERE b.package_id = a.package_id AND b.s = a.o) GROUP BY ALL", TRIPLES))
+def gw_2(spark, sf_dir):
+    """Dangling references."""
+    return graph.dangling(triples(spark, sf_dir))
+
+
+PROV = """edges AS (
+  SELECT DISTINCT c_nationkey AS package_id, 'c' || CAST(c_custkey AS STRING) AS s, 'n' || CAST(c_nationkey AS STRING) AS o FROM customer WHERE c_custkey % 3 = 0
+  UNION SELECT n_nationkey, 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING) FROM nation
+  UNION SELECT n_nationkey, 'r' || CAST(n_regionkey AS STRING), 'n' || CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey % 4 = 0),
+reached AS (SELECT package_id, s AS start, s AS node FROM edges WHERE s LIKE 'c%' UNION SELECT r.package_id, r.start, e.o FROM reached r JOIN edges e ON r.package_id = e.package_id AND r.node = e.s)"""
+
+
+@query("WITH RECURSIVE " + PROV + " SELECT * FROM reached r WHERE node <> start AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.package_id = r.package_id AND e.s = r.node)")
+def w_prov_01(spark, sf_dir):
+    """Ends of provenance chains (with cycles) that have no source of their own."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edges = customer.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("package_id"), name("c", "c_custkey").alias("s"), name("n", "c_nationkey").alias("o"))
+    edges = edges.union(nation.select("n_nationkey", name("n", "n_nationkey"), name("r", "n_regionkey"))).union(nation.where("n_nationkey % 4 = 0").select("n_nationkey", name("r", "n_regionkey"), name("n", "n_nationkey"))).distinct()
+    ends = graph.reach(edges.where("s LIKE 'c%'").select("package_id", F.col("s").alias("node")), edges)
+    return graph.absent(ends.where("node <> start"), edges.select("package_id", F.col("s").alias("node")))
+
+
+# ---- derivations, goals, shapes ----
+
+
+@query(with_sql(["packages"], "SELECT package_id, CASE CAST(package_id % 4 AS INT) WHEN 0 THEN 'annual' WHEN 1 THEN 'quarterly' WHEN 2 THEN 'monthly' ELSE 'other' END AS cadence FROM packages WHERE date_diff('day', signature_ts, TIMESTAMP '1998-01-01 00:00:00') > CASE CAST(package_id % 4 AS INT) WHEN 0 THEN 365 WHEN 1 THEN 90 WHEN 2 THEN 30 ELSE 9999 END"))
+def drv_4(spark, sf_dir):
+    """Overdue audits as of a fixed day; the cadence decides how many days are allowed."""
+    rows = evidence(spark, sf_dir, "packages").withColumn("cadence", F.element_at(F.array(*map(F.lit, ("annual", "quarterly", "monthly", "other"))), (F.col("package_id") % 4 + 1).cast("int")))
+    allowed = F.when(F.col("cadence") == "annual", 365).when(F.col("cadence") == "quarterly", 90).when(F.col("cadence") == "monthly", 30).otherwise(9999)
+    return rows.where(F.date_diff(F.lit("1998-01-01").cast("date"), F.col("signature_ts").cast("date")) > allowed).select("package_id", "cadence")
+
+
+@query("SELECT p_partkey AS eval_id, 'v' || CAST(p_size % 4 AS STRING) || '.' || CAST(p_size AS STRING) || '.0' AS evaluated, 'v' || CAST(p_partkey % 4 AS STRING) || '.' || CAST(p_partkey % 12 AS STRING) || '.0' AS latest FROM part WHERE (p_size % 4, p_size) < (p_partkey % 4, p_partkey % 12)")
+def drv_5(spark, sf_dir):
+    """Evaluations of an older version: versions compare as numbers, not as text."""
+    version = lambda a, b: F.concat(F.lit("v"), a.cast("string"), F.lit("."), b.cast("string"), F.lit(".0"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("eval_id"), version(F.col("p_size") % 4, F.col("p_size")).alias("evaluated"), version(F.col("p_partkey") % 4, F.col("p_partkey") % 12).alias("latest"))
+    parsed = lambda c: F.struct(*[F.try_to_number(F.regexp_extract(c, r"^v?(\d+)\.(\d+)\.(\d+)$", i), F.lit("999999")).alias(f"n{i}") for i in (1, 2, 3)])
+    return rows.where(parsed(F.col("evaluated")) < parsed(F.col("latest")))
+
+
+@query(with_sql(["factors"], "SELECT DISTINCT d.package_id, d.factor_type AS category, e.standard AS eval FROM factors d JOIN (SELECT DISTINCT package_id, standard FROM factors) e USING (package_id) WHERE NOT EXISTS (SELECT 1 FROM factors x WHERE x.package_id = d.package_id AND x.standard = e.standard AND x.factor_type = d.factor_type)"))
+def drv_6(spark, sf_dir):
+    """Coverage gaps: a category of the package that one of its evaluations lacks, for each evaluation."""
+    rows = evidence(spark, sf_dir, "factors").select("package_id", F.col("factor_type").alias("category"), F.col("standard").alias("eval")).distinct()
+    wanted = rows.select("package_id", "category").distinct().join(rows.select("package_id", "eval").distinct(), "package_id")
+    return wanted.join(rows, ["package_id", "category", "eval"], "left_anti")
+
+
+@query(with_sql(["errors"], "SELECT e.case_id, e.dim, e.coordinate, n.lo, n.hi FROM errors e JOIN (SELECT p_brand AS dim, quantile_cont(p_retailprice, 0.1) AS lo, quantile_cont(p_retailprice, 0.9) AS hi FROM part GROUP BY p_brand) n USING (dim) WHERE e.coordinate < n.lo OR e.coordinate > n.hi"))
+def drv_9(spark, sf_dir):
+    """Points outside the declared envelope of their dimension (bounds inclusive)."""
+    envelope = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("dim")).agg(F.percentile("p_retailprice", F.lit(0.1)).alias("lo"), F.percentile("p_retailprice", F.lit(0.9)).alias("hi"))
+    return evidence(spark, sf_dir, "errors").join(envelope, "dim").where("coordinate < lo OR coordinate > hi").select("case_id", "dim", "coordinate", "lo", "hi")
+
+
+@query(with_sql(["packages", "results"], "SELECT package_id, CASE WHEN max(CASE WHEN generated_by IS NOT NULL THEN 1 ELSE 0 END) = 0 THEN 3 WHEN max(CASE WHEN generated_by IS NOT NULL AND comparator IS NOT NULL THEN 1 ELSE 0 END) = 0 THEN 4 ELSE 5 END AS failed_clause FROM packages LEFT JOIN results USING (package_id) WHERE claim_source IS NOT NULL AND outcome = 'Accepted' GROUP BY package_id HAVING max(CASE WHEN generated_by IS NOT NULL AND comparator IS NOT NULL AND result_uq THEN 1 ELSE 0 END) = 0"))
+def oos_1(spark, sf_dir):
+    """Goals out of scope: discriminators hold, but no one candidate meets all sufficiency clauses; the first that fails."""
+    goals = evidence(spark, sf_dir, "packages").where("claim_source IS NOT NULL AND outcome = 'Accepted'").select("package_id")
+    depth = F.when(F.col("generated_by").isNull(), 0).when(F.col("comparator").isNull(), 1).when(F.col("result_uq").isNull(), 2).otherwise(3)
+    rows = goals.join(evidence(spark, sf_dir, "results"), "package_id", "left").groupBy("package_id").agg(F.max(depth).alias("depth"))
+    return rows.where("depth < 3").select("package_id", (F.col("depth") + 3).cast("int").alias("failed_clause"))
+
+
+SHAPES = [("minCount", "signature", "signature IS NULL"), ("in", "outcome", "outcome NOT IN ('Accepted')"), ("minCount", "required_method", "required_method IS NULL"), ("maxInclusive", "decision_risk", "decision_risk > 3"), ("pattern", "cou", "cou IS NOT NULL AND NOT regexp_like(cou, '^cou-[0-9]*[0-8]$')"), ("nodeKind", "claim_source", "claim_source IS NULL")]
+
+
+@query(with_sql(["packages"], " UNION ALL ".join(f"SELECT package_id, '{kind}' AS constraint_kind, '{path}' AS path FROM packages WHERE " + cond.replace("regexp_like", "regexp_matches") for kind, path, cond in SHAPES)))
+def sh_2(spark, sf_dir):
+    """Shape violations: counts, enumerations, ranges, patterns and kinds, in one pass over the packages."""
+    own = [F.when(F.expr(cond), F.struct(F.lit(kind).alias("constraint_kind"), F.lit(path).alias("path"))) for kind, path, cond in SHAPES]
+    return evidence(spark, sf_dir, "packages").select("package_id", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("v")).select("package_id", "v.*")
+
+
+# ---- aggregation, statistics and windows ----
+
+DECIDED = "SELECT rule, intent, subtlety, fired, valid, others, ms, spec FROM outcomes"
+
+
+@query(with_sql(["outcomes"], "SELECT rule, count(*) FILTER (intent = 'confirm_existing' AND valid) AS targets, round(coalesce(count(*) FILTER (fired AND intent = 'confirm_existing' AND valid) / nullif(count(*) FILTER (intent = 'confirm_existing' AND valid), 0), 0), 6) AS recall, round(coalesce(count(*) FILTER (fired AND intent = 'negative_control' AND valid) / nullif(count(*) FILTER (intent = 'negative_control' AND valid), 0), 0), 6) AS nc_fpr, round(coalesce(count(*) FILTER (fired AND intent = 'confirm_existing' AND valid) / nullif(count(*) FILTER (fired AND valid), 0), 0), 6) AS precision FROM outcomes GROUP BY rule"))
+def ag_8(spark, sf_dir):
+    """Recall, false positives on controls, and precision per rule; invalid rows count nowhere."""
+    rows = evidence(spark, sf_dir, "outcomes").where("valid").groupBy("rule").agg(
+        F.count_if(F.col("intent") == "confirm_existing").alias("targets"), F.count_if(F.expr("fired AND intent = 'confirm_existing'")).alias("t"),
+        F.count_if(F.expr("intent = 'negative_control'")).alias("n"), F.count_if(F.expr("fired AND intent = 'negative_control'")).alias("f"), F.count_if("fired").alias("all"),
+    )
+    return rounded(rows.select("rule", "targets", stats.ratio(F.col("t"), F.col("targets")).alias("recall"), stats.ratio(F.col("f"), F.col("n")).alias("nc_fpr"), stats.ratio(F.col("t"), F.col("all")).alias("precision")))
+
+
+@query(with_sql(["outcomes"], "SELECT rule, round(avg(CASE WHEN subtlety = 'low' THEN CAST(fired AS INT) END), 6) AS low, round(avg(CASE WHEN subtlety = 'medium' THEN CAST(fired AS INT) END), 6) AS medium, round(avg(CASE WHEN subtlety = 'high' THEN CAST(fired AS INT) END), 6) AS high FROM outcomes WHERE valid GROUP BY rule"))
+def ag_10(spark, sf_dir):
+    """Hit rate per rule and subtlety, pivoted."""
+    return rounded(evidence(spark, sf_dir, "outcomes").where("valid").groupBy("rule").pivot("subtlety", ["low", "medium", "high"]).agg(F.avg(F.col("fired").cast("int"))))
+
+
+@query(with_sql(["outcomes"], "SELECT intent, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95 FROM outcomes GROUP BY intent HAVING max(ms) > 0"))
+def ag_12(spark, sf_dir):
+    """Latency per intent."""
+    rows = evidence(spark, sf_dir, "outcomes").groupBy("intent").agg(F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.5)).alias("median"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("most"))
+    return rounded(rows.where("most > 0").drop("most"))
+
+
+@query(with_sql(["errors"], "SELECT qoi, fired, count(*) AS n, round(avg(abs(predicted - reference)), 4) AS mean, round(quantile_cont(abs(predicted - reference), 0.25), 4) AS q1, round(quantile_cont(abs(predicted - reference), 0.5), 4) AS median, round(quantile_cont(abs(predicted - reference), 0.75), 4) AS q3 FROM errors GROUP BY qoi, fired"))
+def ag_13(spark, sf_dir):
+    """Error distribution per quantity, fired or not."""
+    return rounded(stats.distribution(evidence(spark, sf_dir, "errors").withColumn("error", F.abs(F.col("predicted") - F.col("reference"))), ["qoi", "fired"], "error"), 4)
+
+
+@query(with_sql(["errors"], "SELECT qoi, round(quantile_cont(CASE WHEN fired THEN abs(predicted - reference) END, 0.5) / nullif(quantile_cont(CASE WHEN NOT fired THEN abs(predicted - reference) END, 0.5), 0), 6) AS ratio FROM errors GROUP BY qoi"))
+def ag_14(spark, sf_dir):
+    """Ratio of the median errors of fired and unfired cases."""
+    error = F.abs(F.col("predicted") - F.col("reference"))
+    rows = evidence(spark, sf_dir, "errors").groupBy("qoi").agg(F.percentile(F.when(F.col("fired"), error), F.lit(0.5)).alias("a"), F.percentile(F.when(~F.col("fired"), error), F.lit(0.5)).alias("b"))
+    return rounded(rows.select("qoi", stats.ratio(F.col("a"), F.col("b"), None).alias("ratio")))
+
+
+@query(with_sql(["errors"], "SELECT qoi, count(*) AS n, round(avg(abs(predicted - reference)), 4) AS mean_abs, round(min(abs(predicted - reference)), 4) AS min_abs, round(max(abs(predicted - reference)), 4) AS max_abs, round(sqrt(avg((predicted - reference) * (predicted - reference))), 4) AS rms, round(sqrt(sum((predicted - reference) * (predicted - reference))), 4) AS l2, round(stddev_pop(predicted - reference), 4) AS spread FROM errors GROUP BY qoi"))
+def ag_16(spark, sf_dir):
+    return rounded(stats.residuals(evidence(spark, sf_dir, "errors"), ["qoi"]), 4)
+
+
+@query(with_sql(["errors"], "SELECT dim, round(avg(CASE WHEN predicted BETWEEN low AND high THEN 1.0 ELSE 0.0 END), 6) AS coverage, bool_and(coordinate >= 900 AND coordinate <= 999) AS inside FROM errors GROUP BY dim"))
+def ag_20(spark, sf_dir):
+    """Share of values inside their interval, and whether all points lie in the envelope (ag_19)."""
+    return rounded(evidence(spark, sf_dir, "errors").groupBy("dim").agg(F.avg(F.col("predicted").between(F.col("low"), F.col("high")).cast("double")).alias("coverage"), F.bool_and(F.col("coordinate").between(900, 999)).alias("inside")))
+
+
+TRIOS = """last_of AS (SELECT case_id, judge, arg_max(verdict, seq) AS v, arg_max(confidence, seq) AS c FROM judgments GROUP BY case_id, judge),
+trios AS (SELECT case_id, a.v AS va, a.c AS ca, b.v AS vb, b.c AS cb, c.v AS vc, c.c AS cc FROM (FROM last_of WHERE judge = 'A') a JOIN (FROM last_of WHERE judge = 'B') b USING (case_id) JOIN (FROM last_of WHERE judge = 'C') c USING (case_id)),
+agreeing AS (SELECT *, CAST(va = 'UNCERTAIN' AS INT) + CAST(vb = 'UNCERTAIN' AS INT) + CAST(vc = 'UNCERTAIN' AS INT) AS unsure, nullif(CASE WHEN va = vb OR va = vc THEN va WHEN vb = vc THEN vb END, 'UNCERTAIN') AS agreed FROM trios),
+triaged AS (SELECT *, CASE WHEN unsure >= 2 THEN 'uncertain_majority_kof3' WHEN agreed IS NOT NULL AND (va <> agreed OR ca >= 0.6) AND (vb <> agreed OR cb >= 0.6) AND (vc <> agreed OR cc >= 0.6) THEN 'converged' WHEN agreed IS NOT NULL THEN 'low_conf_concurrence' WHEN unsure = 1 THEN 'two_disagree_one_uncertain' ELSE 'all_three_disagree' END AS reason FROM agreeing)"""
+
+
+def trios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.trios(evidence(spark, sf_dir, "judgments"))
+
+
+@query(with_sql(["judgments"], "SELECT case_id, va, vb, vc, unsure, agreed, reason, CASE WHEN reason = 'converged' THEN 'CONVERGENT' ELSE 'DISAGREEMENT' END AS bucket, (va <> 'UNCERTAIN' AND ca < 0.5) OR (vb <> 'UNCERTAIN' AND cb < 0.5) OR (vc <> 'UNCERTAIN' AND cc < 0.5) AS low_confidence FROM triaged", TRIOS))
+def jd_1(spark, sf_dir):
+    return judging.triage(trios(spark, sf_dir)).drop("ca", "cb", "cc")
+
+
+@query(with_sql(["judgments"], "SELECT case_id, coalesce(o.verdict, r.verdict, CASE WHEN reason = 'converged' THEN agreed END) AS verdict, CASE WHEN o.verdict IS NOT NULL THEN 'AUTHOR_OVERRIDE' WHEN r.verdict IS NOT NULL THEN 'ARBITRATED' WHEN reason = 'converged' THEN 'CONVERGENT' ELSE 'UNRESOLVED' END AS route FROM triaged LEFT JOIN (SELECT case_id, arg_max(verdict, seq) AS verdict FROM judgments WHERE case_id % 10 = 0 GROUP BY case_id) o USING (case_id) LEFT JOIN (SELECT case_id, arg_max(verdict, confidence) AS verdict, max(confidence) AS confidence FROM judgments WHERE case_id % 3 = 0 GROUP BY case_id HAVING max(confidence) >= 0.6) r USING (case_id)", TRIOS))
+def jd_5(spark, sf_dir):
+    """Final verdicts by precedence."""
+    all_ = evidence(spark, sf_dir, "judgments")
+    overrides = stats.last_wins(all_.where("case_id % 10 = 0").select("case_id", "verdict", "seq"), ["case_id"], "seq")
+    arbitrated = all_.where("case_id % 3 = 0").groupBy("case_id").agg(F.max_by("verdict", "confidence").alias("verdict"), F.max("confidence").alias("confidence"))
+    return judging.final(judging.triage(trios(spark, sf_dir)), overrides, arbitrated)
+
+
+@query(with_sql(["judgments"], "SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, avg(CAST(va = vb AS INT)) AS po, (SELECT sum(x.n * y.n) FROM (SELECT va AS v, count(*) AS n FROM trios GROUP BY va) x JOIN (SELECT vb AS v, count(*) AS n FROM trios GROUP BY vb) y USING (v)) / (count(*) * count(*)) AS pe FROM trios)", TRIOS))
+def ag_21(spark, sf_dir):
+    """Cohen's kappa of the first two judges."""
+    return rounded(stats.kappa(trios(spark, sf_dir), "va", "vb"))
+
+
+VERDICTS = ("CONFIRM", "OUT-OF-SCOPE", "REAL-GAP", "UNCERTAIN")
+_N = [f"(CAST(va = '{v}' AS INT) + CAST(vb = '{v}' AS INT) + CAST(vc = '{v}' AS INT))" for v in VERDICTS]
+
+
+@query(with_sql(["judgments"], f"SELECT n, round(p, 6) AS agreement, round((p - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, avg(({' + '.join(f'{x} * ({x} - 1)' for x in _N)}) / 6.0) AS p, {' + '.join(f'power(sum({x}) / (3.0 * count(*)), 2)' for x in _N)} AS pe FROM trios)", TRIOS))
+def ag_21_fleiss(spark, sf_dir):
+    """Fleiss' kappa of all three."""
+    v = F.array("va", "vb", "vc")
+    rows = trios(spark, sf_dir).select(*[F.size(F.filter(v, lambda x: x == own)).alias(f"n{i}") for i, own in enumerate(VERDICTS)])
+    return rounded(stats.fleiss(rows, [f"n{i}" for i in range(len(VERDICTS))]))
+
+
+@query(with_sql(["outcomes"], f"SELECT rule, k, n, round(greatest(0.0, (k / n + {stats.Z**2} / (2 * n)) / (1 + {stats.Z**2} / n) - {stats.Z} * sqrt((k / n) * (1 - k / n) / n + {stats.Z**2} / (4.0 * n * n)) / (1 + {stats.Z**2} / n)), 6) AS low, round(least(1.0, (k / n + {stats.Z**2} / (2 * n)) / (1 + {stats.Z**2} / n) + {stats.Z} * sqrt((k / n) * (1 - k / n) / n + {stats.Z**2} / (4.0 * n * n)) / (1 + {stats.Z**2} / n)), 6) AS high FROM (SELECT rule, count(*) FILTER (fired) AS k, count(*) AS n FROM outcomes GROUP BY rule)"))
+def ag_22(spark, sf_dir):
+    """Wilson intervals of the hit rate per rule."""
+    rows = evidence(spark, sf_dir, "outcomes").groupBy("rule").agg(F.count_if("fired").alias("k"), F.count("*").alias("n"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return rounded(rows.select("rule", "k", "n", low.alias("low"), high.alias("high")))
+
+
+@query(with_sql(["judgments"], "SELECT judge, sum(n) AS records, count(*) AS cases, sum(n) - count(*) AS extra, count(*) FILTER (f <> l) AS conflicts FROM (SELECT judge, case_id, count(*) AS n, arg_min(verdict, seq) AS f, arg_max(verdict, seq) AS l FROM judgments GROUP BY ALL) GROUP BY judge"))
+def ag_24(spark, sf_dir):
+    """Retries per judge: extra records and cases whose first and last verdicts differ."""
+    rows = evidence(spark, sf_dir, "judgments").groupBy("judge", "case_id").agg(F.count("*").alias("n"), F.min_by("verdict", "seq").alias("f"), F.max_by("verdict", "seq").alias("l"))
+    return rows.groupBy("judge").agg(F.sum("n").alias("records"), F.count("*").alias("cases"), (F.sum("n") - F.count("*")).alias("extra"), F.count_if(F.col("f") != F.col("l")).alias("conflicts"))
+
+
+@query("SELECT t AS threshold, count(*) FILTER (value >= t * 500 AND event_type = 'error') AS tp, round(coalesce(count(*) FILTER (value >= t * 500 AND event_type = 'error') / nullif(count(*) FILTER (value >= t * 500), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (value >= t * 500 AND event_type = 'error') / nullif(count(*) FILTER (event_type = 'error'), 0), 0), 6) AS recall FROM events, (SELECT x / 100.0::DOUBLE AS t FROM range(15, 66, 5) r(x)) GROUP BY t")
+def ag_33(spark, sf_dir):
+    """Threshold sweep in one pass: each row counts towards every threshold it reaches."""
+    steps = [x / 100.0 for x in range(15, 66, 5)]
+    flags = [F.struct(F.lit(t).alias("threshold"), (F.col("value") >= t * 500).alias("yes")) for t in steps]
+    rows = table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("truth"), F.explode(F.array(*flags)).alias("s")).select("truth", "s.*")
+    sums = rows.groupBy("threshold").agg(F.count_if(F.expr("truth AND yes")).alias("tp"), F.count_if("yes").alias("p"), F.count_if("truth").alias("n"))
+    return rounded(sums.select("threshold", "tp", stats.ratio(F.col("tp"), F.col("p")).alias("precision"), stats.ratio(F.col("tp"), F.col("n")).alias("recall")))
+
+
+@query("SELECT quality, CASE WHEN w < 200 THEN '0-199' WHEN w < 800 THEN '200-799' WHEN w < 2000 THEN '800-1999' ELSE '2000+' END AS band, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM (SELECT quality, len(string_split(text, ' ')) AS w FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
+def ag_39(spark, sf_dir):
+    """Strata of a sampling frame: label and half-open word bands."""
+    w = F.size(F.split("text", " "))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("quality", F.when(w < 200, "0-199").when(w < 800, "200-799").when(w < 2000, "800-1999").otherwise("2000+").alias("band"))
+    sums = rows.groupBy("quality", "band").agg(F.count("*").alias("n"))
+    return rounded(sums.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())), 2)
+
+
+@query(with_sql(["factors"], "SELECT factor_type, achieved_level - required_level AS gap, count(*) AS n FROM factors WHERE achieved_level IS NOT NULL AND required_level IS NOT NULL GROUP BY ALL"))
+def ag_27(spark, sf_dir):
+    """Shortfalls of levels; a missing side counts nowhere."""
+    return evidence(spark, sf_dir, "factors").withColumn("gap", F.col("achieved_level") - F.col("required_level")).where("gap IS NOT NULL").groupBy("factor_type", "gap").agg(F.count("*").alias("n"))
+
+
+@query(with_sql(["errors"], "SELECT dim, band, count(*) AS n, round(avg(abs(predicted - reference)), 4) AS mean FROM (SELECT *, CASE WHEN place < n // 3 THEN 0 WHEN place < 2 * n // 3 THEN 1 ELSE 2 END AS band FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY thickness, case_id) - 1 AS place, count(*) OVER (PARTITION BY dim) AS n FROM errors)) GROUP BY dim, band"))
+def wn_3(spark, sf_dir):
+    """Errors per third of the cases of a dimension, by thickness."""
+    rows = stats.bands(evidence(spark, sf_dir, "errors"), ["thickness", "case_id"], "dim")
+    return rounded(rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("predicted") - F.col("reference"))).alias("mean")), 4)
+
+
+@query(with_sql(["errors"], "SELECT dim, round(corr(a, b), 6) AS rho FROM (SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY thickness, case_id) AS a, row_number() OVER (PARTITION BY dim ORDER BY abs(predicted - reference), case_id) AS b FROM errors) GROUP BY dim"))
+def ag_35(spark, sf_dir):
+    """Rank correlation per dimension, with ordinal ranks."""
+    rows = evidence(spark, sf_dir, "errors").withColumn("error", F.abs(F.col("predicted") - F.col("reference")))
+    rank = lambda c: F.row_number().over(Window.partitionBy("dim").orderBy(c, "case_id"))
+    return rounded(rows.select("dim", rank("thickness").alias("a"), rank("error").alias("b")).groupBy("dim").agg(F.corr("a", "b").alias("rho")))
+
+
+@query("SELECT user_id, event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def wn_8(spark, sf_dir):
+    """Calls and tokens of the last hour at each call."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).rangeBetween(-3600, 0)
+    return rounded(table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("calls"), F.sum("value").over(w).alias("tokens")), 4)
+
+
+@query("SELECT vec_id, score FROM (SELECT a.vec_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 9) AS score FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 AS r FROM embeddings) b USING (vec_id) WHERE a.r < 200 AND b.r < 200) ORDER BY score DESC, vec_id LIMIT 20")
+def wn_5(spark, sf_dir):
+    """Reciprocal rank fusion of two rankings of 200 each."""
+    rows = table(spark, sf_dir, "embeddings")
+
+    def ranked(i: int, name: str) -> DataFrame:
+        top = rows.select("vec_id", F.col("embedding")[i].alias("x")).orderBy(F.desc("x"), "vec_id").limit(200)
+        return top.select("vec_id", (F.row_number().over(Window.orderBy(F.desc("x"), "vec_id")) - 1).alias(name))
+
+    both = ranked(0, "a").join(ranked(1, "b"), "vec_id")
+    return both.select("vec_id", F.round(1.0 / (60 + F.col("a")) + 1.0 / (60 + F.col("b")), 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
+
+
+@query("SELECT a.vec_id, b.vec_id AS query_id, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.3")
+def ma_7(spark, sf_dir):
+    """Cosine of vectors and the stated queries of their label."""
+    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding")).alias("u"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("u").alias("v"))
+    dot = F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(asked, "label").where("vec_id <> query_id").select("vec_id", "query_id", F.round(dot, 4).alias("cosine"), dot.alias("raw")).where("raw >= 0.3").drop("raw")
+
+
+# ---- corroboration and text ----
+
+
+@query("SELECT p_partkey, CASE WHEN f.price IS NULL THEN 'claim-only' WHEN c.p_partkey % 9 = 0 THEN 'not-comparable' WHEN abs(c.p_retailprice - f.price) <= 0.05 * greatest(abs(c.p_retailprice), abs(f.price), 1e-30) THEN 'agrees' ELSE 'diverges' END AS verdict, round(f.price, 2) AS reading FROM part c LEFT JOIN (SELECT DISTINCT l_partkey, floor(l_extendedprice / l_quantity * 100) / 100 AS price FROM lineitem WHERE l_partkey % 5 > 0) f ON f.l_partkey = c.p_partkey")
+def cr_1(spark, sf_dir):
+    """Claims against distinct readings, with a relative tolerance; claims without a reading stay."""
+    facts = table(spark, sf_dir, "lineitem").where("l_partkey % 5 > 0").select("l_partkey", (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price")).distinct()
+    rows = table(spark, sf_dir, "part").join(facts, F.col("p_partkey") == F.col("l_partkey"), "left")
+    near = F.abs(F.col("p_retailprice") - F.col("price")) <= 0.05 * F.greatest(F.abs("p_retailprice"), F.abs("price"), F.lit(1e-30))
+    return rows.select("p_partkey", F.when(F.col("price").isNull(), "claim-only").when(F.col("p_partkey") % 9 == 0, "not-comparable").when(near, "agrees").otherwise("diverges").alias("verdict"), F.round("price", 2).alias("reading"))
+
+
+@query("SELECT l_partkey, count(DISTINCT l_linenumber) AS readings FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_linenumber) > 1")
+def ag_5(spark, sf_dir):
+    """Keys with more than one distinct reading."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_linenumber").alias("readings")).where("readings > 1")
+
+
+@query(r"SELECT page_id, regexp_replace(lower(url), '[^a-z0-9]+', '', 'g') AS scope, regexp_extract(url, '([^#/]*)$', 1) AS local_name FROM pages")
+def tx_2(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.scope(F.col("url")).alias("scope"), text.local_name(F.col("url")).alias("local_name"))
+
+
+FURNITURE = r"""CASE WHEN trim(line) = '' THEN 'empty' WHEN length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) > 0.7 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')) THEN 'heading' WHEN contains(line, ' | ') THEN 'table-row' WHEN len(list_filter(string_split(trim(regexp_replace(lower(line), '[ \t\r\n\f]+', ' ', 'g')), ' '), lambda w: w <> '')) < 6 THEN 'fragment' WHEN regexp_matches(line, '^\[[0-9]+\]') THEN 'reference' END"""
+
+
+@query(f"SELECT reason, count(*) AS lines FROM (SELECT coalesce({FURNITURE}, 'prose') AS reason FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY reason")
+def tx_6(spark, sf_dir):
+    """Lines of all documents by what they are."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select(F.coalesce(text.furniture(F.col("line")), F.lit("prose")).alias("reason")).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def tx_11(spark, sf_dir):
+    """Documents that quote an item literally: items are found by their first eight words, then compared whole.
+
+    The words make it an equi-join; every document gives each of its eight-word runs once.
+    """
+    key = lambda c: F.array_join(F.slice(F.split(c, "[ \n]"), 2, 6), " ")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), key(F.col("text")).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "[ \n]").alias("w"))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 5)), lambda i: F.array_join(F.slice("w", i, 6), " ")))).alias("key"))
+    hits = runs.join(items.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    return hits.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
+
+
+@query("SELECT norm, count(*) AS repeats, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, trim(regexp_replace(lower(line), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS norm FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE norm <> '' AND len(string_split(norm, ' ')) <= 14 GROUP BY norm HAVING count(*) >= 3")
+def wn_10(spark, sf_dir):
+    """Running heads: short lines that occur three times or more."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.squash(F.col("line")).alias("norm"))
+    return lines.where((F.col("norm") != "") & (F.size(F.split("norm", " ")) <= 14)).groupBy("norm").agg(F.count("*").alias("repeats"), F.countDistinct("doc_id").alias("docs")).where("repeats >= 3")
+
+
+@query("SELECT doc_id, sum(CAST(ceil(length(p) / 300.0) AS BIGINT)) AS chunks FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS p FROM documents) WHERE length(p) >= 40 GROUP BY doc_id")
+def tx_22(spark, sf_dir):
+    """Chunks per document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("chunk")).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, substr(sha256(lang || chr(0) || source || chr(0) || CAST(n_chars AS STRING)), 1, 32) AS cache_key FROM documents")
+def hash_5(spark, sf_dir):
+    """Digests of texts, and cache keys of NUL-joined parts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.substring(F.sha2(F.concat_ws("\0", "lang", "source", F.col("n_chars").cast("string")), 256), 1, 32).alias("cache_key"))
+
+
+@query(with_sql(["outcomes"], "SELECT case_id, CASE WHEN NOT valid THEN 'GEN-INVALID' WHEN intent = 'negative_control' THEN CASE WHEN fired OR others > 0 THEN 'CLEAN-WRONG' ELSE 'CLEAN-CORRECT' END WHEN fired AND others = 0 THEN 'COV-HIT' WHEN fired THEN 'HIT-PLUS' WHEN others > 0 THEN 'WRONG' ELSE 'MISS' END AS class FROM outcomes"))
+def jd_10(spark, sf_dir):
+    """Outcome classes."""
+    c = F.when(~F.col("valid"), "GEN-INVALID").when((F.col("intent") == "negative_control") & (F.col("fired") | (F.col("others") > 0)), "CLEAN-WRONG").when(F.col("intent") == "negative_control", "CLEAN-CORRECT")
+    return evidence(spark, sf_dir, "outcomes").select("case_id", c.when(F.col("fired") & (F.col("others") == 0), "COV-HIT").when(F.col("fired"), "HIT-PLUS").when(F.col("others") > 0, "WRONG").otherwise("MISS").alias("class"))
+
+
+@query(with_sql(["outcomes"], "SELECT spec, CAST(ts AS DATE) AS day, round(sum(cost), 4) AS cost, sum(cost) > 5 AS over_budget FROM outcomes GROUP BY ALL"))
+def ag_32(spark, sf_dir):
+    """Costs per specification and day, against a budget."""
+    rows = evidence(spark, sf_dir, "outcomes").groupBy("spec", F.col("ts").cast("date").alias("day")).agg(F.sum("cost").alias("raw"))
+    return rows.select("spec", "day", F.round("raw", 4).alias("cost"), (F.col("raw") > 5).alias("over_budget"))
+
+
+__all__ = ["ORACLES", "QUERIES", "sql"]
