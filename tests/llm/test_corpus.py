@@ -218,3 +218,19 @@ def test_every_linked_pair_shares_a_signature():
             for x, y in ((a, b), (a, a[: math.ceil(0.85 * size)])):
                 g = {band + s for band in (bands.band(len(x)),) for s in (0, 1)} & {band + s for band in (bands.band(len(y)),) for s in (0, 1)}
                 assert len(x) == len(y) and not any(map(bands.differences, g)) or any(bands.differences(k) and set(jaccard.signatures([x], k, bands)[0]) & set(jaccard.signatures([y], k, bands)[0]) for k in g)
+
+
+def test_jaccard_large_groups_around_absent_centres(spark):
+    rnd = random.Random(23)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for size, edits in ((150, 4), (120, 3), (90, 2)):
+        base = rnd.choices(vocabulary, k=120)
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+            texts[len(texts)] = " ".join(words)
+    for num, width in ((85, 4), (95, 4)):
+        got = rows(jaccard.join(frame(spark, texts.values(), texts), num, 100, width))
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, num, 100, width)

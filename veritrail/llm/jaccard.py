@@ -9,9 +9,8 @@ Work stays in proportion to the documents:
 
 * equal sets are one class (its smallest id stands for it); copies beyond that never meet again;
 * signatures travel packed, one row for each batch and hash bucket, and are made once per class in a batch;
-* who shares a signature is first compared with one of the sharers only (the smallest set id): classes that a
-  chain of links already joins need no comparison with each other. Only sharers that are still in different
-  components after that are compared in full, so no link between them is lost.
+* sharers of signatures form clusters by one tie each, and a cluster is compared around its centre (see ``links_of``):
+  all its components are found without going through all pairs.
 
 Partitions without elements: with k >= 8 there are two partitions more than needed, so a set with at most two
 partitions that have an empty pair of cells shares a non-empty pair with each of its partners. Signatures of
@@ -27,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, written
@@ -218,25 +217,107 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return roots
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link; ``sets`` has (set_id, elements)."""
+def centre(rows: pd.DataFrame) -> pd.DataFrame:
+    """The elements that more than half of the sets in the largest part of a cluster's sample have.
+
+    A part is a set and all that share half of their elements with it.
+    """
+    sets = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+    best: list[np.ndarray] = []
+    left = sets
+    while len(left) > len(best):
+        first = left[0]
+        near = [2 * len(np.intersect1d(first, s, assume_unique=True)) >= max(len(first), len(s)) for s in left]
+        part = [s for s, yes in zip(left, near, strict=True) if yes]
+        best = part if len(part) > len(best) else best
+        left = [s for s, yes in zip(left, near, strict=True) if not yes]
+    values, n = np.unique(np.concatenate(best), return_counts=True)
+    return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "centre": [values[2 * n > len(best)].tobytes()]})
+
+
+def linked(na: int, nb: int, apart: int, num: int, den: int) -> bool:
+    """Whether sets of these sizes that differ in ``apart`` elements link."""
+    return (num + den) * apart <= (den - num) * (na + nb)
+
+
+def differences(members: DataFrame, centres: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, set_id, n, far, weight, apart) of members: what each has and its centre hasn't, or the other way round.
+
+    Two sets differ where just one of them differs from the centre. ``weight`` is (num + den) * |apart| -
+    (den - num) * n: sets with no common difference link if and only if their weights add up to 0 or less.
+    """
 
     def make():
         def step(rows):
-            keep = []
-            for x, y in zip(rows["x"], rows["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(den * n >= num * (len(x) + len(y) - n))
-            return {"a": rows["a"], "b": rows["b"], "linked": keep}
+            out = {name: [] for name in ("cluster", "set_id", "n", "far", "weight", "apart")}
+            for cluster, own, n, x, c in zip(rows["cluster"], rows["set_id"], rows["n"], rows["elements"], rows["centre"], strict=True):
+                apart = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(c or b"", np.uint64), assume_unique=True).astype(np.int64)
+                for name, value in zip(out, (cluster, own, n, 2 * len(apart) > n, (num + den) * len(apart) - (den - num) * n, apart.tolist()), strict=True):
+                    out[name].append(value)
+            return out
 
         return step
 
-    one = sets.select(F.col("set_id").alias("a"), F.col("elements").alias("x"), F.col("n").alias("nx"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("elements").alias("y"), F.col("n").alias("ny"))
-    sized = pairs.join(one.select("a", "nx"), "a").join(two.select("b", "ny"), "b").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    full = sized.select("a", "b").join(one.select("a", "x"), "a").join(two.select("b", "y"), "b")
-    return arrow_map(full.select("a", "b", "x", "y"), make, "a long, b long, linked boolean").where("linked").select("a", "b")
+    rows = members.join(centres, "cluster", "left").select("cluster", "set_id", "n", "elements", "centre")
+    return arrow_map(rows, make, "cluster long, set_id long, n long, far boolean, weight long, apart array<long>")
+
+
+def confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs (a, na, x, b, nb, y) that link; x and y are differences to one centre."""
+
+    def make():
+        def step(rows):
+            yes = [linked(na, nb, len(np.setxor1d(x, y, assume_unique=True)), num, den) for na, nb, x, y in zip(rows["na"], rows["nb"], rows["x"], rows["y"], strict=True)]
+            return {"a": rows["a"], "b": rows["b"], "yes": yes}
+
+        return step
+
+    return arrow_map(pairs.select("a", "na", "x", "b", "nb", "y"), make, "a long, b long, yes boolean").where("yes").select("a", "b")
+
+
+def links_of(members: DataFrame, num: int, den: int, rounds: int = 3, sample: int = 64) -> DataFrame:
+    """Links (a, b) that join the same components as all links between (cluster, set_id, n, elements) of one cluster.
+
+    A large cluster of near copies has as many pairs as the square of its size, most of them just short of a link.
+    They need no comparison one by one. Each set is reduced to its differences to the cluster's centre (of a sample:
+    the centre decides the cost only). The set with the least weight, x0, is compared with all: whatever links with
+    another set without a common difference also links with x0. What doesn't link with x0 links only through common
+    differences, which are looked up, the rarest first and no more of them than needed. Sets that are far from the
+    centre are compared with each other in the next round, around a centre of their own.
+    """
+    both, less = num + den, den - num
+    found = None
+    for left in range(rounds, 0, -1):
+        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+        few = members.join(sizes, "cluster").where(F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / sample)) == 0)
+        centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centre, "cluster long, centre binary")
+        reduced = written(differences(members, centres, num, den), "jaccard-differences")
+        least = reduced.groupBy("cluster").agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
+        against = reduced.join(least, "cluster").where("set_id != x0.set_id").select(F.col("x0.set_id").alias("a"), F.col("x0.n").alias("na"), F.col("x0.apart").alias("x"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
+        star = written(confirmed(against, num, den), "jaccard-links")
+        found = star if found is None else found.union(star)
+
+        # a set near the centre can't link with one farther than this from it; those wait for the next round
+        reach = F.lit(True) if left == 1 else 2 * num * both * F.size("apart") <= (den * both + 2 * less * (den + num)) * F.col("n")
+        loose = reduced.where(reach).join(least.select("cluster", F.col("x0.set_id").alias("x0"), F.col("x0.weight").alias("least")), "cluster").where("set_id != x0").join(star.select(F.col("b").alias("set_id")), "set_id", "left_anti")
+        own = loose.select("cluster", "set_id", "far", "n", F.size("apart").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * both))).alias("need"), F.explode("apart").alias("element"))
+        every = reduced.where(reach).select("cluster", F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.size("apart").alias("other_d"), F.explode("apart").alias("element"))
+        often = every.groupBy("cluster", "element").agg(F.count("*").alias("times"))
+        place = F.row_number().over(Window.partitionBy("set_id").orderBy("times", "element"))
+        rare = own.join(often, ["cluster", "element"]).withColumn("place", place).where("place <= d - need + 1 AND times > 1")
+        near = F.lit(True) if left == 1 else ~(F.col("far") & F.col("other_far"))
+        fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
+        met = rare.join(every, ["cluster", "element"]).where((F.col("set_id") != F.col("other")) & near & fits)
+        pairs = met.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+        one = reduced.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
+        two = reduced.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
+        found = found.union(written(confirmed(pairs.join(one, "a").join(two, "b"), num, den), "jaccard-links"))
+
+        rest = reduced.where("far").select("set_id")
+        if left == 1 or rest.isEmpty():
+            return found
+        members = written(members.join(rest, "set_id", "left_semi").select("cluster", "set_id", "n", "elements"), "jaccard-far")
+    return found
 
 
 def needed_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -267,22 +348,13 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col:
     dealt = sent_signatures(docs, width, num, den, buckets, text_col).groupBy("bucket")
     entries = written(dealt.applyInPandas(shared, "signature long, set_id long"), "jaccard-shared")
 
-    # each sharer and the hub it meets most often
-    hubs = entries.groupBy("signature").agg(F.min("set_id").alias("hub"))
-    met = entries.join(hubs, "signature").where("set_id != hub").groupBy("set_id", "hub").count()
-    pairs = met.groupBy("set_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("a")).select("a", F.col("set_id").alias("b"))
-    sets = written(needed_sets(docs, classes, entries.select("set_id").distinct(), width, id_col, text_col), "jaccard-elements")
-    links = written(verified(pairs, sets, num, den), "jaccard-links")
-
-    # sharers in different components after that
-    roots = components(links)
-    placed = entries.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("signature", "set_id", F.coalesce("root", "set_id").alias("root"))
-    open_ = placed.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("signature")
-    rest = written(placed.join(open_, "signature"), "jaccard-open")
-    left = rest.select("signature", F.col("set_id").alias("a"), F.col("root").alias("ra"))
-    right = rest.select("signature", F.col("set_id").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, "signature").where("ra < rb").select("a", "b").distinct()
-    links = links.union(written(verified(more, sets, num, den), "jaccard-links"))
+    # sharers of signatures, directly or through others, are one cluster; each is tied to one sharer of a signature
+    hubs = entries.groupBy("signature").agg(F.min("set_id").alias("a"))
+    ties = entries.join(hubs, "signature").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
+    clusters = components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    sets = needed_sets(docs, classes, clusters.select("set_id"), width, id_col, text_col)
+    members = written(sets.join(clusters, "set_id").select("cluster", "set_id", "n", "elements"), "jaccard-members")
+    links = links_of(members, num, den)
 
     roots = components(links)
     named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
