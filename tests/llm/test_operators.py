@@ -231,6 +231,7 @@ def test_license_base_columns(spark):
 
 def test_license_intervals_by_brute_force(spark):
     table = licenses.rules()
+    assert all(any(h in f" {x} " for h in licenses.HINTS) for f in licenses.FAMILIES for x in f[2]) and {"cc", "commons"} >= {r["keyword"].strip() for r in table if r["label"].startswith("cc-")}
     assert len(table) > 300 and len({r["priority"] for r in table}) == len(table)
     for r in licenses.scan(frame(spark, LICENSED)).collect():
         lowered = re.sub("[A-Z]", lambda m: m[0].lower(), LICENSED[r.doc_id] or "")

@@ -20,8 +20,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .urls import LOWER, UPPER
-
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Keyword, label, names as written (words only), versions.
@@ -66,6 +64,8 @@ FAMILIES = (
 #: Creative Commons parts as words, and the versions.
 COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
 COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Every name has one of these in it, so a text without them needs no further look.
+HINTS = ("licen", " gpl ", " lgpl ", " cddl ", " osl ", " cecill ", " wtfpl ", " public domain ", " cc ", " commons ", " cc0 ")
 GRANT = r"(?:licensed|released|distributed|available|published|provided|covered)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
 
 
@@ -88,7 +88,8 @@ def rules() -> list[dict]:
 
 def words(text: Column) -> Column:
     """The words joined by single spaces, with one space before and after; a single space if there are none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    # lower() also folds letters beyond ASCII; none of them folds to a word of a phrase or rule
+    lowered = F.lower(F.coalesce(text, F.lit("")))
     joined = F.trim(F.regexp_replace(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(joined == "", " ").otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
 
@@ -121,12 +122,9 @@ def detections(text: Column, table: list[dict] | None = None) -> Column:
         starts = F.transform(found, lambda m, i: size(F.slice(pieces, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i)))
         return F.transform(F.arrays_zip(starts.alias("start"), found.alias("found")), lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(z["found"])).alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score")))
 
-    keywords = sorted({r["keyword"] for r in table})
-    gate = reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in keywords))
     every = F.flatten(F.transform(tried, matches))
     covered = lambda x, y: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & ((y["stop"] - y["start"] > x["stop"] - x["start"]) | (y["priority"] < x["priority"]))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,priority:int,label:string,score:double>>")
-    return F.when(gate, F.filter(every, lambda x: ~F.exists(every, lambda y: covered(x, y)))).otherwise(empty)
+    return F.filter(every, lambda x: ~F.exists(every, lambda y: covered(x, y)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,11 +133,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.col("words")
     found = [places(text, phrase) for phrase, _ in BASE]
     base = F.filter(F.array(*[F.when(n > 0, label) for (n, _, _), (_, label) in zip(found, BASE, strict=True)]), lambda x: x.isNotNull())
-    rows = rows.select(
-        "id", (spaces(text) - 1).alias("n_words"), reduce(lambda a, b: a + b, (n for n, _, _ in found)).alias("n_base"),
-        F.least(*[a for _, a, _ in found]).alias("first_word"), F.greatest(*[b for _, _, b in found]).alias("last_word"),
+    looked = F.struct(
+        reduce(lambda a, b: a + b, (n for n, _, _ in found)).alias("n"), F.least(*[a for _, a, _ in found]).alias("first"), F.greatest(*[b for _, _, b in found]).alias("last"),
         F.array_sort(F.array_distinct(base)).alias("base"), detections(text).alias("detections"),
     )
+    hint = reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in HINTS))
+    rows = rows.select("id", (spaces(text) - 1).alias("n_words"), F.when(hint, looked).alias("f"))
+    rows = rows.select(
+        "id", "n_words", F.coalesce("f.n", F.lit(0)).cast("long").alias("n_base"), F.col("f.first").alias("first_word"), F.col("f.last").alias("last_word"),
+        F.coalesce("f.base", F.array().cast("array<string>")).alias("base"), F.coalesce("f.detections", F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,priority:int,label:string,score:double>>")).alias("detections"),
+    )
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("detections", lambda x: x["label"]))))
     score = F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda x: x["score"])), F.lit(0.0)))
     return rows.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), "detections")
