@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,25 +10,7 @@ from veritrail.operators import graph, judging, rules, stats
 from veritrail.session import table
 
 from .evidence import evidence, sql, with_sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str):
-    """Register a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, oracle
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of sums doesn't show."""
-    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
-
+from .registry import ORACLES, QUERIES, query, rounded
 
 # ---- rules, findings and their roll-ups ----
 
