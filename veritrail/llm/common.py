@@ -6,11 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether Spark deletes a query's shuffle files at its end rather than when the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,14 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
 
-    The table stays there until that folder is cleaned, as later reads (and retries of lost tasks) need it.
+    The table stays there until that folder is cleaned, as later reads (and retries of lost tasks) need it. The shuffle
+    files behind it go as soon as it is written. ``batch``: most rows that go to Python at once, for long rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    own = {CLEAN_UP: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +62,7 @@ def crc_mod(id_col: str, modulus: int) -> Column:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists.
+    """mapInArrow with columns as Python lists, and arrays of numbers in them as Numpy arrays.
 
     ``make()`` runs once per task on the executor and returns the function from the columns of a batch to the columns
     of its result.
@@ -60,11 +75,17 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
         step = make()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(step({n: batch.column(n).to_pylist() for n in batch.schema.names}), schema=arrow)
+                yield pa.RecordBatch.from_pydict(step({n: values(batch.column(n)) for n in batch.schema.names}), schema=arrow)
 
     return df.mapInArrow(run, types)
 
 
+def values(column: pa.Array) -> list:
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.null_count:
+        return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())[:-1])
+    return column.to_pylist()
+
+
 def to_arrow(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -23,6 +23,8 @@ columns are not looked at.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -42,8 +44,11 @@ def mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingler(width: int, room: int = 500_000):
-    """A function from a text to its sorted distinct shingle hashes. Words are runs of other than ASCII white space, A-Z lower-cased."""
+def shingler(width: int, room: int = 500_000, chars: int = 1 << 20):
+    """A function from texts to their sorted distinct shingle hashes. Words are runs of other than ASCII white space, A-Z lower-cased.
+
+    Some ``chars`` characters of texts are hashed at once.
+    """
 
     class Kept(dict):
         def __missing__(self, word):
@@ -54,16 +59,32 @@ def shingler(width: int, room: int = 500_000):
 
     kept = Kept()
 
-    def shingles(text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-        n = max(len(h) - width + 1, 1)
-        out = np.full(n, len(h) if len(h) < width else width, np.uint64)
-        for i in range(min(width, len(h))):
+    def rolled(h: np.ndarray, n: int, size: int) -> np.ndarray:
+        out = np.full(n, size, np.uint64)
+        for i in range(size):
             out = mix(out + h[i : i + n], M2)
-        return np.unique(out)
+        return out
+
+    def some(texts: list[str]) -> list[np.ndarray]:
+        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        h = np.fromiter(map(kept.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1])
+        every = rolled(h, max(len(h) - width + 1, 0), width)
+        out = []
+        for w, end in zip(words, ends.tolist(), strict=True):
+            n, start = len(w), end - len(w)
+            out.append(np.unique(every[start : end - width + 1]) if n >= width else rolled(h[start:end], min(n, 1), n))
+        return out
+
+    def shingles(texts: list[str | None]) -> list[np.ndarray]:
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= chars:
+                out += some(held)
+                held, size = [], 0
+        return out + (some(held) if held else [])
 
     return shingles
 
@@ -136,7 +157,7 @@ def sets_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
         shingles = shingler(width)
 
         def step(rows):
-            own = [shingles(t) for t in rows["text"]]
+            own = shingles(rows["text"])
             return {"id": rows["id"], "n_shingles": [len(s) for s in own], "set_id": [set_id(s) for s in own]}
 
         return step
@@ -153,8 +174,7 @@ def sent_signatures(docs: DataFrame, width: int, num: int, den: int, buckets: in
 
         def step(rows):
             groups: dict[int, dict[int, np.ndarray]] = {}
-            for t in rows["text"]:
-                s = shingles(t)
+            for s in shingles(rows["text"]):
                 if len(s):
                     own, band = set_id(s), bands.band(len(s))
                     for g in (band, band + 1):
@@ -217,22 +237,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return roots
 
 
-def centre(rows: pd.DataFrame) -> pd.DataFrame:
-    """The elements that more than half of the sets in the largest part of a cluster's sample have.
+def centring(room: int):
+    """A function from a sample of a cluster to its centres, largest part first, as many as fit ``room`` bytes (one at least).
 
-    A part is a set and all that share half of their elements with it.
+    A part is a set and all that share half of their elements with it; its centre has the elements that more than half
+    of its sets have.
     """
-    sets = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
-    best: list[np.ndarray] = []
-    left = sets
-    while len(left) > len(best):
-        first = left[0]
-        near = [2 * len(np.intersect1d(first, s, assume_unique=True)) >= max(len(first), len(s)) for s in left]
-        part = [s for s, yes in zip(left, near, strict=True) if yes]
-        best = part if len(part) > len(best) else best
-        left = [s for s, yes in zip(left, near, strict=True) if not yes]
-    values, n = np.unique(np.concatenate(best), return_counts=True)
-    return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "centre": [values[2 * n > len(best)].tobytes()]})
+
+    def centres(rows: pd.DataFrame) -> pd.DataFrame:
+        left = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+        parts: list[list[np.ndarray]] = []
+        while left:
+            first = left[0]
+            near = [2 * len(np.intersect1d(first, s, assume_unique=True)) >= max(len(first), len(s)) for s in left[1:]]
+            parts.append([first, *(s for s, yes in zip(left[1:], near, strict=True) if yes)])
+            left = [s for s, yes in zip(left[1:], near, strict=True) if not yes]
+        out, size = [], 0
+        for part in sorted(parts, key=len, reverse=True):
+            values, n = np.unique(np.concatenate(part), return_counts=True)
+            own = values[2 * n > len(part)].tobytes()
+            size += len(own)
+            if out and size > room:
+                break
+            out.append(own)
+        return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "centres": [out]})
+
+    return centres
 
 
 def linked(na: int, nb: int, apart: int, num: int, den: int) -> bool:
@@ -240,102 +270,123 @@ def linked(na: int, nb: int, apart: int, num: int, den: int) -> bool:
     return (num + den) * apart <= (den - num) * (na + nb)
 
 
-def differences(members: DataFrame, centres: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, set_id, n, far, weight, apart) of members: what each has and its centre hasn't, or the other way round.
+def differences(members: DataFrame, centres: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+    """(cluster, part, set_id, n, far, weight, apart, elements) of members and their cluster's centres.
 
-    Two sets differ where just one of them differs from the centre. ``weight`` is (num + den) * |apart| -
-    (den - num) * n: sets with no common difference link if and only if their weights add up to 0 or less.
+    apart: what the set has and the centre hasn't, or the other way round. Two sets differ where just one of them differs
+    from the centre. ``weight`` is (num + den) * |apart| - (den - num) * n: sets with no common difference link if and
+    only if their weights add up to 0 or less. A set gets a row for each centre within its reach, beyond which it can't
+    link with a set near that centre. One that is far from all centres gets a row of part -1 with its elements besides,
+    for the next round; in the last round, all are within reach of the first centre.
     """
+    both, less = num + den, den - num
 
     def make():
         def step(rows):
-            out = {name: [] for name in ("cluster", "set_id", "n", "far", "weight", "apart")}
-            for cluster, own, n, x, c in zip(rows["cluster"], rows["set_id"], rows["n"], rows["elements"], rows["centre"], strict=True):
-                apart = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(c or b"", np.uint64), assume_unique=True).astype(np.int64)
-                for name, value in zip(out, (cluster, own, n, 2 * len(apart) > n, (num + den) * len(apart) - (den - num) * n, apart.tolist()), strict=True):
+            out = {name: [] for name in ("cluster", "part", "set_id", "n", "far", "weight", "apart", "elements")}
+
+            def add(*row):
+                for name, value in zip(out, row, strict=True):
                     out[name].append(value)
+
+            for cluster, own, n, x, centres in zip(rows["cluster"], rows["set_id"], rows["n"], rows["elements"], rows["centres"], strict=True):
+                elements, near = np.frombuffer(x, np.uint64), False
+                for part, c in enumerate(centres or [b""]):
+                    apart = np.setxor1d(elements, np.frombuffer(c, np.uint64), assume_unique=True).astype(np.int64)
+                    far = 2 * len(apart) > n
+                    near |= not far
+                    if last or 2 * num * both * len(apart) <= (den * both + 2 * less * both) * n:
+                        add(cluster, part, own, n, far, both * len(apart) - less * n, apart, None)
+                if not near and not last:
+                    add(cluster, -1, own, n, True, 0, np.zeros(0, np.int64), x)
             return out
 
         return step
 
-    rows = members.join(centres, "cluster", "left").select("cluster", "set_id", "n", "elements", "centre")
-    return arrow_map(rows, make, "cluster long, set_id long, n long, far boolean, weight long, apart array<long>")
+    rows = members.join(centres, "cluster", "left").select("cluster", "set_id", "n", "elements", "centres")
+    return arrow_map(rows, make, "cluster long, part int, set_id long, n long, far boolean, weight long, apart array<long>, elements binary")
+
+
+GROUP = ["cluster", "part"]
+#: Rows with sets in them that go to Python at once.
+LONG_ROWS = 200
 
 
 def confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of the pairs (a, na, x, b, nb, y) that link; x and y are differences to one centre."""
+    """(cluster, part, a, b) of the pairs (cluster, part, a, na, x, b, nb, y) that link; x and y are differences to one centre."""
 
     def make():
         def step(rows):
             yes = [linked(na, nb, len(np.setxor1d(x, y, assume_unique=True)), num, den) for na, nb, x, y in zip(rows["na"], rows["nb"], rows["x"], rows["y"], strict=True)]
-            return {"a": rows["a"], "b": rows["b"], "yes": yes}
+            return {"cluster": rows["cluster"], "part": rows["part"], "a": rows["a"], "b": rows["b"], "yes": yes}
 
         return step
 
-    return arrow_map(pairs.select("a", "na", "x", "b", "nb", "y"), make, "a long, b long, yes boolean").where("yes").select("a", "b")
+    return arrow_map(pairs.select(*GROUP, "a", "na", "x", "b", "nb", "y"), make, "cluster long, part int, a long, b long, yes boolean").where("yes").drop("yes")
 
 
-def links_of(members: DataFrame, num: int, den: int, rounds: int = 3, sample: int = 64) -> DataFrame:
+def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: int = 64, room: int = 1 << 16) -> DataFrame:
     """Links (a, b) that join the same components as all links between (cluster, set_id, n, elements) of one cluster.
 
     A large cluster of near copies has as many pairs as the square of its size, most of them just short of a link.
-    They need no comparison one by one. Each set is reduced to its differences to the cluster's centre (of a sample:
-    the centre decides the cost only). The set with the least weight, x0, is compared with all: whatever links with
-    another set without a common difference also links with x0. What doesn't link with x0 links only through common
-    differences, which are looked up, the rarest first and no more of them than needed. Sets that are far from the
-    centre are compared with each other in the next round, around a centre of their own.
+    They need no comparison one by one. Each set is reduced to its differences to the cluster's centres (of a sample:
+    the centres decide the cost only) within its reach. In the group of a centre, the set with the least weight, x0, is
+    compared with all: whatever links with another set without a common difference also links with x0. What doesn't link
+    with x0 links only through common differences, which are looked up, the rarest first and no more of them than needed.
+    All partners of a set near a centre are in that centre's group. Sets that are far from every centre are compared with
+    each other in the next round, around centres of their own; the last round takes them all as one group.
     """
     both, less = num + den, den - num
     found = None
     for left in range(rounds, 0, -1):
-        sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-        few = members.join(sizes, "cluster").where(F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / sample)) == 0)
-        centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centre, "cluster long, centre binary")
-        reduced = written(differences(members, centres, num, den), "jaccard-differences")
-        least = reduced.groupBy("cluster").agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
-        against = reduced.join(least, "cluster").where("set_id != x0.set_id").select(F.col("x0.set_id").alias("a"), F.col("x0.n").alias("na"), F.col("x0.apart").alias("x"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
-        star = written(confirmed(against, num, den), "jaccard-links")
-        found = star if found is None else found.union(star)
-
-        # a set near the centre can't link with one farther than this from it; those wait for the next round
-        reach = F.lit(True) if left == 1 else 2 * num * both * F.size("apart") <= (den * both + 2 * less * (den + num)) * F.col("n")
-        loose = reduced.where(reach).join(least.select("cluster", F.col("x0.set_id").alias("x0"), F.col("x0.weight").alias("least")), "cluster").where("set_id != x0").join(star.select(F.col("b").alias("set_id")), "set_id", "left_anti")
-        own = loose.select("cluster", "set_id", "far", "n", F.size("apart").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * both))).alias("need"), F.explode("apart").alias("element"))
-        every = reduced.where(reach).select("cluster", F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.size("apart").alias("other_d"), F.explode("apart").alias("element"))
-        often = every.groupBy("cluster", "element").agg(F.count("*").alias("times"))
-        place = F.row_number().over(Window.partitionBy("set_id").orderBy("times", "element"))
-        rare = own.join(often, ["cluster", "element"]).withColumn("place", place).where("place <= d - need + 1 AND times > 1")
-        near = F.lit(True) if left == 1 else ~(F.col("far") & F.col("other_far"))
+        last = left == 1
+        # written, so that its size is known: joined by broadcast only if that is small
+        sizes = written(members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > sample), "jaccard-sizes")
+        few = members.join(sizes, "cluster", "left").where(F.col("size").isNull() | (F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / sample)) == 0))
+        centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centring(0 if last else room), "cluster long, centres array<binary>")
+        table = written(differences(members, centres, num, den, last), "jaccard-differences", LONG_ROWS)
+        reduced = table.where("part >= 0").drop("elements")
+        least = reduced.groupBy(*GROUP).agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
+        against = reduced.join(least, GROUP).where("set_id != x0.set_id").select(*GROUP, F.col("x0.set_id").alias("a"), F.col("x0.n").alias("na"), F.col("x0.apart").alias("x"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
+        star = written(confirmed(against, num, den), "jaccard-links", LONG_ROWS)
+        found = star.select("a", "b") if found is None else found.union(star.select("a", "b"))
+
+        lightest = reduced.groupBy(*GROUP).agg(F.min(F.struct("weight", "set_id")).alias("x0"))
+        loose = reduced.join(lightest, GROUP).where("set_id != x0.set_id").join(star.select(*GROUP, F.col("b").alias("set_id")), [*GROUP, "set_id"], "left_anti")
+        own = loose.select(*GROUP, "set_id", "far", "n", F.size("apart").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("x0.weight")) / (2 * both))).alias("need"), F.explode("apart").alias("element"))
+        every = reduced.select(*GROUP, F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.size("apart").alias("other_d"), F.explode("apart").alias("element"))
+        often = every.groupBy(*GROUP, "element").agg(F.count("*").alias("times"))
+        place = F.row_number().over(Window.partitionBy("set_id", *GROUP).orderBy("times", "element"))
+        rare = own.join(often, [*GROUP, "element"]).withColumn("place", place).where("place <= d - need + 1 AND times > 1")
+        near = F.lit(True) if last else ~(F.col("far") & F.col("other_far"))
         fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
-        met = rare.join(every, ["cluster", "element"]).where((F.col("set_id") != F.col("other")) & near & fits)
-        pairs = met.select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
-        one = reduced.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
-        two = reduced.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
-        found = found.union(written(confirmed(pairs.join(one, "a").join(two, "b"), num, den), "jaccard-links"))
-
-        rest = reduced.where("far").select("set_id")
-        if left == 1 or rest.isEmpty():
+        met = rare.join(every, [*GROUP, "element"]).where((F.col("set_id") != F.col("other")) & near & fits)
+        pairs = met.select(*GROUP, F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
+        one = reduced.select(*GROUP, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
+        two = reduced.select(*GROUP, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
+        found = found.union(written(confirmed(pairs.join(one, [*GROUP, "a"]).join(two, [*GROUP, "b"]), num, den), "jaccard-links", LONG_ROWS).select("a", "b"))
+
+        members = table.where("part < 0").select("cluster", "set_id", "n", "elements")
+        if last or members.isEmpty():
             return found
-        members = written(members.join(rest, "set_id", "left_semi").select("cluster", "set_id", "n", "elements"), "jaccard-far")
     return found
 
 
-def needed_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, n, elements) of the set ids in ``ids``, made again from the texts of their classes' first documents."""
+def needed_sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(cluster, set_id, n, elements) of the sets in ``clusters``, made again from the texts of their classes' first documents."""
 
     def make():
         shingles = shingler(width)
 
         def step(rows):
-            own = [shingles(t) for t in rows["text"]]
-            return {"set_id": rows["set_id"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own]}
+            own = shingles(rows["text"])
+            return {"cluster": rows["cluster"], "set_id": rows["set_id"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own]}
 
         return step
 
-    wanted = classes.join(ids, "set_id").select("set_id", F.col("first").alias("_id"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, "_id").select("set_id", "text")
-    rows = arrow_map(texts, make, "set_id long, n long, elements binary")
-    return rows
+    wanted = classes.join(clusters, "set_id").select("cluster", "set_id", F.col("first").alias("_id"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, "_id").select("cluster", "set_id", "text")
+    return arrow_map(texts, make, "cluster long, set_id long, n long, elements binary")
 
 
 def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,8 +403,7 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col:
     hubs = entries.groupBy("signature").agg(F.min("set_id").alias("a"))
     ties = entries.join(hubs, "signature").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    sets = needed_sets(docs, classes, clusters.select("set_id"), width, id_col, text_col)
-    members = written(sets.join(clusters, "set_id").select("cluster", "set_id", "n", "elements"), "jaccard-members")
+    members = written(needed_sets(docs, classes, clusters, width, id_col, text_col), "jaccard-members")
     links = links_of(members, num, den)
 
     roots = components(links)
