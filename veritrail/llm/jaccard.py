@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, partitions, written
 
+#: Texts, and rows with sets in them, that go to Python at once.
+TEXTS, LONG_ROWS = 2000, 200
 CELLS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -44,7 +46,7 @@ def mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingler(width: int, room: int = 500_000, chars: int = 1 << 20):
+def shingler(width: int, room: int = 200_000, chars: int = 1 << 19):
     """A function from texts to their sorted distinct shingle hashes. Words are runs of other than ASCII white space, A-Z lower-cased.
 
     Some ``chars`` characters of texts are hashed at once.
@@ -308,8 +310,6 @@ def differences(members: DataFrame, centres: DataFrame, num: int, den: int, last
 
 
 GROUP = ["cluster", "part"]
-#: Rows with sets in them that go to Python at once.
-LONG_ROWS = 200
 
 
 def confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -392,18 +392,18 @@ def needed_sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width:
 def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row; sets link when den * intersection >= num * union."""
     spark = docs.sparkSession
-    buckets = partitions(spark, 64)
-    own = written(sets_of(docs, width, id_col, text_col), "jaccard-sets")
+    buckets = partitions(spark, 128)
+    own = written(sets_of(docs, width, id_col, text_col), "jaccard-sets", TEXTS)
     classes = own.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"))
 
     dealt = sent_signatures(docs, width, num, den, buckets, text_col).groupBy("bucket")
-    entries = written(dealt.applyInPandas(shared, "signature long, set_id long"), "jaccard-shared")
+    entries = written(dealt.applyInPandas(shared, "signature long, set_id long"), "jaccard-shared", TEXTS)
 
     # sharers of signatures, directly or through others, are one cluster; each is tied to one sharer of a signature
     hubs = entries.groupBy("signature").agg(F.min("set_id").alias("a"))
     ties = entries.join(hubs, "signature").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    members = written(needed_sets(docs, classes, clusters, width, id_col, text_col), "jaccard-members")
+    members = written(needed_sets(docs, classes, clusters, width, id_col, text_col), "jaccard-members", TEXTS)
     links = links_of(members, num, den)
 
     roots = components(links)
