@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Whether Spark deletes a query's shuffle files at its end rather than when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows go to Python in batches of about so many bytes, however long the texts and sets in them are.
+BATCH_BYTES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +37,11 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
 
     The table stays there until that folder is cleaned, as later reads (and retries of lost tasks) need it. The shuffle
-    files behind it go as soon as it is written. ``batch``: most rows that go to Python at once, for long rows.
+    files behind it go as soon as it is written. ``batch``: most rows that go to Python at once; their bytes are bounded too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
-    own = {CLEAN_UP: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})
+    own = {CLEAN_UP: "true"} | BATCH_BYTES | ({BATCH_ROWS: str(batch)} if batch else {})
     before = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():
