@@ -343,7 +343,9 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
         # written, so that its size is known: joined by broadcast only if that is small
         sizes = written(members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > sample), "jaccard-sizes")
         few = members.join(sizes, "cluster", "left").where(F.col("size").isNull() | (F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / sample)) == 0))
-        centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centring(0 if last else room), "cluster long, centres array<binary>")
+        # written, so that no task holds two Python workers, this one's and that of the differences
+        found_centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centring(0 if last else room), "cluster long, centres array<binary>")
+        centres = written(found_centres, "jaccard-centres", LONG_ROWS)
         table = written(differences(members, centres, num, den, last), "jaccard-differences", LONG_ROWS)
         reduced = table.where("part >= 0").drop("elements")
         least = reduced.groupBy(*GROUP).agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
