@@ -53,6 +53,16 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads: everything made from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions, or ``least`` if that is more."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, written
+from .common import arrow_map, drop, partitions, written
 
 #: Texts, and rows with sets in them, that go to Python at once.
 TEXTS, LONG_ROWS = 2000, 200
@@ -234,8 +234,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = roots.join(best, "node").select("node", F.least("root", "found").alias("up"), F.col("root").alias("was"))
         jump = step.join(roots.select(F.col("node").alias("up"), F.col("root").alias("beyond")), "up")
         moved = written(jump.select("node", F.least("up", "beyond").alias("root"), (F.least("up", "beyond") != F.col("was")).alias("moved")), "roots")
+        drop(roots)
         roots = moved.select("node", "root")
         if moved.where("moved").isEmpty():
+            drop(both)
             return roots
 
 
@@ -337,7 +339,7 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
     each other in the next round, around centres of their own; the last round takes them all as one group.
     """
     both, less = num + den, den - num
-    found = None
+    found, source = None, members
     for left in range(rounds, 0, -1):
         last = left == 1
         # written, so that its size is known: joined by broadcast only if that is small
@@ -347,6 +349,8 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
         found_centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centring(0 if last else room), "cluster long, centres array<binary>")
         centres = written(found_centres, "jaccard-centres", LONG_ROWS)
         table = written(differences(members, centres, num, den, last), "jaccard-differences", LONG_ROWS)
+        drop(source, sizes, centres)
+        source = table
         reduced = table.where("part >= 0").drop("elements")
         least = reduced.groupBy(*GROUP).agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
         against = reduced.join(least, GROUP).where("set_id != x0.set_id").select(*GROUP, F.col("x0.set_id").alias("a"), F.col("x0.n").alias("na"), F.col("x0.apart").alias("x"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
@@ -370,6 +374,7 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
 
         members = table.where("part < 0").select("cluster", "set_id", "n", "elements")
         if last or members.isEmpty():
+            drop(table)
             return found
     return found
 
@@ -405,6 +410,7 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col:
     hubs = entries.groupBy("signature").agg(F.min("set_id").alias("a"))
     ties = entries.join(hubs, "signature").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
     clusters = components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    drop(entries)
     members = written(needed_sets(docs, classes, clusters, width, id_col, text_col), "jaccard-members", TEXTS)
     links = links_of(members, num, den)
 
