@@ -27,8 +27,9 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop, partitions, written
@@ -312,6 +313,61 @@ def differences(members: DataFrame, centres: DataFrame, num: int, den: int, last
 
 
 GROUP = ["cluster", "part"]
+#: Counters of elements, and the pieces that they are added up in.
+COUNTERS, PIECES = 1 << 20, 64
+
+
+def counters(sets: DataFrame) -> np.ndarray:
+    """How many elements of ``apart`` in all rows fall to each of so many counters: a bounded table, whatever the input."""
+    schema = pa.schema([("piece", pa.int32()), ("place", pa.binary()), ("times", pa.binary())])
+
+    def count(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
+        for piece, part in enumerate(np.split(n, PIECES)):
+            place = np.flatnonzero(part)
+            if len(place):
+                yield pa.RecordBatch.from_pydict({"piece": [piece], "place": [place.astype(np.int32).tobytes()], "times": [part[place].tobytes()]}, schema=schema)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(COUNTERS // PIECES, np.int64)
+        for place, times in zip(rows["place"], rows["times"], strict=True):
+            n[np.frombuffer(place, np.int32)] += np.frombuffer(times, np.int64)
+        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "n": [n.tobytes()]})
+
+    added = sets.select("apart").mapInArrow(count, "piece int, place binary, times binary").groupBy("piece").applyInPandas(add, "piece int, n binary")
+    table, n = written(added, "jaccard-counters", LONG_ROWS), np.zeros((PIECES, COUNTERS // PIECES), np.int64)
+    for row in table.collect():  # 64 rows at most, 8 MB in all
+        n[row["piece"]] = np.frombuffer(row["n"], np.int64)
+    drop(table)
+    return n.reshape(-1)
+
+
+def prefixes(rows: DataFrame, times, num: int, den: int) -> DataFrame:
+    """(cluster, part, set_id, far, n, d, weight, prefix): the elements by which a set is found, in one order of all elements.
+
+    The order is by the counter of the element (``times``, a broadcast array), then by the element: any one order is right,
+    and one that begins with rare elements is cheap. A set and its partner have at least ``need`` differences in common:
+    their weights and that of a partner, ``least`` at the least, say so, and so does that no more than (den - num) / num
+    of the set's size can be in it and not in the partner. The first of them is then among the d - need + 1 first of both.
+    """
+    both, less = num + den, den - num
+
+    def make():
+        n_of = times.value
+
+        def step(rows):
+            found = []
+            for n, weight, least, x in zip(rows["n"], rows["weight"], rows["least"], rows["apart"], strict=True):
+                need = max(1, -(-(weight + least) // (2 * both)), len(x) - n * less // num)
+                found.append(x[np.lexsort((x, n_of[x & (COUNTERS - 1)]))[: max(len(x) - need + 1, 0)]])
+            return {c: rows[c] for c in (*GROUP, "set_id", "far", "n", "weight")} | {"d": [len(x) for x in rows["apart"]], "prefix": found}
+
+        return step
+
+    wanted = rows.select(*GROUP, "set_id", "far", "n", "weight", "least", "apart")
+    return arrow_map(wanted, make, "cluster long, part int, set_id long, far boolean, n long, weight long, d long, prefix array<long>")
 
 
 def confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -334,11 +390,12 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
     They need no comparison one by one. Each set is reduced to its differences to the cluster's centres (of a sample:
     the centres decide the cost only) within its reach. In the group of a centre, the set with the least weight, x0, is
     compared with all: whatever links with another set without a common difference also links with x0. What doesn't link
-    with x0 links only through common differences, which are looked up, the rarest first and no more of them than needed.
+    with x0 links only through common differences, which are looked up, the rarest first and no more of them than needed (see ``prefixes``).
     All partners of a set near a centre are in that centre's group. Sets that are far from every centre are compared with
     each other in the next round, around centres of their own; the last round takes them all as one group.
     """
     both, less = num + den, den - num
+    spark = members.sparkSession
     found, source = None, members
     for left in range(rounds, 0, -1):
         last = left == 1
@@ -358,20 +415,24 @@ def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: in
         found = star.select("a", "b") if found is None else found.union(star.select("a", "b"))
 
         lightest = reduced.groupBy(*GROUP).agg(F.min(F.struct("weight", "set_id")).alias("x0"))
-        loose = reduced.join(lightest, GROUP).where("set_id != x0.set_id").join(star.select(*GROUP, F.col("b").alias("set_id")), [*GROUP, "set_id"], "left_anti")
-        own = loose.select(*GROUP, "set_id", "far", "n", F.size("apart").alias("d"), F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("x0.weight")) / (2 * both))).alias("need"), F.explode("apart").alias("element"))
-        every = reduced.select(*GROUP, F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.size("apart").alias("other_d"), F.explode("apart").alias("element"))
-        often = every.groupBy(*GROUP, "element").agg(F.count("*").alias("times"))
-        place = F.row_number().over(Window.partitionBy("set_id", *GROUP).orderBy("times", "element"))
-        rare = own.join(often, [*GROUP, "element"]).withColumn("place", place).where("place <= d - need + 1 AND times > 1")
+        times = spark.sparkContext.broadcast(counters(reduced))
+        weighed = reduced.join(lightest, GROUP).withColumn("least", F.col("x0.weight"))
+        rare = written(prefixes(weighed, times, num, den), "jaccard-prefixes", LONG_ROWS)
+        done = star.select(*GROUP, F.col("b").alias("set_id")).union(lightest.select(*GROUP, "x0.set_id"))
+        every = rare.select(*GROUP, F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("weight").alias("other_weight"), F.col("d").alias("other_d"), F.posexplode("prefix").alias("other_place", "element"))
+        own = rare.join(done, [*GROUP, "set_id"], "left_anti").select(*GROUP, "set_id", "far", "n", "weight", "d", F.posexplode("prefix").alias("place", "element"))
         near = F.lit(True) if last else ~(F.col("far") & F.col("other_far"))
         fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
-        met = rare.join(every, [*GROUP, "element"]).where((F.col("set_id") != F.col("other")) & near & fits)
+        # the first common element of a pair that links has as many after it, in both, as must be common
+        enough = 2 * both * F.least(F.col("d") - F.col("place"), F.col("other_d") - F.col("other_place")) >= F.col("weight") + F.col("other_weight")
+        met = own.join(every, [*GROUP, "element"]).where((F.col("set_id") != F.col("other")) & near & fits & enough)
         pairs = met.select(*GROUP, F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
         one = reduced.select(*GROUP, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
         two = reduced.select(*GROUP, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
         found = found.union(written(confirmed(pairs.join(one, [*GROUP, "a"]).join(two, [*GROUP, "b"]), num, den), "jaccard-links", LONG_ROWS).select("a", "b"))
 
+        drop(rare)
+        times.destroy()
         members = table.where("part < 0").select("cluster", "set_id", "n", "elements")
         if last or members.isEmpty():
             drop(table)
