@@ -160,6 +160,53 @@ def test_probabilities_add_up():
     assert np.allclose((10.0 ** model.log.astype(float)).sum(1), 1, atol=1e-5)
 
 
+class BruteTrie(Brute):
+    """The same with contexts of up to five bytes."""
+
+    def __init__(self, texts):
+        self.n = {}
+        for t in texts:
+            s = [0] * 5 + [*t, 256]
+            for i in range(5, len(s)):
+                for order in range(6):
+                    self.n.setdefault(tuple(s[i - order : i]), Counter())[s[i]] += 1
+
+    def score(self, t):
+        s, total = [0] * 5 + [*t, 256], 0.0
+        for i in range(5, len(s)):
+            p, excluded = 1.0, set()
+            for order in range(5, -1, -1):
+                seen = {k: v for k, v in self.n.get(tuple(s[i - order : i]), {}).items() if k not in excluded}
+                if seen:
+                    whole = sum(seen.values()) + (len(seen) if len(excluded | set(seen)) < 257 else 0)
+                    if s[i] in seen:
+                        p *= seen[s[i]] / whole
+                        break
+                    p *= len(seen) / whole
+                    excluded |= set(seen)
+            else:
+                p /= 257 - len(excluded)
+            total += math.log10(p)
+        return total
+
+
+def test_trie_score_by_brute_force(spark):
+    rnd = random.Random(7)
+    texts = [None, "", "abcab", "\x00\x00a", "été 漢字", "zq" * 300] + ["".join(rnd.choices("abcde", (9, 5, 3, 1, 1), k=rnd.randrange(200))) for _ in range(60)] + ["never"]
+    df = frame(spark, texts).withColumn("train", F.col("doc_id") % 4 != 3)
+    for train in ("train", "none"):
+        got = rows(lm.score(df.withColumn("none", F.lit(False)).repartition(3), train))
+        model = BruteTrie([(t or "").encode() for i, t in enumerate(texts) if train == "train" and i % 4 != 3])
+        for i, t in enumerate(texts):
+            assert got[i].trie_score == pytest.approx(model.score((t or "").encode()), rel=1e-5)
+
+
+def test_trie_learns_from_contexts_longer_than_two_bytes(spark):
+    texts = ["xabz"] * 20 + ["yabw"] * 20 + ["xabz", "xabw"]
+    got = rows(lm.score(frame(spark, texts).withColumn("train", F.col("doc_id") < 40), "train"))
+    assert got[40].score == pytest.approx(got[41].score, abs=1e-4) and got[40].trie_score > got[41].trie_score + 1
+
+
 def brute_components(texts, num, den, width):
     sets = {}
     for i, t in texts.items():

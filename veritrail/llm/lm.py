@@ -6,6 +6,11 @@ context are excluded; below order 0 all symbols left are alike. As the model doe
 context and symbol has one log probability: they are computed once, so scoring is a table lookup per byte. The table
 has at most 65,536 contexts of 257 symbols (256 bytes and the end), whatever the corpus.
 
+``trie_score`` is the same method over contexts of up to five bytes (``ORDER``), which have no such bound: their trie is
+held in shards by the last three bytes of the context. A block sends its distinct pairs of context and symbol, with its
+own counts, to their shards; a shard adds up its part of the trie, goes down from order 5 to 3 by exact counts, ends in
+the table of order 2, and answers each block. ``score`` stays the score of order 2.
+
 The base needs the corpus count of every word of every text, and the words have no bound, so they are never held
 together: each block of documents sends its distinct words, with its own counts, to buckets by hash; a bucket adds up and
 answers each block. A word costs one entry per block however often it occurs, so frequent words aren't hot keys.
@@ -33,6 +38,8 @@ from .common import arrow_map, partitions, to_arrow, written
 END, SYMBOLS = 256, 257
 #: Bytes of text that are worked on together.
 CHUNK = 8_000_000
+#: Longest context of the trie; its shards, and the bytes of text whose contexts are held at once.
+ORDER, SHARDS, PIECE = 5, 256, 2_000_000
 
 
 def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -85,6 +92,44 @@ def byte_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return arrow_map(docs.select(F.col(text_col).alias("text")), make, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def deep_codes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """context * 257 + symbol at each place of the texts, in order; contexts are of ORDER bytes, zero bytes before a text."""
+    for a, b in chunks(texts, PIECE):
+        joined = np.frombuffer(bytes(ORDER) + bytes(ORDER + 1).join(texts[a:b]) + b"\0", np.uint8)
+        sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+        starts = np.concatenate([[0], np.cumsum(sizes + ORDER + 1)[:-1]])
+        code = np.zeros(len(joined) - ORDER, np.int64)
+        for k in range(ORDER):
+            code <<= 8
+            code |= joined[k : k + len(code)]
+        code *= SYMBOLS
+        symbol = joined[ORDER:].astype(np.int16)
+        symbol[starts + sizes] = END
+        code += symbol
+        keep = np.ones(len(code), bool)
+        for pad in range(1, ORDER + 1):
+            keep[(starts + sizes + pad)[:-1]] = False
+        yield code[keep]
+
+
+def shards(codes: np.ndarray) -> np.ndarray:
+    """Shard of each code: by the last three bytes of its context, which orders 3 and up share."""
+    return (((codes // SYMBOLS & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 12) % SHARDS
+
+
+def distinct(texts: list[bytes], training: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct codes of the texts, and how often each occurs in those for training."""
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for yes in (True, False):
+        own = texts if training is None else [t for t, x in zip(texts, training, strict=True) if bool(x) == yes]
+        for piece in deep_codes(own) if yes or training is not None else ():
+            u, n = np.unique(piece, return_counts=True)
+            codes.append(u)
+            counts.append(n if yes else np.zeros(len(u), np.int64))
+    found, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
 class PartialMatching:
     """Log10 probabilities by (row of a context, symbol)."""
 
@@ -103,6 +148,10 @@ class PartialMatching:
         self.log = np.log10(np.concatenate([p2, p1])).astype(np.float32)
         self.row = (len(two) + (np.arange(65536) & 255)).astype(np.int32)
         self.row[two] = np.arange(len(two))
+        order = np.argsort(codes)
+        self.codes, self.n = codes[order], n[order]
+        self.total, self.seen = np.zeros(65536), np.zeros(65536)
+        self.total[two], self.seen[two] = n2.sum(1), (n2 > 0).sum(1)
 
     @staticmethod
     def _mix(counts: np.ndarray, *lower: np.ndarray) -> np.ndarray:
@@ -133,18 +182,66 @@ class PartialMatching:
         return np.add.reduceat(logs, starts, dtype=np.float64)
 
 
+    def deep(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log10 probability of each of the distinct codes of a shard, from their counts ``n`` and the table of order 2.
+
+        What a context has seen, its shorter context has seen too, so the symbols excluded at an order are exactly those
+        seen at the one above: it is enough to take their number and their counts off.
+        """
+        context, symbol = codes // SYMBOLS, codes % SYMBOLS
+        levels, known = [], n > 0
+        for k in range(ORDER, 2, -1):
+            pairs, at = np.unique((context[known] & (1 << 8 * k) - 1) * SYMBOLS + symbol[known], return_inverse=True)
+            levels.append((pairs, np.bincount(at, n[known], len(pairs)), k))
+        levels.append((self.codes, self.n, 2))
+        out, p, done = np.zeros(len(codes)), np.ones(len(codes)), np.zeros(len(codes), bool)
+        gone_n, gone = np.zeros(len(codes)), np.zeros(len(codes))
+        for level, (pairs, counts, k) in enumerate(levels):
+            own = context & (1 << 8 * k) - 1
+            hits = look(pairs, counts, own * SYMBOLS + symbol)
+            if k > 2:
+                parents, first = np.unique(pairs // SYMBOLS, return_index=True)
+                shorter = (pairs // SYMBOLS & (1 << 8 * (k - 1)) - 1) * SYMBOLS + pairs % SYMBOLS
+                sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
+                total, seen = look(parents, sums(counts), own), look(parents, sums(np.ones(len(pairs))), own)
+                next_gone = look(parents, sums(look(*levels[level + 1][:2], shorter)), own)
+            else:
+                total, seen, next_gone = self.total[own], self.seen[own], gone_n
+            fresh = seen - gone
+            whole = np.maximum(total - gone_n + np.where(seen < SYMBOLS, fresh, 0), 1)
+            hit = ~done & (hits > 0)
+            out[hit] = np.log10(p[hit] * hits[hit] / whole[hit])
+            done |= hit
+            p = np.where(done | (fresh == 0), p, p * fresh / whole)
+            gone_n, gone = next_gone, seen
+        # below order 2: the table has these places after an escape from order 2 without exclusions
+        last = context & 0xFFFF
+        escape = np.where(self.seen[last] > 0, self.seen[last] / np.maximum(self.total[last] + self.seen[last], 1), 1.0)
+        rest = ~done
+        out[rest] = np.log10(p[rest]) + self.log[self.row[last[rest]], symbol[rest]] - np.log10(escape[rest])
+        return out
+
+
+def look(keys: np.ndarray, found: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The entry of each asked key in sorted ``keys``, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, found[at], 0.0)
+
+
 def train(docs: DataFrame, text_col: str = "text") -> PartialMatching:
     got = byte_counts(docs, text_col).toPandas()  # of fixed size: at most 256 * 256 * 257 rows
     return PartialMatching(got["code"].to_numpy(np.int64), got["n"].to_numpy(float))
 
 
 def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row; ``train_col`` marks the rows to learn from."""
+    """(id, n_tokens, n_known, train_tokens, base_score, score, trie_score) for each row; ``train_col`` marks the rows to learn from."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs.where(F.col(train_col)), text_col))
     buckets = partitions(spark, 64)
     kind = dict(docs.dtypes)[id_col]
-    schema = f"block long, bucket int, ids array<{kind}>, n_tokens array<long>, score array<double>, payload binary, counts binary"
+    schema = f"block long, bucket int, ids array<{kind}>, n_tokens array<long>, score array<double>, payload binary, counts binary, sizes array<long>, texts binary"
     types = spark.createDataFrame([], schema).schema
     arrow = to_arrow(types)
 
@@ -168,8 +265,15 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 rank[order] = np.arange(len(words), dtype=np.uint32)
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = {n: [] for n in arrow.names}
-                rows = [(block, -1, ids[a:b], [len(x) for x in at], model.value.scores(texts[a:b]).tolist(), pack(rank[np.concatenate(at)].tobytes()), None)]
-                rows += [(block, k, None, None, None, pack(b" ".join(words[i] for i in order[s:e])), counts[order[s:e]].tobytes()) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
+                rows = [(block, -1, ids[a:b], [len(x) for x in at], model.value.scores(texts[a:b]).tolist(), pack(rank[np.concatenate(at)].tobytes()), None, [len(t) for t in texts[a:b]], pack(b"".join(texts[a:b])))]
+                rows += [(block, k, None, None, None, pack(b" ".join(words[i] for i in order[s:e])), counts[order[s:e]].tobytes(), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
+                codes, n = distinct(texts[a:b], training[a:b])
+                shard = shards(codes)
+                order = np.argsort(shard, kind="stable")
+                ends = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+                codes, n = codes[order], n[order].astype(np.int32)
+                # neighbouring codes differ little
+                rows += [(block, buckets + k, None, None, None, pack(np.diff(codes[s:e], prepend=0).tobytes()), pack(n[s:e].tobytes()), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
                 for row in rows:
                     for name, value in zip(arrow.names, row, strict=True):
                         out[name].append(value)
@@ -180,6 +284,12 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
+        if rows["bucket"].iloc[0] >= buckets:
+            own = [np.cumsum(np.frombuffer(unpack(p), np.int64)) for p in rows["payload"]]
+            codes, at = np.unique(np.concatenate(own), return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.frombuffer(unpack(c), np.int32) for c in rows["counts"]]), len(codes))
+            logs = np.split(model.value.deep(codes, n).astype(np.float32)[at], np.cumsum([len(x) for x in own])[:-1])
+            return pd.DataFrame({"block": rows["block"].to_numpy(), "counts": [x.tobytes() for x in logs], "bucket": rows["bucket"].to_numpy(), "n": None, "v": None})
         totals: dict[bytes, int] = {}
         words = [unpack(p).split(b" ") for p in rows["payload"]]
         for own, n in zip(words, rows["counts"], strict=True):
@@ -194,14 +304,23 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
 
     def base(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         answer = answer.sort_values("bucket")
+        deep, answer = answer[answer["bucket"] >= buckets], answer[answer["bucket"] < buckets]
         counts = np.frombuffer(b"".join(answer["counts"]), np.int64)
         logs, known = np.log10(counts + 0.1) - below, counts > 0
         row = block.iloc[0]
         at = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["payload"]), np.uint32)
         sizes = np.asarray(row["n_tokens"], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": row["score"]})
-
-    own = sent.where("bucket < 0").select("block", "ids", "n_tokens", "score", "payload")
+        ends = np.cumsum(row["sizes"])
+        joined = zstandard.ZstdDecompressor().decompress(row["texts"]) if ends[-1] else b""
+        texts = [joined[e - size : e] for e, size in zip(ends.tolist(), np.asarray(row["sizes"]).tolist(), strict=True)]
+        codes, _ = distinct(texts)
+        of_code = np.empty(len(codes), np.float32)
+        of_code[np.argsort(shards(codes), kind="stable")] = np.frombuffer(b"".join(deep["counts"]), np.float32)
+        places = np.concatenate([of_code[np.searchsorted(codes, u)][at] for u, at in (np.unique(piece, return_inverse=True) for piece in deep_codes(texts))])
+        trie = np.add.reduceat(places, np.cumsum(row["sizes"] + 1) - row["sizes"] - 1, dtype=np.float64)
+        return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": row["score"], "trie_score": trie})
+
+    own = sent.where("bucket < 0").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
     got = answers.where("block >= 0").select("block", "bucket", "counts")
-    return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, trie_score double")
