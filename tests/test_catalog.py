@@ -36,3 +36,12 @@ def test_query(spark, duck, name):
     b = sorted(map(plain, want.fetchall()), key=str)
     assert len(a) == len(b)
     assert a == b
+
+
+def test_short_quotes_are_found(spark, tmp_path):
+    texts = ["one two three four five six seven eight", "xone two three four five six seven, eight", "one", "tone two", "a  b\nc d", "", "six seven eightfold nine"]
+    quotes = ["one two three four five six seven", "ne two th", "one", "six seven eight", "a  b", "b\nc", "", "two three", "three four five six seven, eight", "absent"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog.QUERIES["tx_11"](spark, str(tmp_path)).select("item_id", "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(i, j) for i, q in enumerate(quotes) for j, t in enumerate(texts) if q in t]
