@@ -45,3 +45,12 @@ def test_short_quotes_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalog.QUERIES["tx_11"](spark, str(tmp_path)).select("item_id", "doc_id").collect()
     assert sorted(map(tuple, got)) == [(i, j) for i, q in enumerate(quotes) for j, t in enumerate(texts) if q in t]
+
+
+def test_reach_goes_on_to_the_end_of_long_chains(spark):
+    from veritrail.operators import graph
+
+    spark.sparkContext.setCheckpointDir("/tmp/veritrail-tests")
+    edges = spark.createDataFrame([(1, str(i), str(i + 1)) for i in range(70)] + [(1, "70", "3")], "package_id long, s string, o string").coalesce(1).cache()
+    starts = spark.createDataFrame([(1, "0")], "package_id long, node string").coalesce(1)
+    assert sorted(int(r.node) for r in graph.reach(starts, edges).collect()) == list(range(71))

@@ -46,20 +46,22 @@ def optional(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     return rows.join(bindings, [c for c in rows.columns if c in bindings.columns], "left")
 
 
-def reach(starts: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(package_id, start, node) over (package_id, s, o) edges, starts included; cycles end by the visited set.
 
-    Each round joins only the new frontier. The lineage is cut by checkpoint(), in the folder that all executors share.
+    Rounds go on until nothing new is reached, however long the chains are. Each round joins only the new frontier. The lineage is cut by checkpoint(), in the folder that all executors share.
     """
     seen = frontier = starts.select(KEY, F.col("node").alias("start"), "node").distinct()
+    rounds = 0
     hops = edges.select(KEY, F.col("s").alias("node"), F.col("o").alias("next"))
-    for _ in range(rounds):
+    while True:
         step = frontier.join(hops, [KEY, "node"]).select(KEY, "start", F.col("next").alias("node")).distinct()
         frontier = step.join(seen, [KEY, "start", "node"], "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.union(frontier)
-    return seen
+        if (rounds := rounds + 1) % 16 == 0:
+            seen = seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism).checkpoint()
 
 
 def dangling(triples: DataFrame) -> DataFrame:
