@@ -240,3 +240,50 @@ def test_license_intervals_by_brute_force(spark):
         found = [(m.start(), m.end(), x["priority"], x["label"]) for x in table if x["keyword"] in text for m in re.finditer(x["pattern"], text)]
         kept = [a for a in found if not any(b[0] <= a[0] and b[1] >= a[1] and (b[1] - b[0] > a[1] - a[0] or b[2] < a[2]) for b in found)]
         assert sorted(kept) == sorted((d.start, d.stop, d.priority, d.label) for d in r.detections), LICENSED[r.doc_id]
+
+
+def sample(pattern, rnd):
+    """A random text that a rule's pattern matches, its lookaheads left out."""
+    import re._constants as c
+    import re._parser as parser
+
+    def draw(tree):
+        out = ""
+        for op, arg in tree:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.MAX_REPEAT:
+                out += "".join(draw(arg[2]) for _ in range(rnd.randint(arg[0], min(arg[1], 2))))
+            elif op is c.SUBPATTERN:
+                out += draw(arg[3])
+            elif op is c.BRANCH:
+                out += draw(rnd.choice(arg[1]))
+            elif op is c.IN:
+                out += draw([rnd.choice(arg)])
+            else:
+                assert op in (c.ASSERT, c.ASSERT_NOT)
+        return out
+
+    return draw(parser.parse(pattern))
+
+
+def test_every_license_rule_passes_its_gates(spark):
+    rnd = random.Random(9)
+    table = licenses.rules()
+    cases = [(r, sample(r["pattern"], rnd) + " ") for r in table for _ in range(4)]
+    cases = [(r, t, m) for r, t in cases if (m := re.search(r["pattern"], t))]
+    assert {r["priority"] for r, _, _ in cases} == {r["priority"] for r in table}
+    got = rows(licenses.scan(frame(spark, [t for _, t, _ in cases])))
+    for i, (r, t, m) in enumerate(cases):
+        assert any(d.start <= m.start() and d.stop >= m.end() for d in got[i].detections), (r, t)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("released under GPLv3", "gpl-3"), ("LGPLv2.1 or later", "lgpl-2.1"), ("gplv2+", "gpl-2"), ("AGPLv3", "agpl-3"), ("the Expat License", "mit"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+    ("SPDX-License-Identifier: ISC", "isc"), ("SPDX-License-Identifier: EPL-2.0", "epl-2.0"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl-3"), ("licensed under Apache-2.0", "apache-2"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated", "mit"), ("the Apache 2.0 License", "apache-2"), ("wer mit dem Apache 2 Server", ""),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+])
+def test_license_signatures(spark, text, labels):
+    assert licenses.scan(frame(spark, [text])).first().labels == labels

@@ -22,67 +22,88 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Keyword, label, names as written (words only), versions.
+#: SPDX identifier without version as words, label, names as written (words only), versions.
 FAMILIES = (
     ("mit", "mit", ("mit license", "mit licence", "mit open source license", "expat license"), ()),
     ("x11", "x11", ("x11 license",), ()),
     ("apache", "apache", ("apache license", "apache licence", "apache software license"), ("1.0", "1.1", "2")),
-    ("lesser", "lgpl", ("gnu lesser general public license", "lesser general public license"), ("2.1", "3")),
-    ("library", "lgpl", ("gnu library general public license",), ("2",)),
-    ("affero", "agpl", ("gnu affero general public license", "affero general public license"), ("1", "3")),
-    ("general", "gpl", ("gnu general public license", "gnu general public licence"), ("1", "2", "3")),
-    ("gpl", "gpl", ("gnu gpl", "gpl"), ("2", "3")),
-    ("lgpl", "lgpl", ("gnu lgpl", "lgpl"), ("2.1", "3")),
-    ("documentation", "gfdl", ("gnu free documentation license",), ("1.1", "1.2", "1.3")),
-    ("mozilla", "mpl", ("mozilla public license",), ("1.0", "1.1", "2.0")),
-    ("eclipse", "epl", ("eclipse public license",), ("1.0", "2.0")),
+    ("lgpl", "lgpl", ("gnu lesser general public license", "lesser general public license"), ("2.1", "3")),
+    ("lgpl", "lgpl", ("gnu library general public license",), ("2",)),
+    ("agpl", "agpl", ("gnu affero general public license", "affero general public license"), ("1", "3")),
+    ("gpl", "gpl", ("gnu general public license", "gnu general public licence"), ("1", "2", "3")),
+    ("", "gpl", ("gnu gpl", "gpl"), ("2", "3")),
+    ("", "lgpl", ("gnu lgpl", "lgpl"), ("2.1", "3")),
+    ("gfdl", "gfdl", ("gnu free documentation license",), ("1.1", "1.2", "1.3")),
+    ("mpl", "mpl", ("mozilla public license",), ("1.0", "1.1", "2.0")),
+    ("epl", "epl", ("eclipse public license",), ("1.0", "2.0")),
     ("cddl", "cddl", ("common development and distribution license", "cddl"), ("1.0", "1.1")),
-    ("bsd", "bsd-2-clause", ("bsd 2 clause license", "simplified bsd license"), ()),
-    ("bsd", "bsd-3-clause", ("bsd 3 clause license", "new bsd license", "modified bsd license"), ()),
-    ("bsd", "bsd-4-clause", ("bsd 4 clause license", "original bsd license"), ()),
-    ("bsd", "bsd", ("bsd license",), ()),
+    ("bsd 2 clause", "bsd-2-clause", ("bsd 2 clause license", "simplified bsd license"), ()),
+    ("bsd 3 clause", "bsd-3-clause", ("bsd 3 clause license", "new bsd license", "modified bsd license"), ()),
+    ("bsd 4 clause", "bsd-4-clause", ("bsd 4 clause license", "original bsd license"), ()),
+    ("", "bsd", ("bsd license",), ()),
     ("isc", "isc", ("isc license",), ()),
     ("zlib", "zlib", ("zlib license", "zlib libpng license"), ()),
-    ("boost", "bsl", ("boost software license",), ("1.0",)),
+    ("bsl", "bsl", ("boost software license",), ("1.0",)),
     ("artistic", "artistic", ("artistic license",), ("1.0", "2.0")),
-    ("european", "eupl", ("european union public licence",), ("1.0", "1.1", "1.2")),
-    ("sil", "ofl", ("sil open font license",), ("1.0", "1.1")),
-    ("academic", "afl", ("academic free license",), ("1.2", "2.0", "2.1", "3.0")),
+    ("eupl", "eupl", ("european union public licence",), ("1.0", "1.1", "1.2")),
+    ("ofl", "ofl", ("sil open font license",), ("1.0", "1.1")),
+    ("afl", "afl", ("academic free license",), ("1.2", "2.0", "2.1", "3.0")),
     ("osl", "osl", ("open software license osl", "osl"), ("1.0", "2.0", "2.1", "3.0")),
     ("unlicense", "unlicense", ("unlicense",), ()),
     ("wtfpl", "wtfpl", ("wtfpl",), ("1", "2")),
     ("cecill", "cecill", ("cecill",), ("1.0", "2.0", "2.1")),
-    ("python", "psf", ("python software foundation license",), ("2",)),
+    ("psf", "psf", ("python software foundation license",), ("2",)),
     ("php", "php", ("php license",), ("3.0", "3.01")),
     ("postgresql", "postgresql", ("postgresql license",), ()),
-    ("microsoft", "ms-pl", ("microsoft public license",), ()),
-    ("microsoft", "ms-rl", ("microsoft reciprocal license",), ()),
-    ("database", "odbl", ("open database license",), ("1.0",)),
-    ("domain", "public-domain", ("public domain",), ()),
+    ("ms pl", "ms-pl", ("microsoft public license",), ()),
+    ("ms rl", "ms-rl", ("microsoft reciprocal license",), ()),
+    ("odbl", "odbl", ("open database license",), ("1.0",)),
+    ("", "public-domain", ("public domain",), ()),
     ("cc0", "cc0", ("cc0",), ("1.0",)),
 )
 #: Creative Commons parts as words, and the versions.
 COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
 COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Every name has one of these in it, so a text without them needs no further look.
-HINTS = ("licen", " gpl ", " lgpl ", " cddl ", " osl ", " cecill ", " wtfpl ", " public domain ", " cc ", " commons ", " cc0 ")
+#: Short identifiers that name a license also outside a tag, where a version follows.
+ACRONYMS = ("agpl", "gfdl", "mpl", "epl", "bsl", "eupl", "afl", "odbl")
+#: Sentences of license notices: label, the words every match begins with, the rest as a pattern.
+NOTICES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", ""),
+    ("isc", "permission to use copy modify and", "(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ""),
+    ("wtfpl", "do what the fuck you want to public license", ""),
+    ("apache-2", "apache", r"(?: version| v)? ?v?2(?: 0)? licen[cs]e"),
+)
+#: Every match of a rule has one of these in it, so a text without them needs no further look.
+HINTS = ("licen", " gpl", " lgpl", " cddl", " osl", " cecill", " wtfpl", " public domain", " cc ", " commons ", " cc0", " hereby granted", " redistribution and use ", " this software is provided as is ", *(f" {x}" for x in ACRONYMS))
+LICENSED = r"licensed(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
 GRANT = r"(?:licensed|released|distributed|available|published|provided|covered)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
+TAG = "spdx license identifier "
 
 
 def rules() -> list[dict]:
-    """The ordered rules, from the families: grants, identifiers, then bare names; versions before none."""
-    names = [(k, label, n, v) for k, label, own, versions in FAMILIES for n in own for v in (*versions, "")]
+    """The ordered rules: grants, tags, notices, then bare names; versions before none. A keyword is in every match."""
+    names = [(f" {n}", label, n, v) for _, label, own, versions in FAMILIES for n in own for v in (*versions, "")]
+    tags = [(f" {n}", label, n, v) for n, label, _, versions in FAMILIES if n for v in (*versions, "")]
     for short, long in COMMONS.items():
         label = "cc-" + short.replace(" ", "-")
-        names += [(k, label, n, v) for k, n in (("cc", f"cc {short}"), ("commons", f"creative commons {long}")) for v in (*COMMONS_VERSIONS, "")]
+        names += [(k, label, n, v) for k, n in ((" cc ", f"cc {short}"), (" commons ", f"creative commons {long}")) for v in (*COMMONS_VERSIONS, "")]
+        tags += [(" cc ", label, f"cc {short}", v) for v in (*COMMONS_VERSIONS, "")]
+    acronyms = [x for x in tags if x[2] in ACRONYMS and x[3]]
+    published = [(k, label, f"{n} as published by the free software foundation(?: either)?", v) for k, label, n, v in names if label in ("gpl", "lgpl", "agpl") and n.startswith("gnu") and v]
     out = []
-    for kind, sure in (("grant", 1.0), ("identifier", 1.0), ("name", 0.6)):
-        for keyword, label, name, version in names:
+    for start, own, sure in ((GRANT, names + acronyms, 1.0), (LICENSED, tags, 1.0), (TAG, tags, 1.0), ("", published, 1.0), (None, NOTICES, 1.0), ("", names + acronyms, 0.6)):
+        if start is None:
+            out += [{"priority": len(out) + i, "label": label, "keyword": f" {first}", "score": sure, "pattern": f" {first}{rest}(?= )"} for i, (label, first, rest) in enumerate(own)]
+            continue
+        for keyword, label, name, version in own:
             digits = version.replace(".", " ").removesuffix(" 0")
             number = rf"(?: license| licence| international)?(?: version| v)? ?v?{digits}(?: 0)?(?! \d)" if version else ""
-            start = {"grant": GRANT, "identifier": "spdx license identifier ", "name": ""}[kind]
             full = f"{label}-{version.removesuffix('.0') if label == 'apache' else version}" if version else label
-            out.append({"priority": len(out), "label": full, "keyword": f" {keyword} ", "score": sure, "pattern": f" {start}{name}{number}(?= )"})
+            out.append({"priority": len(out), "label": full, "keyword": keyword, "score": sure, "pattern": f" {start}{name}{number}(?= )"})
     return out
 
 
@@ -113,8 +134,13 @@ def places(text: Column, phrase: str) -> tuple[Column, Column, Column]:
 def detections(text: Column, table: list[dict] | None = None) -> Column:
     """Array of (start, stop, priority, label, score) in characters of ``words``: all matches that no other one covers."""
     table = rules() if table is None else table
-    ordered = F.from_json(F.lit(json.dumps(table)), "array<struct<priority:int,label:string,keyword:string,score:double,pattern:string>>")
-    tried = F.filter(ordered, lambda r: F.contains(text, r["keyword"]) & F.regexp_like(text, r["pattern"]))
+    # each keyword is looked for once, however many rules it has
+    keyed: dict[str, list[dict]] = {}
+    for r in table:
+        keyed.setdefault(r["keyword"], []).append(r)
+    groups = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": own} for k, own in keyed.items()])), "array<struct<keyword:string,rules:array<struct<priority:int,label:string,score:double,pattern:string>>>>")
+    near = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(text, g["keyword"])), lambda g: g["rules"]))
+    tried = F.filter(near, lambda r: F.regexp_like(text, r["pattern"]))
 
     def matches(r: Column) -> Column:
         pieces, found = F.split(text, r["pattern"]), F.regexp_extract_all(text, r["pattern"], F.lit(0))
