@@ -281,3 +281,15 @@ def test_jaccard_large_groups_around_absent_centres(spark):
     for num, width in ((85, 4), (95, 4)):
         got = rows(jaccard.join(frame(spark, texts.values(), texts), num, 100, width))
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, num, 100, width)
+
+
+def test_jaccard_ids_and_long_texts(spark):
+    rnd = random.Random(5)
+    long = [f"v{rnd.randrange(9000)}" for _ in range(60_000)]
+    near = [*long[:30_000], "new", *long[30_001:]]
+    # ids: null, null, one id with two texts, the same row twice
+    ids = [None, None, 7, 7, 9, 9, 3]
+    texts = ["a b c d e f", "a b c d e f", "q r s t u", " ".join(long), "x y z w", "x y z w", " ".join(near)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, texts, ids), 85, 100, 4).collect()]
+    sizes = [len({tuple(w[k : k + 4]) for k in range(len(w) - 3)}) for w in (t.split() for t in texts)]
+    assert sorted(got, key=str) == sorted(zip(ids, sizes, [None, None, 7, 3, 9, 9, 3], strict=True), key=str)

@@ -5,20 +5,24 @@ sets are in one band or in neighbouring ones. Within a band, linked sets differ
 is cut into n1 partitions of n2 = 3 cells, of which some partition then has at most one difference, so two of its cells
 agree. Signatures are those pairs of cells. Every linked pair shares one; what shares one is verified on the sets.
 
-Work stays in proportion to the documents:
+Work stays in proportion to the documents, though a group of near copies has as many pairs as the square of its size:
 
-* equal sets are one class (its smallest id stands for it); copies beyond that never meet again;
-* signatures travel packed, one row for each batch and hash bucket, and are made once per class in a batch;
-* sharers of signatures form clusters by one tie each, and a cluster is compared around its centre (see ``links_of``):
-  all its components are found without going through all pairs.
+* equal sets are one class (its smallest id stands for it), told apart by 128 bits;
+* the sharers of a signature are compared with one of them, its hub: the set that shares most signatures with others;
+* what remains are pairs of sharers in different components. Both differ from their hub in a few known elements, and
+  two sets differ where just one of them differs from the hub; so the pairs that may link have differences in common,
+  and are found by those (see ``prefixes``). Sets far from their hub take another one in the next round.
+
+Rows are plain (signature, set) pairs and joins on keys that Spark can split, so no group is held by a task.
 
 Partitions without elements: with k >= 8 there are two partitions more than needed, so a set with at most two
 partitions that have an empty pair of cells shares a non-empty pair with each of its partners. Signatures of
 empty pairs are made only by sets with more of them (and partners that need them do so too).
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows and equal texts are one class; an empty table gives an empty result; other
-columns are not looked at.
+shingle is one shingle; repeated rows and equal texts are one class; rows with a null id, and rows that share an id, are
+documents of their own (a null id is never the smallest of a group that has another); texts of any length are hashed
+whole, in blocks; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,13 +30,11 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop, partitions, written
+from .common import arrow_map, drop, written
 
 #: Texts, and rows with sets in them, that go to Python at once.
 TEXTS, LONG_ROWS = 2000, 200
@@ -92,9 +94,10 @@ def shingler(width: int, room: int = 200_000, chars: int = 1 << 19):
     return shingles
 
 
-def set_id(elements: np.ndarray) -> int:
-    """Signed 64-bit id of a set: equal for equal sets."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).astype(np.int64)))
+def set_id(elements: np.ndarray) -> tuple[int, int]:
+    """128-bit id of a set as two signed longs: equal for equal sets."""
+    h = xxhash.xxh3_128_intdigest(elements.tobytes())
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h & 0xFFFFFFFFFFFFFFFF, h >> 64))
 
 
 class Bands:
@@ -154,23 +157,25 @@ def signatures(sets: list[np.ndarray], group: int, bands: Bands) -> tuple[np.nda
 
 
 def sets_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_id) for each row."""
+    """(id, text_key, n_shingles, h, h2) for each row; text_key is a hash of the text, (h, h2) the id of its set."""
 
     def make():
         shingles = shingler(width)
 
         def step(rows):
             own = shingles(rows["text"])
-            return {"id": rows["id"], "n_shingles": [len(s) for s in own], "set_id": [set_id(s) for s in own]}
+            ids = [set_id(s) for s in own]
+            return {"id": rows["id"], "text_key": rows["text_key"], "n_shingles": [len(s) for s in own], "h": [i for i, _ in ids], "h2": [j for _, j in ids]}
 
         return step
 
     kind = dict(docs.dtypes)[id_col]
-    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, f"id {kind}, n_shingles long, set_id long")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return arrow_map(texts, make, f"id {kind}, text_key long, n_shingles long, h long, h2 long")
 
 
-def sent_signatures(docs: DataFrame, width: int, num: int, den: int, buckets: int, text_col: str) -> DataFrame:
-    """(bucket, signatures, sets): packed, one row for each batch and bucket."""
+def signed(docs: DataFrame, width: int, num: int, den: int, text_col: str) -> DataFrame:
+    """(signature, h): one row for each signature of each set in a batch."""
 
     def make():
         shingles, bands = shingler(width), Bands(num, den)
@@ -179,46 +184,29 @@ def sent_signatures(docs: DataFrame, width: int, num: int, den: int, buckets: in
             groups: dict[int, dict[int, np.ndarray]] = {}
             for s in shingles(rows["text"]):
                 if len(s):
-                    own, band = set_id(s), bands.band(len(s))
+                    own, band = set_id(s)[0], bands.band(len(s))
                     for g in (band, band + 1):
                         if bands.differences(g):  # else linked sets are equal
                             groups.setdefault(g, {})[own] = s
-            found = []
+            out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for g, own in groups.items():
                 ids, sets = np.array(list(own), np.int64), list(own.values())
                 for i in range(0, len(sets), 256):
                     sig, at = signatures(sets[i : i + 256], g, bands)
-                    found.append((sig, ids[i : i + 256][at]))
-            out = {"bucket": [], "signatures": [], "sets": []}
-            if found:
-                sig, ids = np.concatenate([s for s, _ in found]), np.concatenate([i for _, i in found])
-                bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                sig, ids = sig[order], ids[order]
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k, (s, e) in enumerate(zip(ends, ends[1:])):
-                    if e > s:
-                        out["bucket"].append(k)
-                        out["signatures"].append(sig[s:e].tobytes())
-                        out["sets"].append(ids[s:e].tobytes())
-            return out
+                    out.append((sig, ids[i : i + 256][at]))
+            return {"signature": np.concatenate([x for x, _ in out]).view(np.int64), "h": np.concatenate([x for _, x in out])}
 
         return step
 
-    return arrow_map(docs.select(F.col(text_col).alias("text")), make, "bucket int, signatures binary, sets binary")
+    return arrow_map(docs.select(F.col(text_col).alias("text")), make, "signature long, h long")
 
 
-def shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the (signature, set) entries whose signature more than one set has, in order."""
-    sig = np.frombuffer(b"".join(rows["signatures"]), np.uint64)
-    ids = np.frombuffer(b"".join(rows["sets"]), np.int64)
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    first = np.concatenate([[True], (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])])
-    sig, ids = sig[first], ids[first]
-    same = sig[1:] == sig[:-1]
-    keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return pd.DataFrame({"signature": sig[keep].astype(np.int64), "set_id": ids[keep]})
+def shared(rows: DataFrame) -> DataFrame:
+    """(signature, h, size): the distinct entries of the signatures that more than one set has."""
+    by = Window.partitionBy("signature").orderBy("h")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = rows.withColumns({"before": F.lag("h").over(by), "low": F.first("h").over(every), "high": F.last("h").over(every), "size": F.count("*").over(every)})
+    return seen.where((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("h")))).select("signature", "h", "size")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -242,244 +230,155 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return roots
 
 
-def centring(room: int):
-    """A function from a sample of a cluster to its centres, largest part first, as many as fit ``room`` bytes (one at least).
-
-    A part is a set and all that share half of their elements with it; its centre has the elements that more than half
-    of its sets have.
-    """
-
-    def centres(rows: pd.DataFrame) -> pd.DataFrame:
-        left = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
-        parts: list[list[np.ndarray]] = []
-        while left:
-            first = left[0]
-            near = [2 * len(np.intersect1d(first, s, assume_unique=True)) >= max(len(first), len(s)) for s in left[1:]]
-            parts.append([first, *(s for s, yes in zip(left[1:], near, strict=True) if yes)])
-            left = [s for s, yes in zip(left[1:], near, strict=True) if not yes]
-        out, size = [], 0
-        for part in sorted(parts, key=len, reverse=True):
-            values, n = np.unique(np.concatenate(part), return_counts=True)
-            own = values[2 * n > len(part)].tobytes()
-            size += len(own)
-            if out and size > room:
-                break
-            out.append(own)
-        return pd.DataFrame({"cluster": rows["cluster"].iloc[:1], "centres": [out]})
-
-    return centres
-
-
 def linked(na: int, nb: int, apart: int, num: int, den: int) -> bool:
     """Whether sets of these sizes that differ in ``apart`` elements link."""
     return (num + den) * apart <= (den - num) * (na + nb)
 
 
-def differences(members: DataFrame, centres: DataFrame, num: int, den: int, last: bool) -> DataFrame:
-    """(cluster, part, set_id, n, far, weight, apart, elements) of members and their cluster's centres.
+def hubs_of(entries: DataFrame) -> DataFrame:
+    """(signature, key, hub) from (signature, key, size): the hub is the sharer that shares most with others."""
+    shares = entries.groupBy("key").agg(F.sum("size").alias("shares"))
+    by = Window.partitionBy("signature").orderBy(F.desc("shares"), "key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return entries.join(shares, "key").select("signature", "key", F.first("key").over(by).alias("hub"))
+
 
-    apart: what the set has and the centre hasn't, or the other way round. Two sets differ where just one of them differs
-    from the centre. ``weight`` is (num + den) * |apart| - (den - num) * n: sets with no common difference link if and
-    only if their weights add up to 0 or less. A set gets a row for each centre within its reach, beyond which it can't
-    link with a set near that centre. One that is far from all centres gets a row of part -1 with its elements besides,
-    for the next round; in the last round, all are within reach of the first centre.
+def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+    """(hub, key, n, far, link, weight, apart) of the pairs (key, hub).
+
+    apart: what the set has and the hub hasn't, then what the hub has and the set hasn't, each in order; null for a set so
+    far that it can't link with one near the hub (in the last round, all count as near). ``weight`` is (num + den) *
+    |apart| - (den - num) * n: sets with no common difference to a hub link if their weights add up to 0 or less.
     """
     both, less = num + den, den - num
 
     def make():
         def step(rows):
-            out = {name: [] for name in ("cluster", "part", "set_id", "n", "far", "weight", "apart", "elements")}
-
-            def add(*row):
-                for name, value in zip(out, row, strict=True):
+            out = {name: [] for name in ("hub", "key", "n", "far", "link", "weight", "apart")}
+            for hub, key, x, y in zip(rows["hub"], rows["key"], rows["x"], rows["y"], strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                apart = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+                n = len(x)
+                far = 2 * len(apart) > n and not last
+                reach = last or 2 * num * both * len(apart) <= (den * both + 2 * less * both) * n
+                for name, value in zip(out, (hub, key, n, far, linked(n, len(y), len(apart), num, den), both * len(apart) - less * n, apart if reach else None), strict=True):
                     out[name].append(value)
-
-            for cluster, own, n, x, centres in zip(rows["cluster"], rows["set_id"], rows["n"], rows["elements"], rows["centres"], strict=True):
-                elements, near = np.frombuffer(x, np.uint64), False
-                for part, c in enumerate(centres or [b""]):
-                    apart = np.setxor1d(elements, np.frombuffer(c, np.uint64), assume_unique=True).astype(np.int64)
-                    far = 2 * len(apart) > n
-                    near |= not far
-                    if last or 2 * num * both * len(apart) <= (den * both + 2 * less * both) * n:
-                        add(cluster, part, own, n, far, both * len(apart) - less * n, apart, None)
-                if not near and not last:
-                    add(cluster, -1, own, n, True, 0, np.zeros(0, np.int64), x)
             return out
 
         return step
 
-    rows = members.join(centres, "cluster", "left").select("cluster", "set_id", "n", "elements", "centres")
-    return arrow_map(rows, make, "cluster long, part int, set_id long, n long, far boolean, weight long, apart array<long>, elements binary")
-
-
-GROUP = ["cluster", "part"]
-#: Counters of elements, and the pieces that they are added up in.
-COUNTERS, PIECES = 1 << 20, 64
-
-
-def counters(sets: DataFrame) -> np.ndarray:
-    """How many elements of ``apart`` in all rows fall to each of so many counters: a bounded table, whatever the input."""
-    schema = pa.schema([("piece", pa.int32()), ("place", pa.binary()), ("times", pa.binary())])
-
-    def count(batches):
-        n = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (COUNTERS - 1), minlength=COUNTERS)
-        for piece, part in enumerate(np.split(n, PIECES)):
-            place = np.flatnonzero(part)
-            if len(place):
-                yield pa.RecordBatch.from_pydict({"piece": [piece], "place": [place.astype(np.int32).tobytes()], "times": [part[place].tobytes()]}, schema=schema)
+    one, two = sets.select("key", F.col("elements").alias("x")), sets.select(F.col("key").alias("hub"), F.col("elements").alias("y"))
+    return arrow_map(pairs.join(one, "key").join(two, "hub"), make, "hub long, key long, n long, far boolean, link boolean, weight long, apart array<long>")
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(COUNTERS // PIECES, np.int64)
-        for place, times in zip(rows["place"], rows["times"], strict=True):
-            n[np.frombuffer(place, np.int32)] += np.frombuffer(times, np.int64)
-        return pd.DataFrame({"piece": rows["piece"].iloc[:1], "n": [n.tobytes()]})
 
-    added = sets.select("apart").mapInArrow(count, "piece int, place binary, times binary").groupBy("piece").applyInPandas(add, "piece int, n binary")
-    table, n = written(added, "jaccard-counters", LONG_ROWS), np.zeros((PIECES, COUNTERS // PIECES), np.int64)
-    for row in table.collect():  # 64 rows at most, 8 MB in all
-        n[row["piece"]] = np.frombuffer(row["n"], np.int64)
-    drop(table)
-    return n.reshape(-1)
+def prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, key, root, far, n, d, weight, prefix): the differences by which a set is found, in one order for all of a hub.
 
-
-def prefixes(rows: DataFrame, times, num: int, den: int) -> DataFrame:
-    """(cluster, part, set_id, far, n, d, weight, prefix): the elements by which a set is found, in one order of all elements.
-
-    The order is by the counter of the element (``times``, a broadcast array), then by the element: any one order is right,
-    and one that begins with rare elements is cheap. A set and its partner have at least ``need`` differences in common:
-    their weights and that of a partner, ``least`` at the least, say so, and so does that no more than (den - num) / num
-    of the set's size can be in it and not in the partner. The first of them is then among the d - need + 1 first of both.
+    What the hub hasn't comes first: it is rarer among the hub's sharers than what they lack. Any one order is right. A
+    set and its partner have at least ``need`` differences in common: their weights and that of a partner, ``least`` at
+    the least, say so, and so does that no more than (den - num) / num of the set's size can be in it and not in the
+    partner. The first of them is then among the d - need + 1 first of both.
     """
     both, less = num + den, den - num
+    d = F.size("apart")
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * both)), d - F.floor(F.col("n") * less / num))
+    size = F.greatest(d - need + 1, F.lit(0)).cast("int")
+    return rows.select("hub", "key", "root", "far", "n", d.alias("d"), "weight", F.slice("apart", F.lit(1), size).alias("prefix"))
 
-    def make():
-        n_of = times.value
-
-        def step(rows):
-            found = []
-            for n, weight, least, x in zip(rows["n"], rows["weight"], rows["least"], rows["apart"], strict=True):
-                need = max(1, -(-(weight + least) // (2 * both)), len(x) - n * less // num)
-                found.append(x[np.lexsort((x, n_of[x & (COUNTERS - 1)]))[: max(len(x) - need + 1, 0)]])
-            return {c: rows[c] for c in (*GROUP, "set_id", "far", "n", "weight")} | {"d": [len(x) for x in rows["apart"]], "prefix": found}
-
-        return step
-
-    wanted = rows.select(*GROUP, "set_id", "far", "n", "weight", "least", "apart")
-    return arrow_map(wanted, make, "cluster long, part int, set_id long, far boolean, n long, weight long, d long, prefix array<long>")
 
+def confirmed(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs (hub, a, b) that link, from their differences to the hub."""
+    one = rows.select("hub", F.col("key").alias("a"), F.col("weight").alias("wa"), F.col("apart").alias("x"))
+    two = rows.select("hub", F.col("key").alias("b"), F.col("weight").alias("wb"), F.col("apart").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, ["hub", "a"]).join(two, ["hub", "b"]).where(2 * (num + den) * common >= F.col("wa") + F.col("wb")).select("a", "b")
 
-def confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, part, a, b) of the pairs (cluster, part, a, na, x, b, nb, y) that link; x and y are differences to one centre."""
 
-    def make():
-        def step(rows):
-            yes = [linked(na, nb, len(np.setxor1d(x, y, assume_unique=True)), num, den) for na, nb, x, y in zip(rows["na"], rows["nb"], rows["x"], rows["y"], strict=True)]
-            return {"cluster": rows["cluster"], "part": rows["part"], "a": rows["a"], "b": rows["b"], "yes": yes}
-
-        return step
+def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
+    """Links (a, b) that join the same components as all links between sharers (signature, key, size) of a signature.
 
-    return arrow_map(pairs.select(*GROUP, "a", "na", "x", "b", "nb", "y"), make, "cluster long, part int, a long, b long, yes boolean").where("yes").drop("yes")
-
-
-def links_of(members: DataFrame, num: int, den: int, rounds: int = 6, sample: int = 64, room: int = 1 << 16) -> DataFrame:
-    """Links (a, b) that join the same components as all links between (cluster, set_id, n, elements) of one cluster.
-
-    A large cluster of near copies has as many pairs as the square of its size, most of them just short of a link.
-    They need no comparison one by one. Each set is reduced to its differences to the cluster's centres (of a sample:
-    the centres decide the cost only) within its reach. In the group of a centre, the set with the least weight, x0, is
-    compared with all: whatever links with another set without a common difference also links with x0. What doesn't link
-    with x0 links only through common differences, which are looked up, the rarest first and no more of them than needed (see ``prefixes``).
-    All partners of a set near a centre are in that centre's group. Sets that are far from every centre are compared with
-    each other in the next round, around centres of their own; the last round takes them all as one group.
+    In each round, each signature has a hub, with which its sharers are compared. Of two sharers of which one is near
+    the hub, both are within reach, and their differences to it decide: where their weights allow a link without a
+    common difference, both link with the lightest set of that hub; else they meet by a common difference, if they aren't
+    in one component already. Sharers that are both far from the hub meet in the next round; in the last, none counts as far.
     """
     both, less = num + den, den - num
-    spark = members.sparkSession
-    found, source = None, members
+    found = None
     for left in range(rounds, 0, -1):
         last = left == 1
-        # written, so that its size is known: joined by broadcast only if that is small
-        sizes = written(members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > sample), "jaccard-sizes")
-        few = members.join(sizes, "cluster", "left").where(F.col("size").isNull() | (F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / sample)) == 0))
-        # written, so that no task holds two Python workers, this one's and that of the differences
-        found_centres = few.select("cluster", "elements").groupBy("cluster").applyInPandas(centring(0 if last else room), "cluster long, centres array<binary>")
-        centres = written(found_centres, "jaccard-centres", LONG_ROWS)
-        table = written(differences(members, centres, num, den, last), "jaccard-differences", LONG_ROWS)
-        drop(source, sizes, centres)
-        source = table
-        reduced = table.where("part >= 0").drop("elements")
-        least = reduced.groupBy(*GROUP).agg(F.min_by(F.struct("set_id", "n", "apart", "weight"), F.struct("weight", "set_id")).alias("x0"))
-        against = reduced.join(least, GROUP).where("set_id != x0.set_id").select(*GROUP, F.col("x0.set_id").alias("a"), F.col("x0.n").alias("na"), F.col("x0.apart").alias("x"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
-        star = written(confirmed(against, num, den), "jaccard-links", LONG_ROWS)
-        found = star.select("a", "b") if found is None else found.union(star.select("a", "b"))
-
-        lightest = reduced.groupBy(*GROUP).agg(F.min(F.struct("weight", "set_id")).alias("x0"))
-        times = spark.sparkContext.broadcast(counters(reduced))
-        weighed = reduced.join(lightest, GROUP).withColumn("least", F.col("x0.weight"))
-        rare = written(prefixes(weighed, times, num, den), "jaccard-prefixes", LONG_ROWS)
-        done = star.select(*GROUP, F.col("b").alias("set_id")).union(lightest.select(*GROUP, "x0.set_id"))
-        every = rare.select(*GROUP, F.col("set_id").alias("other"), F.col("far").alias("other_far"), F.col("n").alias("other_n"), F.col("weight").alias("other_weight"), F.col("d").alias("other_d"), F.posexplode("prefix").alias("other_place", "element"))
-        own = rare.join(done, [*GROUP, "set_id"], "left_anti").select(*GROUP, "set_id", "far", "n", "weight", "d", F.posexplode("prefix").alias("place", "element"))
-        near = F.lit(True) if last else ~(F.col("far") & F.col("other_far"))
+        dealt = written(hubs_of(entries), "jaccard-hubs")
+        pairs = dealt.where("key != hub").select("key", "hub").distinct()
+        rows = written(differences(pairs, sets, num, den, last), "jaccard-differences", LONG_ROWS)
+        within = rows.where("apart is not null")
+
+        # the lightest set of a hub is the hub itself, with no differences, or a lighter one
+        least = within.groupBy("hub").agg(F.min(F.struct("weight", "key")).alias("x0"))
+        lightest = within.select("hub", "key", "weight").join(least, "hub").where("key != x0.key and weight + x0.weight <= 0").select(F.col("key").alias("a"), F.col("x0.key").alias("b"))
+        stars = written(rows.where("link").select(F.col("key").alias("a"), F.col("hub").alias("b")).union(lightest), "jaccard-links")
+        roots = components(stars)
+        labelled = within.drop("link").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = within.select("hub", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").groupBy("hub").agg(F.min(F.coalesce("root", "key")).alias("low"), F.max(F.coalesce("root", "key")).alias("high")).where("low != high").select("hub")
+        hub_weight = sets.select(F.col("key").alias("hub"), (-less * F.col("n")).alias("own"))
+        weighed = least.join(mixed, "hub").join(hub_weight, "hub").select("hub", F.least("own", "x0.weight").alias("least"))
+        open_rows = written(labelled.join(weighed, "hub"), "jaccard-open", LONG_ROWS)
+
+        entry = prefixes(open_rows, num, den).select("hub", "key", "root", "far", "n", "d", "weight", F.posexplode("prefix").alias("place", "element"))
+        other = entry.select("hub", "element", *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "far", "n", "d", "weight", "place")])
+        apart = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & ~(F.col("far") & F.col("other_far"))
         fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
         # the first common element of a pair that links has as many after it, in both, as must be common
         enough = 2 * both * F.least(F.col("d") - F.col("place"), F.col("other_d") - F.col("other_place")) >= F.col("weight") + F.col("other_weight")
-        met = own.join(every, [*GROUP, "element"]).where((F.col("set_id") != F.col("other")) & near & fits & enough)
-        pairs = met.select(*GROUP, F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
-        one = reduced.select(*GROUP, F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("apart").alias("x"))
-        two = reduced.select(*GROUP, F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("apart").alias("y"))
-        found = found.union(written(confirmed(pairs.join(one, [*GROUP, "a"]).join(two, [*GROUP, "b"]), num, den), "jaccard-links", LONG_ROWS).select("a", "b"))
-
-        drop(rare)
-        times.destroy()
-        members = table.where("part < 0").select("cluster", "set_id", "n", "elements")
-        if last or members.isEmpty():
-            drop(table)
+        met = entry.join(other, ["hub", "element"]).where(apart & fits & enough).select("hub", F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
+        more = written(confirmed(met, open_rows, num, den), "jaccard-links")
+        found = stars.union(more) if found is None else found.union(stars).union(more)
+        drop(roots, open_rows)
+
+        far = dealt.join(rows.where("far").select("key", "hub"), ["key", "hub"]).select("signature", "key")
+        count = F.count("*").over(Window.partitionBy("signature"))
+        entries = written(far.withColumn("size", count).where("size > 1"), "jaccard-far")
+        drop(dealt, rows)
+        if last or entries.isEmpty():
+            drop(entries)
             return found
     return found
 
 
-def needed_sets(docs: DataFrame, classes: DataFrame, clusters: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cluster, set_id, n, elements) of the sets in ``clusters``, made again from the texts of their classes' first documents."""
+def needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(key, h, h2, n, elements) of the sets whose h is in ``needed``, made again from the texts of their classes' first documents."""
 
     def make():
         shingles = shingler(width)
 
         def step(rows):
             own = shingles(rows["text"])
-            return {"cluster": rows["cluster"], "set_id": rows["set_id"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own]}
+            same = [set_id(s) == (h, h2) for s, h, h2 in zip(own, rows["h"], rows["h2"], strict=True)]
+            return {"h": rows["h"], "h2": rows["h2"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own], "same": same}
 
         return step
 
-    wanted = classes.join(clusters, "set_id").select("cluster", "set_id", F.col("first").alias("_id"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(wanted, "_id").select("cluster", "set_id", "text")
-    return arrow_map(texts, make, "cluster long, set_id long, n long, elements binary")
+    # a row is known by its id and its text: ids may be null or repeat
+    wanted = classes.join(needed, "h", "left_semi").select("h", "h2", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("key"))
+    texts = docs.select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    found = texts.join(wanted, (F.col("text_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id"))).select("h", "h2", "text")
+    return arrow_map(found, make, "h long, h2 long, n long, elements binary, same boolean").where("same").select(F.monotonically_increasing_id().alias("key"), "h", "h2", "n", "elements")
 
 
 def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row; sets link when den * intersection >= num * union."""
-    spark = docs.sparkSession
-    buckets = partitions(spark, 128)
     own = written(sets_of(docs, width, id_col, text_col), "jaccard-sets", TEXTS)
-    classes = own.where("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"))
-
-    dealt = sent_signatures(docs, width, num, den, buckets, text_col).groupBy("bucket")
-    entries = written(dealt.applyInPandas(shared, "signature long, set_id long"), "jaccard-shared", TEXTS)
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))
+    classes = own.where("n_shingles > 0").groupBy("h", "h2").agg(F.min(row).alias("rep"))
 
-    # sharers of signatures, directly or through others, are one cluster; each is tied to one sharer of a signature
-    hubs = entries.groupBy("signature").agg(F.min("set_id").alias("a"))
-    ties = entries.join(hubs, "signature").where("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
-    clusters = components(ties).select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    drop(entries)
-    members = written(needed_sets(docs, classes, clusters, width, id_col, text_col), "jaccard-members", TEXTS)
-    links = links_of(members, num, den)
+    met = written(shared(signed(docs, width, num, den, text_col)), "jaccard-shared", TEXTS)
+    sets = written(needed_sets(docs, classes, met.select("h").distinct(), width, id_col, text_col), "jaccard-elements", TEXTS)
+    # a row that occurs twice gives its set twice
+    names = sets.groupBy("h", "h2").agg(F.min("key").alias("key"))
+    links = links_of(met.join(names.select("h", "key"), "h").select("signature", "key", "size"), sets, num, den)
 
     roots = components(links)
-    named = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
-    least = named.groupBy("root").agg(F.min("first").alias("component"))
-    joined = named.join(least, "root").select("set_id", "component")
+    named = names.join(roots.select(F.col("node").alias("key"), "root"), "key").join(classes, ["h", "h2"]).select("h", "h2", "root", "rep")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    joined = named.join(least, "root").select("h", "h2", F.col("least.id").alias("component"))
     # copies of one set only: the class's own first id
-    of_set = classes.join(joined, "set_id", "left").select("set_id", F.coalesce("component", "first").alias("component"))
-    rows = own.join(of_set, "set_id", "left")
+    of_set = classes.join(joined, ["h", "h2"], "left").select("h", "h2", F.coalesce("component", "rep.id").alias("component"))
+    rows = own.join(of_set, ["h", "h2"], "left")
     return rows.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
