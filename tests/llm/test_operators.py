@@ -287,3 +287,40 @@ def test_every_license_rule_passes_its_gates(spark):
 ])
 def test_license_signatures(spark, text, labels):
     assert licenses.scan(frame(spark, [text])).first().labels == labels
+
+
+def test_a_url_of_a_megabyte(spark):
+    long = "http://good.example/" + "a1/é" * 250_000
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([long, "http://a.net/x", "http://example.net/en/y"] * 2)], "page_id long, url string")
+    got = rows(urls.judge(df, queries.URL_RULES), "page_id")
+    assert got[0].path == "/" + "a1/é" * 250_000 and got[0].score == got[3].score
+
+
+def test_url_query_whole_table(spark):
+    given = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = rows(queries.op3_url_filter(spark, SF), "page_id")
+    assert got.keys() == given.keys()
+    for i, u in given.items():
+        host, path = split_url(u)
+        fits = [(n, v) for n, v in queries.URL_RULES if (host == n.split("/", 1)[0] or host.endswith("." + n.split("/", 1)[0])) and path.startswith("/" + n.split("/", 1)[1])]
+        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (verdict or got[i].verdict)
+
+
+def test_a_text_of_many_licenses(spark):
+    text = "under the mit license and the gnu general public license version 2 or cc by nc 4.0, " * 5000
+    r = licenses.scan(frame(spark, [text])).first()
+    assert r.labels == "cc-by-nc,cc-by-nc-4.0,gpl-2,mit" and r.n_base == 10_000 and len(r.detections) == 15_000
+    found = sorted((d.start, d.stop) for d in r.detections)
+    assert len(set(found)) == 15_000 and all(a[1] <= b[0] + 1 for a, b in zip(found, found[1:]))
+
+
+def test_license_query_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = rows(queries.op6_licenses(spark, SF))
+    for d in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text or ""))
+        at = [(k, label) for phrase, label in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = got[d.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at}))

@@ -8,8 +8,9 @@ labels of what stays are the document's.
 Everything is row-local DataFrame functions: no shuffle, no key that could be hot, and texts without any keyword pay
 for one pass over their characters.
 
-Defined cases: a null or empty text has no words, no labels and score 0; repeated rows give equal results; an empty
-table gives an empty result; other columns are not looked at.
+Defined cases: a null or empty text has no words, no labels and score 0; of equal intervals the rule that comes first
+stays; texts of any length and any number of matches are scanned whole, in n log n steps of the n matches; repeated rows
+give equal results; an empty table gives an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,14 +144,38 @@ def detections(text: Column, table: list[dict] | None = None) -> Column:
     tried = F.filter(near, lambda r: F.regexp_like(text, r["pattern"]))
 
     def matches(r: Column) -> Column:
-        pieces, found = F.split(text, r["pattern"]), F.regexp_extract_all(text, r["pattern"], F.lit(0))
-        size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-        starts = F.transform(found, lambda m, i: size(F.slice(pieces, F.lit(1), i + 1)) + size(F.slice(found, F.lit(1), i)))
-        return F.transform(F.arrays_zip(starts.alias("start"), found.alias("found")), lambda z: F.struct(z["start"].alias("start"), (z["start"] + F.length(z["found"])).alias("stop"), r["priority"].alias("priority"), r["label"].alias("label"), r["score"].alias("score")))
-
-    every = F.flatten(F.transform(tried, matches))
-    covered = lambda x, y: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & ((y["stop"] - y["start"] > x["stop"] - x["start"]) | (y["priority"] < x["priority"]))
-    return F.filter(every, lambda x: ~F.exists(every, lambda y: covered(x, y)))
+        def placed(both: Column) -> Column:
+            pieces, found = both["pieces"], both["found"]
+            gone = F.concat(F.array(F.lit(0)), F.transform(found, F.length))
+            starts = scanned(F.zip_with(F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found)), F.slice(gone, F.lit(1), F.size(found)), lambda a, b: a + b), lambda a, b: a + b)
+            sized = F.zip_with(starts, found, lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("stop")))
+            return F.transform(sized, lambda z: F.struct(z["start"].alias("start"), (-z["stop"]).alias("before"), r["priority"].alias("priority"), z["stop"].alias("stop"), r["label"].alias("label"), r["score"].alias("score")))
+
+        return let(F.struct(F.split(text, r["pattern"]).alias("pieces"), F.regexp_extract_all(text, r["pattern"], F.lit(0)).alias("found")), placed)
+
+    def uncovered(every: Column) -> Column:
+        # in this order, whatever covers an interval comes before it and ends no earlier
+        reached = F.concat(F.array(F.lit(-1)), scanned(F.transform(every, lambda x: x["stop"]), F.greatest))
+        marked = F.zip_with(every, F.slice(reached, F.lit(1), F.size(every)), lambda x, most: F.struct(x.alias("x"), (x["stop"] > most).alias("kept")))
+        return F.transform(F.filter(marked, lambda m: m["kept"]), lambda m: F.struct(*[m["x"][c].alias(c) for c in ("start", "stop", "priority", "label", "score")]))
+
+    return let(F.array_sort(F.flatten(F.transform(tried, matches))), uncovered)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(numbers: Column, join) -> Column:
+    """Running sums (or what else ``join`` says) of an array, by shifts of 1, 2, 4, ... places: n log n steps."""
+    n = F.size(numbers)
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < n)
+
+    def step(own: Column, k: Column) -> Column:
+        return F.zip_with(own, F.concat(F.array_repeat(F.lit(None).cast("int"), k), F.slice(own, F.lit(1), F.size(own) - k)), lambda a, b: F.when(b.isNull(), a).otherwise(join(a, b)))
+
+    return F.aggregate(shifts, numbers, step)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
