@@ -169,7 +169,40 @@ def test_language_backoff_prefers_words_then_long_grams():
 
     model = language.Backoff(["a", "b"], {"ab": np.array([-1.0, -9.0])}, {"<abc": np.array([-2.0, -3.0]), "c": np.array([-9.0, -1.0]), "d>": np.array([-5.0, -4.0])})
     assert model.unseen("abcd").tolist() == [-3.5, -3.5]
-    assert model.predictor()("ab")[0] == "a" and model.predictor()("c")[0] == "b"
+    assert [x[0] for x in model.predictor()(["ab", "c"])] == ["a", "b"]
+
+
+def brute_language(model, text):
+    """Word by word, as it is defined."""
+    import unicodedata
+
+    import numpy as np
+
+    words, at = {w: r for w, r in zip(model.words.names, model.words.rows)}, ""
+    runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    if not runs or not model.langs:
+        return "und", 0.0
+    total = sum(words[w] if w in words else model.unseen(w) for w in runs) * min(1, 16 / len(runs))
+    return model.langs[int(np.argmax(total))], float(1 / np.exp(total - total.max()).sum())
+
+
+def test_language_query_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train(docs.where("pmod(crc32(cast(cast(doc_id AS string) AS binary)), 4) != 2"))
+    got = rows(queries.op8_language(spark, SF))
+    for d in docs.collect():
+        pred, score = brute_language(model, d.text)
+        assert got[d.doc_id].lang_pred == pred and got[d.doc_id].score == pytest.approx(score, rel=1e-4)
+
+
+def test_language_letters_and_many_words(spark):
+    # more words than the tables once held, and numerals that are no letters
+    train = spark.createDataFrame([(" ".join(f"a{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}{x}" for i in range(60_000)), x) for x in ("k", "z")], "text string, lang string")
+    model = language.train(train)
+    assert len(model.words.names) == 120_000
+    got = rows(language.identify(frame(spark, ["½ ² Ⅷ", "١٢", "aaaaak", "azzzdz", "ab " * 900_000, None, "aaaaak", "aaaaak"]), model))
+    assert [got[i].lang_pred for i in (0, 1, 5)] == ["und"] * 3 and [got[i].lang_pred for i in (2, 6, 7)] == ["k"] * 3 and got[2].known == 1
+    assert language.sampled(train, 1, "text", "lang").count() <= 2
 
 
 def greedy(word, initial, continuing):
