@@ -15,8 +15,8 @@ from veritrail.llm import decontaminate, jaccard, language, packing, quality
 from veritrail.llm.common import crc_mod, shared_dir, table
 from veritrail.llm.queries import QUALITY_THRESHOLD, byte_encoder
 
-#: Languages that are surer than this are taken; the rest is noise in no language.
-LANGUAGE_THRESHOLD = 0.3
+#: A text of so many words, of which fewer than this share occur in any learned language, is in none of them.
+LANGUAGE_WORDS, LANGUAGE_KNOWN = 12, 0.2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without letters, or with words of no language, go."""
+    """Documents in a learned language.
+
+    Those without letters go, and those of ``LANGUAGE_WORDS`` words and more that hardly have a word of any learned
+    language, however many of these there are; shorter ones say too little and stay.
+    """
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
-    found = docs.withColumn("_language", language.text_language(model, spark)(F.col("text")))
-    return found.where((F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LANGUAGE_THRESHOLD)).drop("_language")
+    found = language.text_language(model, spark)(F.col("text"))
+    return docs.where(F.transform(F.array(found), lambda x: (x["lang_pred"] != language.UNKNOWN) & ((x["words"] < LANGUAGE_WORDS) | (x["known"] >= LANGUAGE_KNOWN)))[0])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
