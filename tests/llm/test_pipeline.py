@@ -60,6 +60,42 @@ def test_planted_passages(spark):
     assert decontaminate.contaminated(frame(spark, docs), bench(spark, [])).count() == 0
 
 
+def test_paraphrases_by_all_windows(spark):
+    rnd = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("", "n", "st", "lor", "mi", "ras")]
+    text = lambda n: [rnd.choice(vocabulary[:25] if rnd.random() < 0.4 else vocabulary) for _ in range(n)]
+    items, docs = [text(rnd.randrange(15, 60)) for _ in range(25)], []
+    for d in range(100):
+        words = list(items[d % len(items)])
+        for _ in range(len(words) * (d // len(items)) // 10):  # up to three words in ten
+            k, kind = rnd.randrange(len(words)), rnd.randrange(3)
+            words[k : k + 1] = [[], [rnd.choice(vocabulary)], [words[k], rnd.choice(vocabulary)]][kind]
+        body = text(rnd.randrange(150))
+        at = rnd.randrange(len(body) + 1)
+        docs.append([w.encode() for w in body[:at] + words + body[at:]])
+    items = [[w.encode() for w in i] for i in items]
+    judge = decontaminate.Search(None, [], items, 0, 0.75, 0.6, 0.75).judge
+    truth = set()
+    for d, words in enumerate(docs):
+        for k, item in enumerate(items):
+            length = decontaminate.length_of(item)
+            if any(judge(item, words[max(s - length // 2, 0) : s + length + length // 2]) for s in range(len(words))):
+                truth.add((d, k))
+    docs, items = ([b" ".join(x).decode() for x in own] for own in (docs, items))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench(spark, items)).collect()}
+    assert len(truth) >= 90 and got <= truth and len(got) >= 0.95 * len(truth)
+    # the same whatever the blocks; repeated rows as often as they occur
+    again = decontaminate.contaminated(frame(spark, docs).union(frame(spark, docs[:3])), bench(spark, items), block=7)
+    assert {(r.doc_id, r.item_id) for r in again.collect()} >= {x for x in got if x[0] < 3}
+
+
+def test_a_passage_in_a_long_text(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [" ".join([*(f"x{i % 97}" for i in range(at)), *item, *(f"y{i % 89}" for i in range(100_000 - at))]) for at in (0, 19_990, 40_000, 100_000)]
+    got = decontaminate.contaminated(frame(spark, docs), bench(spark, [" ".join(item), "one two three four five six seven eight"])).collect()
+    assert sorted((r.doc_id, r.item_id, r.overlap) for r in got) == [(d, 0, 1.0) for d in range(4)]
+
+
 def test_every_verbatim_passage_is_found(spark):
     sf = "/root/testdata/sf0.01"
     words = lambda t: b" " + b" ".join(decontaminate.words_of(t)) + b" "
