@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, written
 
 #: Numbers that count as letters for \w, but aren't: halves, superscripts, Roman numerals and the like.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-#: Runs of letters, and what is none.
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
-OTHER = re.compile(rf"[\W\d_{NUMERALS}]")
+NUMERALS = {c: " " for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl")}
+#: Runs of letters in a text without such numbers, and what is none.
+LETTERS, OTHER = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 LONGEST = 4
 UNKNOWN = "und"
 #: Characters of a text that are cut into words at once.
@@ -50,7 +49,12 @@ def pieces(text: str | None) -> Iterator[str]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    if not text.isascii() and not NUMERALS.keys().isdisjoint(set(text)):
+        text = text.translate(str.maketrans(NUMERALS))
+    return LETTERS.findall(text)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -134,25 +138,32 @@ class Backoff:
                     break
             else:
                 at += 1
-        return self.grams.rows[found].mean(0) if found else np.zeros(len(self.langs), np.float32)
+        return np.add.reduce(self.grams.rows[found]) / len(found) if found else np.zeros(len(self.langs), np.float32)
 
     def predictor(self, room: int = 200_000):
         """A function from texts to (language, score, share of known words, number of words) of each. About ``room`` unseen words are kept."""
-        known, fresh, model = len(self.words.names), [], self
+        known, model = len(self.words.names), self
+        fresh = np.zeros((1024, len(self.langs)), np.float32)
+        used = 0
 
         class Index(dict):
             def __missing__(self, word):
-                at = self[word] = known + len(fresh)
-                fresh.append(model.unseen(word))
+                nonlocal fresh, used
+                if used == len(fresh):
+                    fresh = np.concatenate([fresh, np.zeros_like(fresh)])
+                fresh[used] = model.unseen(word)
+                used += 1
+                at = self[word] = known + used - 1
                 return at
 
         index = Index({w: i for i, w in enumerate(self.words.names)})
 
         def predict(texts: list[str | None]) -> list[tuple[str, float, float, int]]:
-            if len(fresh) > room:
-                for word in [w for w, i in index.items() if i >= known]:
-                    del index[word]
-                fresh.clear()
+            nonlocal used
+            if used > room:
+                for _ in range(used):  # they came in last
+                    index.popitem()
+                used = 0
             total, n, seen = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             held, owners, size = [], [], 0
 
@@ -165,7 +176,7 @@ class Backoff:
                     values = np.zeros((size, len(self.langs)), np.float32)
                     values[old] = self.words.rows[at[old]]
                     if not old.all():
-                        values[~old] = np.stack(fresh)[at[~old] - known]
+                        values[~old] = fresh[at[~old] - known]
                     np.add.at(total, owners, np.add.reduceat(values, starts, dtype=np.float64))
                     np.add.at(seen, owners, np.add.reduceat(old, starts, dtype=np.int64))
                 held, owners, size = [], [], 0
