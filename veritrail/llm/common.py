@@ -25,19 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="veritrail-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int | None = None, by: str | None = None) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
 
     The table stays there until that folder is cleaned, as later reads (and retries of lost tasks) need it. The shuffle
     files behind it go as soon as it is written. ``batch``: most rows that go to Python at once; their bytes are bounded too.
+    ``by``: a column by whose values the rows lie in folders, so that ``drop`` can delete some of them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
@@ -46,19 +49,23 @@ def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later step reads: everything made from them has been written itself."""
+def drop(*tables: DataFrame, only: str = "") -> None:
+    """Delete tables made by ``written`` that no later step reads: everything made from them has been written itself.
+
+    ``only``: just the folder of that name in a table written ``by`` a column.
+    """
     for df in tables:
         spark = df.sparkSession
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        for folder in {f for file in df.inputFiles() if (f := file.rsplit("/", 1)[0]).endswith(only)}:
             path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
             path.getFileSystem(conf).delete(path, True)
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, to_arrow, written
+from .common import arrow_map, drop, partitions, to_arrow, written
 
 END, SYMBOLS = 256, 257
 #: Bytes of text that are worked on together.
@@ -280,7 +280,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
                 block += 1
 
-    sent = written(docs.select(F.col(id_col).alias("id"), F.col(train_col).alias("train"), F.col(text_col).alias("text")).mapInArrow(blocks, types), "lm-blocks")
+    sent = written(docs.select(F.col(id_col).alias("id"), F.col(train_col).alias("train"), F.col(text_col).alias("text")).mapInArrow(blocks, types).withColumn("asks", F.col("bucket") >= 0), "lm-blocks", by="asks")
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -289,7 +289,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
             codes, at = np.unique(np.concatenate(own), return_inverse=True)
             n = np.bincount(at, np.concatenate([np.frombuffer(unpack(c), np.int32) for c in rows["counts"]]), len(codes))
             logs = np.split(model.value.deep(codes, n).astype(np.float32)[at], np.cumsum([len(x) for x in own])[:-1])
-            return pd.DataFrame({"block": rows["block"].to_numpy(), "counts": [x.tobytes() for x in logs], "bucket": rows["bucket"].to_numpy(), "n": None, "v": None})
+            pack = zstandard.ZstdCompressor(level=1).compress
+            return pd.DataFrame({"block": rows["block"].to_numpy(), "counts": [pack(x.tobytes()) for x in logs], "bucket": rows["bucket"].to_numpy(), "n": None, "v": None})
         totals: dict[bytes, int] = {}
         words = [unpack(p).split(b" ") for p in rows["payload"]]
         for own, n in zip(words, rows["counts"], strict=True):
@@ -298,7 +299,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         found = [(block, np.array([totals[w] for w in own], np.int64).tobytes()) for block, own in zip(rows["block"], words, strict=True)]
         return pd.DataFrame([(*x, rows["bucket"].iloc[0], None, None) for x in found] + [(-1, None, rows["bucket"].iloc[0], sum(totals.values()), sum(n > 0 for n in totals.values()))], columns=["block", "counts", "bucket", "n", "v"])
 
-    answers = written(sent.where("bucket >= 0").select("bucket", "block", "payload", "counts").groupBy("bucket").applyInPandas(add, "block long, counts binary, bucket int, n long, v long"), "lm-counts")
+    answers = written(sent.where("asks").select("bucket", "block", "payload", "counts").groupBy("bucket").applyInPandas(add, "block long, counts binary, bucket int, n long, v long"), "lm-counts")
+    drop(sent, only="asks=true")  # answered
     n, v = answers.where("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     below = np.log10(n + 0.1 * (v + 1))
 
@@ -316,11 +318,11 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         texts = [joined[e - size : e] for e, size in zip(ends.tolist(), np.asarray(row["sizes"]).tolist(), strict=True)]
         codes, _ = distinct(texts)
         of_code = np.empty(len(codes), np.float32)
-        of_code[np.argsort(shards(codes), kind="stable")] = np.frombuffer(b"".join(deep["counts"]), np.float32)
+        of_code[np.argsort(shards(codes), kind="stable")] = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, deep["counts"])), np.float32)
         places = np.concatenate([of_code[np.searchsorted(codes, u)][at] for u, at in (np.unique(piece, return_inverse=True) for piece in deep_codes(texts))])
         trie = np.add.reduceat(places, np.cumsum(row["sizes"] + 1) - row["sizes"] - 1, dtype=np.float64)
         return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": row["score"], "trie_score": trie})
 
-    own = sent.where("bucket < 0").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
+    own = sent.where("not asks").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
     got = answers.where("block >= 0").select("block", "bucket", "counts")
     return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, trie_score double")
