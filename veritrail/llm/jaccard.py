@@ -8,16 +8,19 @@ agree. Signatures are those pairs of cells. Every linked pair shares one; what s
 Work stays in proportion to the documents, though a group of near copies has as many pairs as the square of its size:
 
 * equal sets are one class (its smallest id stands for it), told apart by 128 bits;
-* the sharers of a signature are compared with one of them, its hub: the set that shares most signatures with others;
+* the sharers of a signature are compared with one of them, its hub: the set that shares most signatures with others.
+  Most that share one by chance are far from it, which short sketches of the sets show already;
 * what remains are pairs of sharers in different components. Both differ from their hub in a few known elements, and
   two sets differ where just one of them differs from the hub; so the pairs that may link have differences in common,
   and are found by those (see ``prefixes``). Sets far from their hub take another one in the next round.
 
 Rows are plain (signature, set) pairs and joins on keys that Spark can split, so no group is held by a task.
 
-Partitions without elements: with k >= 8 there are two partitions more than needed, so a set with at most two
-partitions that have an empty pair of cells shares a non-empty pair with each of its partners. Signatures of
-empty pairs are made only by sets with more of them (and partners that need them do so too).
+Partitions without elements: with k >= 8 there are more partitions than needed (``slack``), so a set with at most two
+partitions that have an empty pair of cells shares non-empty pairs with each of its partners. Signatures of empty pairs
+are made only by sets with more of them (and partners that need them do so too). Linked sets thus share ``spare`` + 1
+signatures at least, and each can do without its ``spare`` most common ones, in one order of all signatures: those of a
+single frequent element go, which many sets share by chance.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows and equal texts are one class; rows with a null id, and rows that share an id, are
@@ -38,6 +41,8 @@ from .common import arrow_map, drop, written
 
 #: Texts, and rows with sets in them, that go to Python at once.
 TEXTS, LONG_ROWS = 2000, 200
+#: Most signatures that a set is said to be able to do without.
+SPARE = (1 << 11) - 1
 CELLS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -121,7 +126,16 @@ class Bands:
         return 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
 
     def slack(self, band: int) -> int:
-        return 2 if self.differences(band) >= 8 else 0
+        k = self.differences(band)
+        return 3 + (k // 2 + 1) // 8 if k >= 8 else 0
+
+    def hollow(self, band: int) -> int:
+        """Partitions with an empty pair of cells, up to which a set makes no signatures of empty pairs."""
+        return min(2, self.slack(band))
+
+    def spare(self, band: int) -> int:
+        """How many signatures linked sets share besides one."""
+        return self.slack(band) - self.hollow(band)
 
     def first(self, band: int) -> int:
         """Number of first-level partitions: of ``slack + 1`` of them at most one element differs."""
@@ -130,7 +144,7 @@ class Bands:
 
 def signatures(sets: list[np.ndarray], group: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of its set) of sets of one group of bands, all at once."""
-    n1, slack = bands.first(group), bands.slack(group)
+    n1 = bands.first(group)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     h = np.concatenate(sets)
     salt = np.uint64(group * 2 + 1)
@@ -146,14 +160,16 @@ def signatures(sets: list[np.ndarray], group: int, bands: Bands) -> tuple[np.nda
     place = np.tile(np.arange(n1, dtype=np.uint64), len(sets))
     whose = np.repeat(np.arange(len(sets)), n1)
     empty = np.stack([n[:, a] + n[:, b] == 0 for a, b in PAIRS], 1)
-    hollow = np.bincount(whose[empty.any(1)], minlength=len(sets)) > slack
+    hollow = np.bincount(whose[empty.any(1)], minlength=len(sets)) > bands.hollow(group)
     out, ids = [], []
     for k, (a, b) in enumerate(PAIRS):
         keep = ~empty[:, k] | hollow[whose]
         head = mix(place[keep] * np.uint64(8) + np.uint64(k) + (salt << np.uint64(32)), M2)
         out.append(mix(mix(head + total[keep, a], M3) + total[keep, b], M2))
         ids.append(whose[keep])
-    return np.concatenate(out), np.concatenate(ids)
+    # the last bits say how many of them a set can do without, and tell a set's two groups of bands apart
+    tail = np.uint64(min(bands.spare(group), SPARE) * 2 + group % 2)
+    return np.concatenate(out) & ~np.uint64(2 * SPARE + 1) | tail, np.concatenate(ids)
 
 
 def sets_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -202,11 +218,15 @@ def signed(docs: DataFrame, width: int, num: int, den: int, text_col: str) -> Da
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(signature, h, size): the distinct entries of the signatures that more than one set has."""
+    """(signature, h, size): the distinct entries of the signatures that more than one set has, without each set's spare ones."""
     by = Window.partitionBy("signature").orderBy("h")
     every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.withColumns({"before": F.lag("h").over(by), "low": F.first("h").over(every), "high": F.last("h").over(every), "size": F.count("*").over(every)})
-    return seen.where((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("h")))).select("signature", "h", "size")
+    entries = seen.where((F.col("low") != F.col("high")) & (F.col("before").isNull() | (F.col("before") != F.col("h")))).select("signature", "h", "size")
+    common = Window.partitionBy("h", F.col("signature").bitwiseAND(F.lit(2 * SPARE + 1))).orderBy(F.desc("size"), "signature")
+    spare = F.floor(F.col("signature").bitwiseAND(F.lit(2 * SPARE + 1)) / 2)
+    left = entries.withColumn("place", F.row_number().over(common)).where(F.col("place") > spare).drop("place")
+    return left.withColumn("size", F.count("*").over(Window.partitionBy("signature"))).where("size > 1")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -242,6 +262,40 @@ def hubs_of(entries: DataFrame) -> DataFrame:
     return entries.join(shares, "key").select("signature", "key", F.first("key").over(by).alias("hub"))
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of how many elements fall to each of 3 to 6 times as many bins: a twelfth of the elements' bytes."""
+    bins = 1 << max(3, (3 * len(elements)).bit_length())
+    return np.packbits(np.bincount((elements & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1, bitorder="little").tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """A bound from sketches: where the parities of a bin differ, at least one element does."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def within_reach(n: int, apart: int, num: int, den: int) -> bool:
+    """Whether a set of n elements, so far from a hub, can link with one that is near the hub."""
+    both, less = num + den, den - num
+    return 2 * num * both * apart <= (den * both + 2 * less * both) * n
+
+
+def reaching(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, hub, out) of the pairs (key, hub): out if their sketches show that the set is beyond the hub's reach."""
+
+    def make():
+        def step(rows):
+            out = [not within_reach(n, max(apart_at_least(x, y), abs(n - m)), num, den) for n, m, x, y in zip(rows["n"], rows["m"], rows["x"], rows["y"], strict=True)]
+            return {"key": rows["key"], "hub": rows["hub"], "out": out}
+
+        return step
+
+    one, two = sets.select("key", "n", F.col("sketch").alias("x")), sets.select(F.col("key").alias("hub"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    return arrow_map(pairs.join(one, "key").join(two, "hub"), make, "key long, hub long, out boolean")
+
+
 def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: bool) -> DataFrame:
     """(hub, key, n, far, link, weight, apart) of the pairs (key, hub).
 
@@ -259,7 +313,7 @@ def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: boo
                 apart = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
                 n = len(x)
                 far = 2 * len(apart) > n and not last
-                reach = last or 2 * num * both * len(apart) <= (den * both + 2 * less * both) * n
+                reach = last or within_reach(n, len(apart), num, den)
                 for name, value in zip(out, (hub, key, n, far, linked(n, len(y), len(apart), num, den), both * len(apart) - less * n, apart if reach else None), strict=True):
                     out[name].append(value)
             return out
@@ -293,7 +347,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, ["hub", "a"]).join(two, ["hub", "b"]).where(2 * (num + den) * common >= F.col("wa") + F.col("wb")).select("a", "b")
 
 
-def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = 3) -> DataFrame:
+def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = 4) -> DataFrame:
     """Links (a, b) that join the same components as all links between sharers (signature, key, size) of a signature.
 
     In each round, each signature has a hub, with which its sharers are compared. Of two sharers of which one is near
@@ -307,7 +361,8 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
         last = left == 1
         dealt = written(hubs_of(entries), "jaccard-hubs")
         pairs = dealt.where("key != hub").select("key", "hub").distinct()
-        rows = written(differences(pairs, sets, num, den, last), "jaccard-differences", LONG_ROWS)
+        looked = None if last else written(reaching(pairs, sets, num, den), "jaccard-reach", TEXTS)
+        rows = written(differences(pairs if last else looked.where("not out").drop("out"), sets, num, den, last), "jaccard-differences", LONG_ROWS)
         within = rows.where("apart is not null")
 
         # the lightest set of a hub is the hub itself, with no differences, or a lighter one
@@ -332,10 +387,11 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
         found = stars.union(more) if found is None else found.union(stars).union(more)
         drop(roots, open_rows)
 
-        far = dealt.join(rows.where("far").select("key", "hub"), ["key", "hub"]).select("signature", "key")
+        apart = rows.where("far").select("key", "hub") if last else rows.where("far").select("key", "hub").union(looked.where("out").select("key", "hub"))
+        far = dealt.join(apart, ["key", "hub"]).select("signature", "key")
         count = F.count("*").over(Window.partitionBy("signature"))
         entries = written(far.withColumn("size", count).where("size > 1"), "jaccard-far")
-        drop(dealt, rows)
+        drop(dealt, rows, *([] if last else [looked]))
         if last or entries.isEmpty():
             drop(entries)
             return found
@@ -343,7 +399,7 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
 
 
 def needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, h, h2, n, elements) of the sets whose h is in ``needed``, made again from the texts of their classes' first documents."""
+    """(key, h, h2, n, elements, sketch) of the sets whose h is in ``needed``, made again from the texts of their classes' first documents."""
 
     def make():
         shingles = shingler(width)
@@ -351,7 +407,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: i
         def step(rows):
             own = shingles(rows["text"])
             same = [set_id(s) == (h, h2) for s, h, h2 in zip(own, rows["h"], rows["h2"], strict=True)]
-            return {"h": rows["h"], "h2": rows["h2"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own], "same": same}
+            return {"h": rows["h"], "h2": rows["h2"], "n": [len(s) for s in own], "elements": [s.tobytes() for s in own], "sketch": [sketch(s) for s in own], "same": same}
 
         return step
 
@@ -359,7 +415,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: i
     wanted = classes.join(needed, "h", "left_semi").select("h", "h2", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("key"))
     texts = docs.select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     found = texts.join(wanted, (F.col("text_key") == F.col("key")) & F.col("of").eqNullSafe(F.col("id"))).select("h", "h2", "text")
-    return arrow_map(found, make, "h long, h2 long, n long, elements binary, same boolean").where("same").select(F.monotonically_increasing_id().alias("key"), "h", "h2", "n", "elements")
+    return arrow_map(found, make, "h long, h2 long, n long, elements binary, sketch binary, same boolean").where("same").select(F.monotonically_increasing_id().alias("key"), "h", "h2", "n", "elements", "sketch")
 
 
 def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
