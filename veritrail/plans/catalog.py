@@ -128,7 +128,7 @@ def gw_2(spark, sf_dir):
 
 
 PROV = """edges AS (
-  SELECT DISTINCT c_nationkey AS package_id, 'c' || CAST(c_custkey AS STRING) AS s, 'n' || CAST(c_nationkey AS STRING) AS o FROM customer WHERE c_custkey % 3 = 0
+  SELECT DISTINCT c_nationkey AS package_id, 'c' || CAST(c_custkey AS STRING) AS s, 'n' || CAST(c_nationkey AS STRING) AS o FROM customer
   UNION SELECT n_nationkey, 'n' || CAST(n_nationkey AS STRING), 'r' || CAST(n_regionkey AS STRING) FROM nation
   UNION SELECT n_nationkey, 'r' || CAST(n_regionkey AS STRING), 'n' || CAST(n_nationkey AS STRING) FROM nation WHERE n_nationkey % 4 = 0),
 reached AS (SELECT package_id, s AS start, s AS node FROM edges WHERE s LIKE 'c%' UNION SELECT r.package_id, r.start, e.o FROM reached r JOIN edges e ON r.package_id = e.package_id AND r.node = e.s)"""
@@ -139,7 +139,7 @@ def w_prov_01(spark, sf_dir):
     """Ends of provenance chains (with cycles) that have no source of their own."""
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    edges = customer.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("package_id"), name("c", "c_custkey").alias("s"), name("n", "c_nationkey").alias("o"))
+    edges = customer.select(F.col("c_nationkey").alias("package_id"), name("c", "c_custkey").alias("s"), name("n", "c_nationkey").alias("o"))
     edges = edges.union(nation.select("n_nationkey", name("n", "n_nationkey"), name("r", "n_regionkey"))).union(nation.where("n_nationkey % 4 = 0").select("n_nationkey", name("r", "n_regionkey"), name("n", "n_nationkey"))).distinct()
     ends = graph.reach(edges.where("s LIKE 'c%'").select("package_id", F.col("s").alias("node")), edges)
     return graph.absent(ends.where("node <> start"), edges.select("package_id", F.col("s").alias("node")))
@@ -382,10 +382,10 @@ def ma_7(spark, sf_dir):
 # ---- corroboration and text ----
 
 
-@query("SELECT p_partkey, CASE WHEN f.price IS NULL THEN 'claim-only' WHEN c.p_partkey % 9 = 0 THEN 'not-comparable' WHEN abs(c.p_retailprice - f.price) <= 0.05 * greatest(abs(c.p_retailprice), abs(f.price), 1e-30) THEN 'agrees' ELSE 'diverges' END AS verdict, round(f.price, 2) AS reading FROM part c LEFT JOIN (SELECT DISTINCT l_partkey, floor(l_extendedprice / l_quantity * 100) / 100 AS price FROM lineitem WHERE l_partkey % 5 > 0) f ON f.l_partkey = c.p_partkey")
+@query("SELECT p_partkey, CASE WHEN f.price IS NULL THEN 'claim-only' WHEN c.p_partkey % 9 = 0 THEN 'not-comparable' WHEN abs(c.p_retailprice - f.price) <= 0.05 * greatest(abs(c.p_retailprice), abs(f.price), 1e-30) THEN 'agrees' ELSE 'diverges' END AS verdict, round(f.price, 2) AS reading FROM part c LEFT JOIN (SELECT DISTINCT l_partkey, floor(l_extendedprice / l_quantity * 100) / 100 AS price FROM lineitem) f ON f.l_partkey = c.p_partkey")
 def cr_1(spark, sf_dir):
     """Claims against distinct readings, with a relative tolerance; claims without a reading stay."""
-    facts = table(spark, sf_dir, "lineitem").where("l_partkey % 5 > 0").select("l_partkey", (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price")).distinct()
+    facts = table(spark, sf_dir, "lineitem").select("l_partkey", (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price")).distinct()
     rows = table(spark, sf_dir, "part").join(facts, F.col("p_partkey") == F.col("l_partkey"), "left")
     near = F.abs(F.col("p_retailprice") - F.col("price")) <= 0.05 * F.greatest(F.abs("p_retailprice"), F.abs("price"), F.lit(1e-30))
     return rows.select("p_partkey", F.when(F.col("price").isNull(), "claim-only").when(F.col("p_partkey") % 9 == 0, "not-comparable").when(near, "agrees").otherwise("diverges").alias("verdict"), F.round("price", 2).alias("reading"))

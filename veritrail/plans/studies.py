@@ -156,11 +156,11 @@ def set_6(spark, sf_dir):
     return found(spark, sf_dir).select("pattern_id", "severity").distinct().select("pattern_id", "severity", F.explode(own).alias("affected"))
 
 
-@query(with_sql(CLASSES, "SELECT pattern_id, coalesce(b.hits, 0) AS before, coalesce(a.hits, 0) AS after, CASE WHEN coalesce(a.hits, 0) > coalesce(b.hits, 0) THEN 'gained' WHEN coalesce(a.hits, 0) < coalesce(b.hits, 0) THEN 'suppressed' ELSE 'same' END AS delta FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 4 = 0 GROUP BY pattern_id) b FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 4 = 1 GROUP BY pattern_id) a USING (pattern_id)", found_sql()))
+@query(with_sql(CLASSES, "SELECT pattern_id, coalesce(b.hits, 0) AS before, coalesce(a.hits, 0) AS after, CASE WHEN coalesce(a.hits, 0) > coalesce(b.hits, 0) THEN 'gained' WHEN coalesce(a.hits, 0) < coalesce(b.hits, 0) THEN 'suppressed' ELSE 'same' END AS delta FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 0 GROUP BY pattern_id) b FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 1 GROUP BY pattern_id) a USING (pattern_id)", found_sql()))
 def set_7(spark, sf_dir):
     """What a mutation gains and suppresses: hits per pattern before and after."""
-    quarter = F.col("package_id") % 4
-    hits = found(spark, sf_dir).where(quarter < 2).groupBy("pattern_id").agg(F.count_if(quarter == 0).alias("before"), F.count_if(quarter == 1).alias("after"))
+    half = F.col("package_id") % 2
+    hits = found(spark, sf_dir).groupBy("pattern_id").agg(F.count_if(half == 0).alias("before"), F.count_if(half == 1).alias("after"))
     return hits.withColumn("delta", F.when(F.col("after") > F.col("before"), "gained").when(F.col("after") < F.col("before"), "suppressed").otherwise("same"))
 
 
@@ -183,10 +183,10 @@ def drv_8(spark, sf_dir):
 
 
 def level_fault(standard: Column, level: Column) -> Column:
-    return level.isNotNull() & F.when(standard == "nasa", ~level.between(0, 4)).otherwise(~level.between(1, 4))
+    return level.isNotNull() & F.when(standard == "nasa", ~level.between(0, 4)).otherwise(~level.between(1, 5))
 
 
-@query(with_sql(["factors"], "SELECT package_id, factor_id, standard, achieved_level FROM factors WHERE achieved_level IS NOT NULL AND CASE WHEN standard = 'nasa' THEN achieved_level NOT BETWEEN 0 AND 4 ELSE achieved_level NOT BETWEEN 1 AND 4 END"))
+@query(with_sql(["factors"], "SELECT package_id, factor_id, standard, achieved_level FROM factors WHERE achieved_level IS NOT NULL AND CASE WHEN standard = 'nasa' THEN achieved_level NOT BETWEEN 0 AND 4 ELSE achieved_level NOT BETWEEN 1 AND 5 END"))
 def sh_9(spark, sf_dir):
     """Levels out of the range of their standard."""
     rows = evidence(spark, sf_dir, "factors")
