@@ -92,7 +92,7 @@ def ag_3(spark, sf_dir):
 
 # ---- graph operators ----
 
-TRIPLES = """triples AS (
+TRIPLES = """triples AS MATERIALIZED (
   SELECT package_id, 'uoa' AS s, 'hasResult' AS p, result_id AS o, 'iri' AS o_kind FROM results
   UNION SELECT package_id, result_id, 'generatedBy', generated_by, 'iri' FROM results WHERE generated_by IS NOT NULL
   UNION SELECT package_id, result_id, 'comparedAgainst', comparator, 'iri' FROM results WHERE comparator IS NOT NULL
@@ -110,8 +110,9 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_sql(["results"], "SELECT a.package_id, a.o AS v, b.o AS a, c.o AS kind FROM triples a JOIN triples b ON a.package_id = b.package_id AND a.o = b.s AND b.p = 'generatedBy' JOIN triples c ON c.package_id = b.package_id AND c.s = b.o AND c.p = 'activityType' WHERE a.p = 'hasResult'", TRIPLES))
 def j_1(spark, sf_dir):
     """A chain of three patterns."""
-    t = triples(spark, sf_dir).persist()
-    return graph.match(graph.pattern(t, "uoa", "hasResult", "?v"), graph.pattern(t, "?v", "generatedBy", "?a"), graph.pattern(t, "?a", "activityType", "?kind"))
+    t = triples(spark, sf_dir)
+    chain = graph.match(graph.pattern(t, "uoa", "hasResult", "?v"), graph.pattern(t, "?v", "generatedBy", "?a"), graph.pattern(t, "?a", "activityType", "?kind"))
+    return chain.select("package_id", "v", "a", "kind")
 
 
 @query(with_sql(["results"], "SELECT package_id, o AS v FROM triples a WHERE p = 'hasResult' AND NOT EXISTS (SELECT 1 FROM triples b WHERE b.package_id = a.package_id AND b.s = a.o AND b.p = 'generatedBy')", TRIPLES))
