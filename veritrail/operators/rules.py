@@ -61,8 +61,8 @@ RULES: list[Rule] = [
         ("W-NASA-06", "High", "factor_type = 'STANDARD' AND factor_status = 'assessed' AND evidence IS NULL"),
     ]),
     *_rules("surrogate", "packages", PACKAGE, [
-        ("W-SURR-02a", "Critical", "parent_decision = 'Not Accepted'"),
-        ("W-SURR-02b", "High", "parent_decision IS NULL"),
+        ("W-SURR-02", "Critical", "parent_decision = 'Not Accepted'"),
+        ("W-SURR-02", "High", "parent_decision IS NULL"),
     ]),
     *_rules("cards", "results", "result_id", [
         ("W-EV-GEN-02", "High", "sampling IS NULL"),
