@@ -23,6 +23,7 @@ other columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,9 @@ END, SYMBOLS = 256, 257
 CHUNK = 8_000_000
 #: Longest context of the trie; its shards, and the bytes of text whose contexts are held at once.
 ORDER, SHARDS, PIECE = 5, 256, 2_000_000
+#: Bytes of text per shard where they are so many that SHARDS would hold more, and the parts in which shards and buckets
+#: are worked on one after the other, so that only one part is shuffled at a time.
+SHARD_BYTES, WAVES = 16_000_000, 4
 
 
 def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
@@ -112,9 +116,19 @@ def deep_codes(texts: list[bytes]) -> Iterator[np.ndarray]:
         yield code[keep]
 
 
-def shards(codes: np.ndarray) -> np.ndarray:
+def shards(codes: np.ndarray, count: int = SHARDS) -> np.ndarray:
     """Shard of each code: by the last three bytes of its context, which orders 3 and up share."""
-    return (((codes // SYMBOLS & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 12) % SHARDS
+    return (((codes // SYMBOLS & 0xFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 8) % count
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed with their first bytes together, then their second ones, as high bytes hardly vary."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def distinct(texts: list[bytes], training: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +254,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs.where(F.col(train_col)), text_col))
     buckets = partitions(spark, 64)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    count = max(SHARDS, -(-size // SHARD_BYTES))
     kind = dict(docs.dtypes)[id_col]
     schema = f"block long, bucket int, ids array<{kind}>, n_tokens array<long>, score array<double>, payload binary, counts binary, sizes array<long>, texts binary"
     types = spark.createDataFrame([], schema).schema
@@ -268,29 +284,28 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 rows = [(block, -1, ids[a:b], [len(x) for x in at], model.value.scores(texts[a:b]).tolist(), pack(rank[np.concatenate(at)].tobytes()), None, [len(t) for t in texts[a:b]], pack(b"".join(texts[a:b])))]
                 rows += [(block, k, None, None, None, pack(b" ".join(words[i] for i in order[s:e])), counts[order[s:e]].tobytes(), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
                 codes, n = distinct(texts[a:b], training[a:b])
-                shard = shards(codes)
+                shard = shards(codes, count)
                 order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+                ends = np.searchsorted(shard[order], np.arange(count + 1))
                 codes, n = codes[order], n[order].astype(np.int32)
                 # neighbouring codes differ little
-                rows += [(block, buckets + k, None, None, None, pack(np.diff(codes[s:e], prepend=0).tobytes()), pack(n[s:e].tobytes()), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
+                rows += [(block, buckets + k, None, None, None, packed(np.diff(codes[s:e], prepend=0)), packed(n[s:e]), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
                 for row in rows:
                     for name, value in zip(arrow.names, row, strict=True):
                         out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
                 block += 1
 
-    sent = written(docs.select(F.col(id_col).alias("id"), F.col(train_col).alias("train"), F.col(text_col).alias("text")).mapInArrow(blocks, types).withColumn("asks", F.col("bucket") >= 0), "lm-blocks", by="asks")
+    sent = written(docs.select(F.col(id_col).alias("id"), F.col(train_col).alias("train"), F.col(text_col).alias("text")).mapInArrow(blocks, types).withColumn("wave", F.when(F.col("bucket") < 0, -1).otherwise(F.col("bucket") % WAVES)), "lm-blocks", by="wave")
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         if rows["bucket"].iloc[0] >= buckets:
-            own = [np.cumsum(np.frombuffer(unpack(p), np.int64)) for p in rows["payload"]]
+            own = [np.cumsum(unpacked(p, np.int64)) for p in rows["payload"]]
             codes, at = np.unique(np.concatenate(own), return_inverse=True)
-            n = np.bincount(at, np.concatenate([np.frombuffer(unpack(c), np.int32) for c in rows["counts"]]), len(codes))
+            n = np.bincount(at, np.concatenate([unpacked(c, np.int32) for c in rows["counts"]]), len(codes))
             logs = np.split(model.value.deep(codes, n).astype(np.float32)[at], np.cumsum([len(x) for x in own])[:-1])
-            pack = zstandard.ZstdCompressor(level=1).compress
-            return pd.DataFrame({"block": rows["block"].to_numpy(), "counts": [pack(x.tobytes()) for x in logs], "bucket": rows["bucket"].to_numpy(), "n": None, "v": None})
+            return pd.DataFrame({"block": rows["block"].to_numpy(), "counts": [packed(x) for x in logs], "bucket": rows["bucket"].to_numpy(), "n": None, "v": None})
         totals: dict[bytes, int] = {}
         words = [unpack(p).split(b" ") for p in rows["payload"]]
         for own, n in zip(words, rows["counts"], strict=True):
@@ -299,8 +314,12 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         found = [(block, np.array([totals[w] for w in own], np.int64).tobytes()) for block, own in zip(rows["block"], words, strict=True)]
         return pd.DataFrame([(*x, rows["bucket"].iloc[0], None, None) for x in found] + [(-1, None, rows["bucket"].iloc[0], sum(totals.values()), sum(n > 0 for n in totals.values()))], columns=["block", "counts", "bucket", "n", "v"])
 
-    answers = written(sent.where("asks").select("bucket", "block", "payload", "counts").groupBy("bucket").applyInPandas(add, "block long, counts binary, bucket int, n long, v long"), "lm-counts")
-    drop(sent, only="asks=true")  # answered
+    parts = []
+    for wave in range(WAVES):
+        asked = sent.where(F.col("wave") == wave).select("bucket", "block", "payload", "counts")
+        parts.append(written(asked.groupBy("bucket").applyInPandas(add, "block long, counts binary, bucket int, n long, v long"), "lm-counts"))
+        drop(sent, only=f"wave={wave}")  # answered
+    answers = reduce(DataFrame.unionAll, parts)
     n, v = answers.where("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     below = np.log10(n + 0.1 * (v + 1))
 
@@ -318,11 +337,11 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         texts = [joined[e - size : e] for e, size in zip(ends.tolist(), np.asarray(row["sizes"]).tolist(), strict=True)]
         codes, _ = distinct(texts)
         of_code = np.empty(len(codes), np.float32)
-        of_code[np.argsort(shards(codes), kind="stable")] = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, deep["counts"])), np.float32)
+        of_code[np.argsort(shards(codes, count), kind="stable")] = np.concatenate([np.zeros(0, np.float32)] + [unpacked(x, np.float32) for x in deep["counts"]])
         places = np.concatenate([of_code[np.searchsorted(codes, u)][at] for u, at in (np.unique(piece, return_inverse=True) for piece in deep_codes(texts))])
         trie = np.add.reduceat(places, np.cumsum(row["sizes"] + 1) - row["sizes"] - 1, dtype=np.float64)
         return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": row["score"], "trie_score": trie})
 
-    own = sent.where("not asks").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
+    own = sent.where("wave = -1").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
     got = answers.where("block >= 0").select("block", "bucket", "counts")
     return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, trie_score double")
