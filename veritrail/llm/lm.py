@@ -281,8 +281,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 rank[order] = np.arange(len(words), dtype=np.uint32)
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = {n: [] for n in arrow.names}
-                rows = [(block, -1, ids[a:b], [len(x) for x in at], model.value.scores(texts[a:b]).tolist(), pack(rank[np.concatenate(at)].tobytes()), None, [len(t) for t in texts[a:b]], pack(b"".join(texts[a:b])))]
-                rows += [(block, k, None, None, None, pack(b" ".join(words[i] for i in order[s:e])), counts[order[s:e]].tobytes(), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
+                rows = [(block, -1, ids[a:b], [len(x) for x in at], model.value.scores(texts[a:b]).tolist(), packed(rank[np.concatenate(at)]), None, [len(t) for t in texts[a:b]], pack(b"".join(texts[a:b])))]
+                rows += [(block, k, None, None, None, pack(b" ".join(words[i] for i in order[s:e])), packed(counts[order[s:e]]), None, None) for k, (s, e) in enumerate(zip(ends, ends[1:])) if e > s]
                 codes, n = distinct(texts[a:b], training[a:b])
                 shard = shards(codes, count)
                 order = np.argsort(shard, kind="stable")
@@ -309,9 +309,9 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         totals: dict[bytes, int] = {}
         words = [unpack(p).split(b" ") for p in rows["payload"]]
         for own, n in zip(words, rows["counts"], strict=True):
-            for w, k in zip(own, np.frombuffer(n, np.int64).tolist(), strict=True):
+            for w, k in zip(own, unpacked(n, np.int64).tolist(), strict=True):
                 totals[w] = totals.get(w, 0) + k
-        found = [(block, np.array([totals[w] for w in own], np.int64).tobytes()) for block, own in zip(rows["block"], words, strict=True)]
+        found = [(block, packed(np.array([totals[w] for w in own], np.int64))) for block, own in zip(rows["block"], words, strict=True)]
         return pd.DataFrame([(*x, rows["bucket"].iloc[0], None, None) for x in found] + [(-1, None, rows["bucket"].iloc[0], sum(totals.values()), sum(n > 0 for n in totals.values()))], columns=["block", "counts", "bucket", "n", "v"])
 
     parts = []
@@ -326,10 +326,10 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     def base(block: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         answer = answer.sort_values("bucket")
         deep, answer = answer[answer["bucket"] >= buckets], answer[answer["bucket"] < buckets]
-        counts = np.frombuffer(b"".join(answer["counts"]), np.int64)
+        counts = np.concatenate([unpacked(x, np.int64) for x in answer["counts"]])
         logs, known = np.log10(counts + 0.1) - below, counts > 0
         row = block.iloc[0]
-        at = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["payload"]), np.uint32)
+        at = unpacked(row["payload"], np.uint32)
         sizes = np.asarray(row["n_tokens"], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         ends = np.cumsum(row["sizes"])
