@@ -35,21 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str, batch: int | None = None, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, batch: int | None = None, by: str | None = None, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the shared folder, read again.
 
     The table stays there until that folder is cleaned, as later reads (and retries of lost tasks) need it. The shuffle
     files behind it go as soon as it is written. ``batch``: most rows that go to Python at once; their bytes are bounded too.
-    ``by``: a column by whose values the rows lie in folders, so that ``drop`` can delete some of them.
+    ``by``: a column by whose values the rows lie in folders, so that ``drop`` can delete some of them. ``path``: the
+    folder, instead of one made up from ``name``. ``options``: of the Parquet writer.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/veritrail/{name}-{uuid.uuid4().hex}"
     own = {CLEAN_UP: "true"} | BATCH_BYTES | ({BATCH_ROWS: str(batch)} if batch else {})
     before = {k: spark.conf.get(k) for k in own}
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
-        out = df.write.option("compression", "zstd")
+        out = df.write.options(**{"compression": "zstd"} | (options or {}))
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
         for k, v in before.items():
