@@ -128,6 +128,13 @@ def brute_tokens(rows, end=2):
     return out
 
 
+def test_encoder_equals_the_tokenizer():
+    rnd, whole, encode = random.Random(2), tokenizer(), queries.byte_pair_encoder()
+    texts = ["", " ", "a  b \n c\n\n d\te", "x<|endoftext|>y <|endoftext|>", "it's 12 été  z", "𝔘 漢 字"] + ["".join(rnd.choices("ab'sé1 \n\t. ", k=rnd.randrange(30))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(encode(t), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files_of_the_table(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     got = queries.op12_token_files(spark, SF)
@@ -137,17 +144,17 @@ def test_token_files_of_the_table(spark):
 def test_token_files_of_odd_documents(spark, tmp_path):
     rows = [(None, "no id"), (3, None), (1, ""), (2, "a <|endoftext|> b"), (7, "été 漢字 \n\n x" * 20000), (5, "same"), (5, "same"), (None, "no id"), (-4, "first")]
     path = f"{tmp_path}/a"
-    token_files.write(documents(spark, rows), queries.byte_encoder, path, files=3)
+    token_files.write(documents(spark, rows), queries.byte_pair_encoder, path, files=3)
     got = sorted(map(tuple, token_files.with_crc32(token_files.read(spark, path)).collect()), key=lambda r: r[1])
     assert got == brute_tokens(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
     empty = f"{tmp_path}/empty"
-    token_files.write(documents(spark, []), queries.byte_encoder, empty)
+    token_files.write(documents(spark, []), queries.byte_pair_encoder, empty)
     assert token_files.with_crc32(token_files.read(spark, empty)).count() == token_files.metadata(spark, empty).count() == 0
 
 
 def test_a_hot_id_is_spread_over_files(spark, tmp_path):
     rows = [(1, f"text {i}") for i in range(300)] + [(1, "copy")] * 300 + [(i, "x") for i in range(300)]
-    token_files.write(documents(spark, rows).repartition(4), queries.byte_encoder, f"{tmp_path}/hot", files=6)
+    token_files.write(documents(spark, rows).repartition(4), queries.byte_pair_encoder, f"{tmp_path}/hot", files=6)
     files = spark.read.parquet(f"{tmp_path}/hot")
     assert max(r["count"] for r in files.groupBy("file").count().collect()) < 300
     got = sorted(map(tuple, token_files.metadata(spark, f"{tmp_path}/hot").select("start", "n_tokens", "doc_id").collect()))
@@ -174,7 +181,7 @@ def scan_rows(df):
 def test_layout_and_selective_reads(spark, tmp_path, encoding):
     rows = [(i, f"document {i} " + "some words of it " * 40) for i in range(6000)]
     path = f"{tmp_path}/layout"
-    token_files.write(documents(spark, rows), queries.byte_encoder, path, files=2, keep=("lang",), encoding=encoding, row_group_rows=1000, page_bytes=1 << 13)
+    token_files.write(documents(spark, rows), queries.byte_pair_encoder, path, files=2, keep=("lang",), encoding=encoding, row_group_rows=1000, page_bytes=1 << 13)
     for f in glob.glob(f"{path}/*.parquet"):
         meta = pq.ParquetFile(f).metadata
         assert meta.num_row_groups > 1

@@ -16,6 +16,7 @@ gives files without rows; columns other than the id, the text and ``keep`` are n
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,37 @@ from .common import arrow_map, partitions, to_arrow, written
 IDS = "ids.list.element"
 
 
+def byte_pair_encoder(tokenizer_path: str, ranks_path: str, pattern: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids as 16-bit numbers.
+
+    ``ranks_path`` holds the tokenizer's vocabulary in the form of a faster library, which gives the same ids. A text
+    that holds a special token's string goes to the tokenizer itself.
+    """
+    import base64
+    from array import array
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path)
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def ids_of(text: str) -> bytes:
+        plain = not any(s in text for s in special)
+        return array("H", encode(text) if plain else whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    return ids_of
+
+
+@functools.lru_cache(maxsize=2)
+def made(encoder: Callable[[], Callable[[str], bytes]]) -> Callable[[str], bytes]:
+    """The encoder, made once in each Python worker, whatever number of tasks it runs."""
+    return encoder()
+
+
 def layout(encoding: str = "dictionary", row_group_bytes: int = 32 << 20, row_group_rows: int = 50_000, page_bytes: int = 64 << 10, page_rows: int = 200) -> dict[str, str]:
     """Options of the Parquet writer: a row group or page ends at so many bytes or documents. ``encoding``: how ids are stored, dictionary or delta."""
     if encoding not in ("dictionary", "delta"):
@@ -55,7 +87,7 @@ def write(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end, before, file = encoder(), np.uint16(end_id).tobytes(), 0, TaskContext.get().partitionId()
+        encode, end, before, file = made(encoder), np.uint16(end_id).tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
             raw = [encode(t or "") + end for t in batch.column("text").to_pylist()]
             n = np.array([len(x) // 2 for x in raw], np.int64)
