@@ -6,10 +6,10 @@ context are excluded; below order 0 all symbols left are alike. As the model doe
 context and symbol has one log probability: they are computed once, so scoring is a table lookup per byte. The table
 has at most 65,536 contexts of 257 symbols (256 bytes and the end), whatever the corpus.
 
-``trie_score`` is the same method over contexts of up to five bytes (``ORDER``), which have no such bound: their trie is
+``score`` is the same method over contexts of up to five bytes (``ORDER``), which have no such bound: their trie is
 held in shards by the last three bytes of the context. A block sends its distinct pairs of context and symbol, with its
 own counts, to their shards; a shard adds up its part of the trie, goes down from order 5 to 3 by exact counts, ends in
-the table of order 2, and answers each block. ``score`` stays the score of order 2.
+the table of order 2, and answers each block. ``score_order2`` is what the table of order 2 alone gives.
 
 The base needs the corpus count of every word of every text, and the words have no bound, so they are never held
 together: each block of documents sends its distinct words, with its own counts, to buckets by hash; a bucket adds up and
@@ -250,7 +250,7 @@ def train(docs: DataFrame, text_col: str = "text") -> PartialMatching:
 
 
 def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score, trie_score) for each row; ``train_col`` marks the rows to learn from."""
+    """(id, n_tokens, n_known, train_tokens, base_score, score, score_order2) for each row; ``train_col`` marks the rows to learn from."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs.where(F.col(train_col)), text_col))
     buckets = partitions(spark, 64)
@@ -340,8 +340,8 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         of_code[np.argsort(shards(codes, count), kind="stable")] = np.concatenate([np.zeros(0, np.float32)] + [unpacked(x, np.float32) for x in deep["counts"]])
         places = np.concatenate([of_code[np.searchsorted(codes, u)][at] for u, at in (np.unique(piece, return_inverse=True) for piece in deep_codes(texts))])
         trie = np.add.reduceat(places, np.cumsum(row["sizes"] + 1) - row["sizes"] - 1, dtype=np.float64)
-        return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": row["score"], "trie_score": trie})
+        return pd.DataFrame({id_col: pd.Series(list(row["ids"]), dtype=object), "n_tokens": sizes, "n_known": np.add.reduceat(known[at].astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(logs[at], starts), "score": trie, "score_order2": row["score"]})
 
     own = sent.where("wave = -1").select("block", "ids", "n_tokens", "score", "payload", "sizes", "texts")
     got = answers.where("block >= 0").select("block", "bucket", "counts")
-    return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, trie_score double")
+    return own.groupBy("block").cogroup(got.groupBy("block")).applyInPandas(base, f"{id_col} {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_order2 double")

@@ -55,7 +55,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("train", crc_mod("doc_id", 10) != 0)
     scored = lm.score(docs, "train")
-    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "trie_score")
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "score_order2")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
