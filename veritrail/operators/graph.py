@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.storage import cut
+
 KEY = "package_id"
 
 
@@ -56,12 +58,13 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     hops = edges.select(KEY, F.col("s").alias("node"), F.col("o").alias("next"))
     while True:
         step = frontier.join(hops, [KEY, "node"]).select(KEY, "start", F.col("next").alias("node")).distinct()
-        frontier = step.join(seen, [KEY, "start", "node"], "left_anti").checkpoint()
+        frontier = step.join(seen, [KEY, "start", "node"], "left_anti")
+        frontier = cut(frontier)
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
         if (rounds := rounds + 1) % 16 == 0:
-            seen = seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism).checkpoint()
+            seen = cut(seen.coalesce(edges.sparkSession.sparkContext.defaultParallelism))
 
 
 def dangling(triples: DataFrame) -> DataFrame:

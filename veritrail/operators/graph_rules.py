@@ -1,7 +1,8 @@
 """Rules over the triples of packages: patterns that must match, patterns that must not, and a comparison of what is bound.
 
-Derivations run first and add flags to the triples of their package; rules see both. A rule only tests the absence of
-what the packages or the derivations say, never of what another rule found, so one pass is enough.
+Derivations run first, in their order, and add flags to the triples of their package; each sees the flags of those
+before it, and rules see all. A rule only tests the absence of what the packages or the derivations say, never of what
+another rule found, so one pass is enough.
 """
 
 from __future__ import annotations
@@ -33,18 +34,41 @@ class GraphRule:
 
 @dataclass(frozen=True)
 class Derivation:
-    """A flag that is set on ``node`` wherever the patterns match."""
+    """A flag that is set on ``node`` wherever the patterns match: 'true', or what the variable ``value`` is bound to."""
 
     flag: str
     node: str
     patterns: tuple[Pattern, ...]
     without: tuple[Pattern, ...] = ()
     condition: str | None = None
+    value: str | None = None
 
 
 UOA = ("?uoa", "type", "UnitOfAssurance")
 ARGUED = (UOA, ("?uoa", "conformsToProfile", "ProfileArgument"), ("?uoa", "hasInferenceStep", "?i"), ("?i", "supportsClaim", "?c"))
 
+#: Days after which an audit of a cadence is overdue; any other cadence has the last.
+CADENCES = {"annual": 365, "quarterly": 90, "monthly": 30}
+OTHER_CADENCE = 9999
+
+
+def dated(as_of: str) -> list[Derivation]:
+    """Derivations of management systems; ``as_of`` is the day that audits are judged on, as an SQL expression."""
+    days = " ".join(f"WHEN '{k}' THEN {v}" for k, v in CADENCES.items())
+    part = lambda c, i: f"try_cast(regexp_extract({c}, r'^v?([0-9]+)\\.([0-9]+)\\.([0-9]+)$', {i}) AS INT)"
+    older = f"struct({', '.join(part('evaluated', i) for i in (1, 2, 3))}) < struct({', '.join(part('latest', i) for i in (1, 2, 3))})"
+    both = f"{part('evaluated', 1)} IS NOT NULL AND {part('latest', 1)} IS NOT NULL"
+    evidence = (UOA, ("?uoa", "hasEvidence", "?e"))
+    return [
+        Derivation("_auditOverdue", "e", (("?e", "type", "AuditResultsRecord"), ("?e", "auditDate", "?day"), ("?e", "auditCadence", "?cadence")), condition=f"date_diff({as_of}, CAST(try_cast(day AS TIMESTAMP) AS DATE)) > CASE cadence {days} ELSE {OTHER_CADENCE} END"),
+        Derivation("_modelEvalStaleByVersion", "e", (*evidence, ("?e", "type", "ModelEvaluationReport"), ("?e", "evaluatedModelVersion", "?evaluated"), ("?uoa", "currentModelVersion", "?latest")), condition=f"{both} AND {older}"),
+        Derivation("_evalCoverageGap", "uoa", (*evidence, ("?e", "type", "ModelEvaluationReport"), ("?uoa", "deploymentPopulationCategory", "?category")), (("?e", "testSetCoverageCategory", "?category"),)),
+        Derivation("_controlledFramework", "uoa", (*evidence, ("?e", "type", "AIMSControl"), ("?e", "mappedToFramework", "?framework")), value="framework"),
+        Derivation("_crosswalkUnsupported", "uoa", (*evidence, ("?e", "type", "StatementOfApplicability"), ("?e", "mappedToFramework", "?framework")), (("?uoa", "_controlledFramework", "?framework"),), value="framework"),
+        Derivation("_pointOutsideEnvelope", "uoa", (UOA, ("?uoa", "hasEvaluationPoint", "?point"), ("?point", "dimension", "?name"), ("?point", "coordinate", "?x"), ("?uoa", "hasEnvelope", "?envelope"), ("?envelope", "dimension", "?name"), ("?envelope", "min", "?least"), ("?envelope", "max", "?most")), condition="CAST(x AS DOUBLE) < CAST(least AS DOUBLE) OR CAST(x AS DOUBLE) > CAST(most AS DOUBLE)"),
+    ]
+
+
 DERIVATIONS = [
     Derivation("_noMonitoringEvidence", "uoa", (UOA, ("?uoa", "hasDataResourceProvenance", "?d")), (("?uoa", "hasOngoingDataQualityMonitoring", "?m"),)),
     Derivation("_justificationNonEmpty", "r", (("?r", "justification", "?j"),), condition="j <> ''"),
@@ -55,6 +79,7 @@ DERIVATIONS = [
         (UOA, ("?uoa", "hasEvaluationRegion", "?region"), ("?region", "dimension", "?name"), ("?region", "min", "?lo"), ("?region", "max", "?hi"), ("?uoa", "hasEnvelope", "?envelope"), ("?envelope", "dimension", "?name"), ("?envelope", "min", "?least"), ("?envelope", "max", "?most")),
         condition="CAST(lo AS DOUBLE) < CAST(least AS DOUBLE) OR CAST(hi AS DOUBLE) > CAST(most AS DOUBLE)",
     ),
+    *dated("current_date()"),
 ]
 
 RULES = [
@@ -67,6 +92,7 @@ RULES = [
     GraphRule("W-SURR-02", "surrogate", "Critical", "snap", (UOA, ("?uoa", "parentModelSnapshot", "?snap"), ("?snap", "parentDecision", "Not Accepted"))),
     GraphRule("W-SURR-02", "surrogate", "High", "snap", (UOA, ("?uoa", "parentModelSnapshot", "?snap"), ("?snap", "type", "ParentModelSnapshot")), (("?snap", "parentDecision", "?d"),)),
     GraphRule("W-SURR-03", "surrogate", "High", "uoa", (UOA, ("?uoa", "_evalOutsideEnvelope", "true"))),
+    GraphRule("W-SURR-03", "surrogate", "High", "uoa", (UOA, ("?uoa", "_pointOutsideEnvelope", "true"))),
     GraphRule("W-ARG-01", "argument", "Critical", "i", (*ARGUED, ("?c", "aboutQuantity", "?n"), ("?n", "quantityId", "?q")), (("?i", "groundQuantity", "?q"),)),
     GraphRule("W-ARG-02", "argument", "High", "i", (*ARGUED, ("?c", "overScope", "?s"), ("?s", "populationId", "?p")), (("?i", "groundPopulation", "?p"),)),
     GraphRule("W-ARG-03", "argument", "Critical", "i", (*ARGUED, ("?c", "claimModality", "sufficient"), ("?i", "hasGround", "?g"), ("?g", "claimModality", "necessary"), ("?i", "warrantKind", "direct-measurement"))),
@@ -75,6 +101,10 @@ RULES = [
     GraphRule("W-AR-02", "management", "High", "k", (UOA, ("?uoa", "hasRisk", "?k"), ("?k", "decision", "accept"), ("?k", "hasRationale", "?r")), (("?r", "_justificationNonEmpty", "true"),)),
     GraphRule("W-AIMS-OBJECTIVE-UNMEASURED", "management", "High", "t", (UOA, ("?uoa", "hasObjective", "?t")), (("?t", "_targetMeasureNonEmpty", "true"),)),
     GraphRule("W-AIMS-DATA-LINEAGE-BROKEN", "management", "High", "stage", (UOA, ("?uoa", "hasLineageStage", "?stage"), ("?stage", "_lineageGap", "true"))),
+    GraphRule("W-AIMS-AUDIT-STALE", "management", "High", "e", (UOA, ("?uoa", "hasEvidence", "?e"), ("?e", "_auditOverdue", "true"))),
+    GraphRule("W-AIMS-MODEL-EVAL-STALE", "management", "High", "e", (UOA, ("?uoa", "hasEvidence", "?e"), ("?e", "_modelEvalStaleByVersion", "true"))),
+    GraphRule("W-AIMS-MODEL-EVAL-SCOPE", "management", "High", "uoa", (UOA, ("?uoa", "_evalCoverageGap", "true"))),
+    GraphRule("W-AIMS-CROSSWALK-INVALID", "management", "High", "framework", (UOA, ("?uoa", "_crosswalkUnsupported", "?framework"))),
 ]
 
 
@@ -103,13 +133,31 @@ def bindings(facts: Mapping[str, DataFrame], rule: GraphRule | Derivation) -> Da
 
 
 def derived(facts: Mapping[str, DataFrame], d: Derivation) -> DataFrame:
-    return bindings(facts, d).select(KEY, F.col(d.node).alias("s"), F.lit(d.flag).alias("p"), F.lit("true").alias("o")).distinct()
+    value = F.col(d.value) if d.value else F.lit("true")
+    return bindings(facts, d).select(KEY, F.col(d.node).alias("s"), F.lit(d.flag).alias("p"), value.alias("o")).distinct()
+
+
+def with_flags(triples: Facts, derivations: list[Derivation], asked: set[str]) -> dict[str, DataFrame]:
+    """A frame for each predicate asked for, flags among them. Derivations run in order; those that nothing asks for don't run."""
+    needed, own = set(asked), []
+    for d in reversed(derivations):
+        if d.flag in needed:
+            own.insert(0, d)
+            needed |= names([d])
+    flags = {d.flag for d in own}
+    facts = by_predicate(triples, needed - flags)
+    for d in own:
+        if late := names([d]) - set(facts):
+            raise ValueError(f"{d.flag} reads {sorted(late)}, which later derivations set")
+        new = derived(facts, d)
+        facts[d.flag] = facts[d.flag].unionByName(new).distinct() if d.flag in facts else new
+    return facts
 
 
 def derive(triples: Facts, derivations: list[Derivation] = DERIVATIONS) -> DataFrame:
-    """The derived triples alone: (package_id, s, flag, 'true')."""
-    facts = by_predicate(triples, names(derivations))
-    return reduce(DataFrame.unionByName, [derived(facts, d) for d in derivations])
+    """The derived triples alone: (package_id, s, flag, value)."""
+    facts = with_flags(triples, derivations, {d.flag for d in derivations})
+    return reduce(DataFrame.unionByName, [facts[f] for f in dict.fromkeys(d.flag for d in derivations)])
 
 
 def evaluate(triples: Facts, rules: list[GraphRule], derivations: list[Derivation] = DERIVATIONS) -> DataFrame:
@@ -117,8 +165,5 @@ def evaluate(triples: Facts, rules: list[GraphRule], derivations: list[Derivatio
 
     Triples are one frame, or one for each predicate. Empty tables give no findings; a null subject or object binds nothing that is joined.
     """
-    asked = names(rules)
-    own = [d for d in derivations if d.flag in asked]
-    facts = by_predicate(triples, names(own) | asked - {d.flag for d in own})
-    facts |= {d.flag: derived(facts, d) for d in own}
+    facts = with_flags(triples, derivations, names(rules))
     return reduce(DataFrame.unionByName, [bindings(facts, r).select(KEY, F.lit(r.id).alias("pattern_id"), F.lit(r.severity).alias("severity"), F.col(r.node).alias("node")) for r in rules]).distinct()

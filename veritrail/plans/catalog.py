@@ -72,12 +72,12 @@ def gr_1(spark, sf_dir):
     return found(spark, sf_dir, "core").groupBy("package_id").agg(F.max(rank).alias("worst"), F.count("*").alias("hits"), F.when(critical >= 3, "refuse").when(critical >= 1, "restrict").otherwise("none").alias("action"))
 
 
-@query(with_sql(CLASSES, "SELECT coalesce(a.pattern_id, b.pattern_id) AS pattern_id, coalesce(a.hits, 0) AS hits_a, coalesce(b.hits, 0) AS hits_b, CASE WHEN b.hits IS NULL THEN 'only_a' WHEN a.hits IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 0 AND severity <> 'Medium' GROUP BY pattern_id) a FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 2 = 1 AND severity <> 'High' GROUP BY pattern_id) b ON a.pattern_id = b.pattern_id", found_sql()))
+@query(with_sql(CLASSES, "SELECT coalesce(a.pattern_id, b.pattern_id) AS pattern_id, coalesce(a.hits, 0) AS hits_a, coalesce(b.hits, 0) AS hits_b, CASE WHEN b.hits IS NULL THEN 'only_a' WHEN a.hits IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 7 = 0 GROUP BY pattern_id) a FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 7 > 0 GROUP BY pattern_id) b ON a.pattern_id = b.pattern_id", found_sql()))
 def j_11(spark, sf_dir):
-    """Diff of two sets of findings by pattern."""
+    """Diff of two sets of findings by pattern: one package in seven against the others."""
     rows = found(spark, sf_dir)
     side = lambda cond, name: rows.where(cond).groupBy("pattern_id").agg(F.count("*").alias(name))
-    both = side("package_id % 2 = 0 AND severity <> 'Medium'", "a").join(side("package_id % 2 = 1 AND severity <> 'High'", "b"), "pattern_id", "full_outer")
+    both = side("package_id % 7 = 0", "a").join(side("package_id % 7 > 0", "b"), "pattern_id", "full_outer")
     return both.select("pattern_id", F.coalesce("a", F.lit(0)).alias("hits_a"), F.coalesce("b", F.lit(0)).alias("hits_b"), F.when(F.col("b").isNull(), "only_a").when(F.col("a").isNull(), "only_b").otherwise("both").alias("side"))
 
 
@@ -177,7 +177,7 @@ def drv_6(spark, sf_dir):
 @query(with_sql(["errors"], "SELECT e.case_id, e.dim, e.coordinate, n.lo, n.hi FROM errors e JOIN (SELECT p_brand AS dim, quantile_cont(p_retailprice, 0.1) AS lo, quantile_cont(p_retailprice, 0.9) AS hi FROM part GROUP BY p_brand) n USING (dim) WHERE e.coordinate < n.lo OR e.coordinate > n.hi"))
 def drv_9(spark, sf_dir):
     """Points outside the declared envelope of their dimension (bounds inclusive)."""
-    envelope = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("dim")).agg(F.percentile("p_retailprice", F.lit(0.1)).alias("lo"), F.percentile("p_retailprice", F.lit(0.9)).alias("hi"))
+    envelope = stats.quantiles(table(spark, sf_dir, "part").select(F.col("p_brand").alias("dim"), "p_retailprice"), ["dim"], "p_retailprice", lo=0.1, hi=0.9)
     return evidence(spark, sf_dir, "errors").join(envelope, "dim").where("coordinate < lo OR coordinate > hi").select("case_id", "dim", "coordinate", "lo", "hi")
 
 
@@ -224,8 +224,8 @@ def ag_10(spark, sf_dir):
 @query(with_sql(["outcomes"], "SELECT intent, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95 FROM outcomes GROUP BY intent HAVING max(ms) > 0"))
 def ag_12(spark, sf_dir):
     """Latency per intent."""
-    rows = evidence(spark, sf_dir, "outcomes").groupBy("intent").agg(F.avg("ms").alias("mean"), F.percentile("ms", F.lit(0.5)).alias("median"), F.percentile("ms", F.lit(0.95)).alias("p95"), F.max("ms").alias("most"))
-    return rounded(rows.where("most > 0").drop("most"))
+    rows = evidence(spark, sf_dir, "outcomes").select("intent", "ms")
+    return rounded(stats.quantiles(rows, ["intent"], "ms", median=0.5, p95=0.95, most=1.0).where("most > 0").drop("most", "n"))
 
 
 @query(with_sql(["errors"], "SELECT qoi, fired, count(*) AS n, round(avg(abs(predicted - reference)), 4) AS mean, round(quantile_cont(abs(predicted - reference), 0.25), 4) AS q1, round(quantile_cont(abs(predicted - reference), 0.5), 4) AS median, round(quantile_cont(abs(predicted - reference), 0.75), 4) AS q3 FROM errors GROUP BY qoi, fired"))
@@ -238,7 +238,8 @@ def ag_13(spark, sf_dir):
 def ag_14(spark, sf_dir):
     """Ratio of the median errors of fired and unfired cases."""
     error = F.abs(F.col("predicted") - F.col("reference"))
-    rows = evidence(spark, sf_dir, "errors").groupBy("qoi").agg(F.percentile(F.when(F.col("fired"), error), F.lit(0.5)).alias("a"), F.percentile(F.when(~F.col("fired"), error), F.lit(0.5)).alias("b"))
+    medians = stats.quantiles(evidence(spark, sf_dir, "errors").select("qoi", "fired", error.alias("error")), ["qoi", "fired"], "error", median=0.5)
+    rows = medians.groupBy("qoi").agg(F.max(F.when(F.col("fired"), F.col("median"))).alias("a"), F.max(F.when(~F.col("fired"), F.col("median"))).alias("b"))
     return rounded(rows.select("qoi", stats.ratio(F.col("a"), F.col("b"), None).alias("ratio")))
 
 
@@ -346,8 +347,9 @@ def wn_3(spark, sf_dir):
 def ag_35(spark, sf_dir):
     """Rank correlation per dimension, with ordinal ranks."""
     rows = evidence(spark, sf_dir, "errors").withColumn("error", F.abs(F.col("predicted") - F.col("reference")))
-    rank = lambda c: F.row_number().over(Window.partitionBy("dim").orderBy(c, "case_id"))
-    return rounded(rows.select("dim", rank("thickness").alias("a"), rank("error").alias("b")).groupBy("dim").agg(F.corr("a", "b").alias("rho")))
+    first = stats.ranked(rows.select("dim", "case_id", "thickness", "error"), ["dim"], ["thickness", "case_id"], "a", "n")
+    both = stats.ranked(first.drop("n"), ["dim"], ["error", "case_id"], "b", "n")
+    return rounded(both.groupBy("dim").agg(F.corr("a", "b").alias("rho")))
 
 
 @query("SELECT user_id, event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
@@ -357,16 +359,12 @@ def wn_8(spark, sf_dir):
     return rounded(table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("calls"), F.sum("value").over(w).alias("tokens")), 4)
 
 
-@query("SELECT vec_id, score FROM (SELECT a.vec_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 9) AS score FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 AS r FROM embeddings) b USING (vec_id) WHERE a.r < 200 AND b.r < 200) ORDER BY score DESC, vec_id LIMIT 20")
+@query("SELECT vec_id, score FROM (SELECT a.vec_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 9) AS score FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 AS r FROM embeddings) b USING (vec_id)) ORDER BY score DESC, vec_id LIMIT 20")
 def wn_5(spark, sf_dir):
-    """Reciprocal rank fusion of two rankings of 200 each."""
-    rows = table(spark, sf_dir, "embeddings")
-
-    def ranked(i: int, name: str) -> DataFrame:
-        top = rows.select("vec_id", F.col("embedding")[i].alias("x")).orderBy(F.desc("x"), "vec_id").limit(200)
-        return top.select("vec_id", (F.row_number().over(Window.orderBy(F.desc("x"), "vec_id")) - 1).alias(name))
-
-    both = ranked(0, "a").join(ranked(1, "b"), "vec_id")
+    """Reciprocal rank fusion of two whole rankings; the best twenty."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (-F.col("embedding")[0]).alias("x"), (-F.col("embedding")[1]).alias("y"), F.lit(0).alias("all"))
+    first = stats.ranked(rows, ["all"], ["x", "vec_id"], "a", "n").drop("n")
+    both = stats.ranked(first, ["all"], ["y", "vec_id"], "b", "n")
     return both.select("vec_id", F.round(1.0 / (60 + F.col("a")) + 1.0 / (60 + F.col("b")), 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import contexts
+
 TRIPLES = "package_id string, s string, p string, o string, o_kind string, o_datatype string"
 #: Datatypes of plain JSON values.
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -69,22 +71,26 @@ def flatten(doc: object) -> Iterator[tuple[str, str, str, str, str | None]]:
                     yield (s, p, o, "iri", None) if reference else (s, p, o, kind, datatype)
 
 
-def triples(docs: DataFrame, id_col: str = "package_id", json_col: str = "doc") -> DataFrame:
-    """Triples of JSON documents in a column, each once. A document that isn't JSON gives one triple with p = parseError."""
+def triples(docs: DataFrame, id_col: str = "package_id", json_col: str = "doc", keep: str | None = None) -> DataFrame:
+    """Triples of JSON documents in a column, each once. A document that isn't JSON gives one triple with p = parseError.
+
+    ``keep``: a text column of the document that its triples carry along.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for package, text in zip(batch["id"], batch["doc"], strict=True):
+            for package, kept, text in zip(batch["id"], batch["kept"], batch["doc"], strict=True):
                 try:
                     own = dict.fromkeys(flatten(json.loads(text or "null")))
                 except ValueError as e:
                     own = {("", "parseError", str(e), "lit", XSD + "string"): None}
-                out += [(package, *t) for t in own]
-            yield pd.DataFrame(out, columns=["package_id", "s", "p", "o", "o_kind", "o_datatype"])
+                out += [(package, *t, kept) for t in own]
+            yield pd.DataFrame(out, columns=["package_id", "s", "p", "o", "o_kind", "o_datatype", "kept"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(json_col).alias("doc"))
-    return rows.mapInPandas(run, TRIPLES)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(json_col).alias("doc"), (F.col(keep) if keep else F.lit(None)).cast("string").alias("kept"))
+    out = rows.mapInPandas(run, TRIPLES + ", kept string")
+    return out.withColumnRenamed("kept", keep) if keep else out.drop("kept")
 
 
 def read_packages(spark: SparkSession, path: str, pattern: str = "*.jsonld") -> DataFrame:
@@ -93,6 +99,24 @@ def read_packages(spark: SparkSession, path: str, pattern: str = "*.jsonld") ->
     return triples(files.select(F.col("_metadata.file_path").alias("package_id"), F.col("value").alias("doc")))
 
 
+def load(spark: SparkSession, path: str, context_path: str, pattern: str = "*.jsonld") -> DataFrame:
+    """Triples of all documents below a folder, with terms resolved by the contexts below another and local names, as rules ask for them."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
+    docs = contexts.of_packages(files.select(contexts.plain_path(F.col("_metadata.file_path")).alias("package_id"), F.col("value").alias("doc")), "package_id", "doc")
+    return expand(docs, contexts.read_contexts(spark, context_path))
+
+
+def expand(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rule-ready triples of documents (package_id, doc, context, inline), with the terms of shared contexts."""
+    inline = contexts.terms(docs.where("inline IS NOT NULL"), "package_id", "inline")
+    return contexts.localised(contexts.resolved(triples(docs, keep="context"), shared, inline))
+
+
+def assured(rows: DataFrame) -> DataFrame:
+    """(package_id, s): the nodes of a package that are units of assurance, wherever in its graph they stand."""
+    return rows.where("p = 'type' AND o = 'UnitOfAssurance'").select("package_id", "s").distinct()
+
+
 LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@(\S+))?)\s*\.\s*$'
 
 
