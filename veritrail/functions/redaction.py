@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 #: What is looked for.
 URL = r"(?i)\b[a-z][a-z0-9+.\-]*://[^\s\"'<>]+"
 ACCOUNT = r"\b([A-Za-z][\w.\-]{0,63})@([A-Za-z][\w.\-]{0,63})(?=:)"
@@ -28,8 +30,11 @@ TOKEN = "<redacted-[a-z]+-[0-9]+>"
 def pieces(text: Column, pattern: Column | str, replace: Callable[[Column], Column]) -> Column:
     """The text with each match replaced by what ``replace`` makes of it."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, m: F.concat(a, replace(m))), ""), F.element_at(between, -1))
+
+    def joined(between: Column, found: Column) -> Column:
+        return F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, m: F.concat(a, replace(m))), ""), F.element_at(between, -1))
+
+    return bind(text, lambda t: bind(F.split(t, pattern, -1), lambda between: bind(F.regexp_extract_all(t, pattern, F.lit(0)), lambda found: joined(between, found))))
 
 
 def outside(text: Column) -> Column:
@@ -79,14 +84,17 @@ def redacted(text: Column, dictionary: dict[str, Column]) -> Column:
     either = F.concat(F.lit(f"(?i){TOKEN}"), F.array_join(F.transform(known, lambda x: F.concat(F.lit("|\\Q"), x["v"], F.lit("\\E"))), ""))
     name = lambda m: F.when(m.rlike(f"^{TOKEN}$"), m).when(seen("user", F.lower(m)) > 0, token("user", seen("user", F.lower(m)))).otherwise(named("host", F.lower(m)))
 
-    def part(t: Column) -> Column:
+    def part(t: Column, pattern: Column) -> Column:
         out = pieces(pieces(pieces(t, ACCOUNT, account), WINDOWS_PATH, path), POSIX_PATH, path)
-        for kind, pattern in PLAIN.items():
-            out = pieces(out, pattern, lambda m, kind=kind: named(kind, m))
-        return F.when(F.size(known) > 0, pieces(out, either, name)).otherwise(out)
+        for kind, own in PLAIN.items():
+            out = pieces(out, own, lambda m, kind=kind: named(kind, m))
+        return pieces(out, pattern, name)
+
+    def whole(parts: Column, links: Column) -> Column:
+        return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(links)), links, lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
 
-    parts, links = F.transform(outside(text), part), F.regexp_extract_all(text, F.lit(URL), F.lit(0))
-    return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(links)), links, F.concat), ""), F.element_at(parts, -1))
+    parts = bind(either, lambda pattern: F.transform(outside(text), lambda t: part(t, pattern)))
+    return bind(parts, lambda p: bind(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda links: whole(p, links)))
 
 
 def leaks(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
@@ -47,7 +49,7 @@ def sections(text: Column, phrases: list[str]) -> Column:
     Sections inside an earlier one are left out. The stack is walked from the end, so that a heading's stop is the
     nearest later line at which its level ends; one number a level is carried along.
     """
-    heads, total = headings(text), F.size(lines(text))
+    total = F.size(lines(text))
     ends = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda _: total)
     start = F.struct(ends.alias("ends"), F.array().cast("array<struct<title: string, level: int, first: int, stop: int>>").alias("out"))
 
@@ -56,11 +58,11 @@ def sections(text: Column, phrases: list[str]) -> Column:
         wanted = F.when(named(h["title"], phrases), F.array_append(acc["out"], own)).otherwise(acc["out"])
         return F.struct(F.transform(acc["ends"], lambda e, i: F.when(i + 1 >= h["level"], h["line"]).otherwise(e)).alias("ends"), wanted.alias("out"))
 
-    found = F.reverse(F.aggregate(F.reverse(heads), start, back)["out"])
+    found = F.reverse(F.aggregate(F.reverse(headings(text)), start, back)["out"])
     empty = F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<title: string, level: int, first: int, stop: int>>").alias("out"))
     outer = F.aggregate(found, empty, lambda acc, s: F.when(s["first"] >= acc["until"], F.struct(s["stop"].alias("until"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc))["out"]
-    body = lambda s: F.rtrim(F.array_join(F.slice(lines(text), s["first"] + 1, s["stop"] - s["first"]), "\n"))
-    return F.transform(outer, lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"), s["first"].alias("first"), s["stop"].alias("stop"), body(s).alias("text")))
+    body = lambda all_, s: F.rtrim(F.array_join(F.slice(all_, s["first"] + 1, s["stop"] - s["first"]), "\n"))
+    return bind(lines(text), lambda all_: F.transform(outer, lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"), s["first"].alias("first"), s["stop"].alias("stop"), body(all_, s).alias("text"))))
 
 
 def presence(text: Column, phrases: list[str], names: list[str]) -> Column:
@@ -76,14 +78,13 @@ def mentions(text: Column, phrases: list[str], names: list[str]) -> Column:
 
     A heading's line is its own last heading. Headings are few; each line's is found by its place among them.
     """
-    heads = headings(text)
-    ruled = lambda i: F.try_element_at(F.filter(heads, lambda h: h["line"] <= i), F.lit(-1))
 
-    def own(x: Column, i: Column) -> Column:
-        hits = F.array_compact(F.array(*[F.when(F.lower(x).rlike(rf"(?<![a-z0-9])\Q{n}\E(?![a-z0-9])"), F.lit(n)) for n in sorted(names)]))
-        return F.transform(hits, lambda n: F.struct(i.alias("line"), n.alias("name"), ruled(i)["title"].alias("title"), F.coalesce(named(ruled(i)["title"], phrases), F.lit(False)).alias("scoped")))
+    def own(heads: Column, x: Column, i: Column) -> Column:
+        low, ruled = F.lower(x), F.try_element_at(F.filter(heads, lambda h: h["line"] <= i), F.lit(-1))
+        hits = F.array_compact(F.array(*[F.when(low.rlike(rf"(?<![a-z0-9])\Q{n}\E(?![a-z0-9])"), F.lit(n)) for n in sorted(names)]))
+        return F.transform(hits, lambda n: bind(ruled, lambda h: F.struct(i.alias("line"), n.alias("name"), h["title"].alias("title"), F.coalesce(named(h["title"], phrases), F.lit(False)).alias("scoped"))))
 
-    return F.flatten(F.transform(lines(text), own))
+    return bind(headings(text), lambda heads: F.flatten(F.transform(lines(text), lambda x, i: own(heads, x, i))))
 
 
 def unwrapped(text: Column) -> Column:
@@ -98,20 +99,26 @@ def unwrapped(text: Column) -> Column:
     stem = lambda x: F.regexp_extract(x, "([A-Za-z]{2,})-$", 1)
     first = lambda x: F.regexp_replace(F.regexp_extract(F.ltrim(x), "^([^ ]*)", 1), r"^[.,;:)]+|[.,;:)]+$", "")
     rest = lambda x: F.regexp_extract(F.ltrim(x), "^[^ ]*( .*)?$", 1)
-    split = lambda a, b: (stem(a) != "") & first(b).rlike("^[a-z]")
+    split = lambda a, b: F.endswith(a, F.lit("-")) & (stem(a) != "") & first(b).rlike("^[a-z]")
     goes_on = lambda a, b: (a != "") & ~a.rlike(r"[.!?:;•-]$") & F.ltrim(b).rlike(r"^(\p{Ll}|\p{Nd})")
-    rows = F.transform(raw, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(raw, i - 1)).otherwise("").alias("a"), F.when(i > 1, F.get(raw, i - 2)).otherwise("").alias("b"), F.coalesce(F.get(raw, i + 1), F.lit("")).alias("z")))
     # a one-word line that was joined by its hyphen ends without its punctuation
-    seen = lambda r: F.when(split(r["b"], r["a"]) & (rest(r["a"]) == ""), first(r["a"])).otherwise(r["a"])
-    joined = F.transform(rows, lambda r: F.struct(r["x"].alias("x"), r["z"].alias("z"), seen(r).alias("a"), split(seen(r), r["x"]).alias("hyphen")))
+    seen = lambda b, a: F.when(split(b, a) & (rest(a) == ""), first(a)).otherwise(a)
     both = lambda r: F.lower(F.concat(stem(r["a"]), first(r["x"])))
-    known = F.array_intersect(F.transform(F.filter(joined, lambda r: r["hyphen"]), both), vocabulary)
 
-    def written(r: Column, i: Column) -> Column:
-        word = F.concat(stem(r["a"]), F.when(F.array_contains(known, both(r)), "").otherwise("-"), first(r["x"]))
-        content = F.when(r["hyphen"], F.concat(word, rest(r["x"]))).when(goes_on(r["a"], r["x"]), F.concat(F.lit(" "), F.ltrim(r["x"]))).when(i == 0, r["x"]).otherwise(F.concat(F.lit("\n"), r["x"]))
+    def pairs(lines_: Column) -> Column:
+        before = lambda i, n: F.when(i >= n, F.get(lines_, i - n)).otherwise("")
+        return F.transform(lines_, lambda x, i: F.struct(x.alias("x"), seen(before(i, 2), before(i, 1)).alias("a")))
+
+    def written(r: Column, i: Column, all_: Column, known: Column) -> Column:
+        word = lambda: F.concat(stem(r["a"]), F.when(F.array_contains(known, both(r)), "").otherwise("-"), first(r["x"]))
+        content = F.when(r["hyphen"], F.concat(word(), rest(r["x"]))).when(goes_on(r["a"], r["x"]), F.concat(F.lit(" "), F.ltrim(r["x"]))).when(i == 0, r["x"]).otherwise(F.concat(F.lit("\n"), r["x"]))
         # the first half of a word goes with the second
-        follows = F.coalesce(F.get(joined, i + 1)["hyphen"], F.lit(False))
-        return F.when(follows, F.regexp_replace(content, "[A-Za-z]{2,}-$", "")).otherwise(content)
+        return F.when(F.coalesce(F.get(all_, i + 1)["hyphen"], F.lit(False)), F.regexp_replace(content, "[A-Za-z]{2,}-$", "")).otherwise(content)
+
+    def whole(all_: Column, known: Column) -> Column:
+        return F.array_join(F.transform(all_, lambda r, i: written(r, i, all_, known)), "")
 
-    return F.array_join(F.transform(joined, written), "")
+    marked = bind(raw, lambda lines_: F.transform(pairs(lines_), lambda r: F.struct(r["x"].alias("x"), r["a"].alias("a"), split(r["a"], r["x"]).alias("hyphen"))))
+    # only words that might be put together are looked for among the document's
+    known = lambda all_: F.array_intersect(F.transform(F.filter(all_, lambda r: r["hyphen"]), both), vocabulary)
+    return bind(marked, lambda all_: bind(known(all_), lambda k: whole(all_, k)))

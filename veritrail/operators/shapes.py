@@ -7,11 +7,10 @@ give one violation a property, constraints on values one for each value that fai
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import KEY
@@ -88,54 +87,52 @@ def nodes(triples: DataFrame) -> DataFrame:
     return triples.groupBy(KEY, F.col("s").alias("focus_node")).agg(F.collect_set(F.struct("p", "o", "o_kind", "o_datatype")).alias("facts"))
 
 
-def objects(p: str) -> Column:
-    return F.filter("facts", lambda t: t["p"] == p)
+def quoted(value: str | None) -> str:
+    return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def violation(path: str, kind: str, requirement: str, actual: Column, fix: str, severity: str, profile: Column) -> Column:
-    fields = {"path": F.lit(path), "constraint_kind": F.lit(kind), "requirement": F.lit(requirement), "actual": actual, "fix": F.lit(fix), "severity": F.lit(severity), "profile": profile}
-    return F.struct(*[c.cast("string").alias(n) for n, c in fields.items()])
+def violation(path: str, kind: str, requirement: str, actual: str, fix: str, severity: str, profile: str) -> str:
+    """SQL of one violation; ``actual`` and ``profile`` are expressions."""
+    fields = {"path": quoted(path), "constraint_kind": quoted(kind), "requirement": quoted(requirement), "actual": f"CAST({actual} AS STRING)", "fix": quoted(fix), "severity": quoted(severity), "profile": profile}
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")"
 
 
-def outside(x: Callable[[Column], Column], bound: float, below: bool) -> Callable[[Column], Column]:
-    """Whether an object isn't within a bound; what isn't a number can't be compared, and fails."""
-    return lambda t: ~F.coalesce(x(t) >= bound if below else x(t) <= bound, F.lit(False))
-
-
-def failing(p: Property, profile: Column) -> Column:
-    """An array of the violations of one property by the node in hand."""
-    own, n = objects(p.path), F.size(objects(p.path))
+def failing(p: Property, profile: str) -> str:
+    """SQL of an array of the violations of one property by the node in hand; its objects are worked out once, as ``own``."""
     make = lambda kind, requirement, actual, fix: violation(p.path, kind, requirement, actual, fix, p.severity, profile)
     out = []
 
-    def count(bad: Column, kind: str, requirement: str, actual: Column, fix: str) -> None:
-        out.append(F.when(bad, F.array(make(kind, requirement, actual, fix))).otherwise(F.array()))
+    def count(bad: str, kind: str, requirement: str, actual: str, fix: str) -> None:
+        out.append(f"filter(array({make(kind, requirement, actual, fix)}), v -> {bad})")
 
-    def values(bad, kind: str, requirement: str, fix: str, actual=lambda t: t["o"]) -> None:  # noqa: ANN001
-        out.append(F.transform(F.filter(own, bad), lambda t: make(kind, requirement, actual(t), fix)))
+    def values(bad: str, kind: str, requirement: str, fix: str, actual: str = "t.o") -> None:
+        out.append(f"transform(filter(own, t -> {bad}), t -> {make(kind, requirement, actual, fix)})")
 
     if p.least:
-        count(n < p.least, "minCount", f"minCount {p.least}", F.when(n == 0, MISSING).otherwise(n.cast("string")), f"add {p.path}")
+        count(f"size(own) < {p.least}", "minCount", f"minCount {p.least}", f"IF(size(own) = 0, '{MISSING}', CAST(size(own) AS STRING))", f"add {p.path}")
     if p.most is not None:
-        count(n > p.most, "maxCount", f"maxCount {p.most}", n.cast("string"), f"keep {p.most} of {p.path}")
+        count(f"size(own) > {p.most}", "maxCount", f"maxCount {p.most}", "size(own)", f"keep {p.most} of {p.path}")
     if p.kind:
-        values(lambda t: t["o_kind"] != p.kind, "nodeKind", f"nodeKind {p.kind}", f"give {p.path} as {p.kind}")
+        values(f"t.o_kind <> '{p.kind}'", "nodeKind", f"nodeKind {p.kind}", f"give {p.path} as {p.kind}")
     if p.datatype:
-        full = XSD + p.datatype
-        values(lambda t: ~t["o_datatype"].eqNullSafe(F.lit(full)), "datatype", f"datatype {p.datatype}", f"give {p.path} as {p.datatype}", lambda t: F.coalesce(F.regexp_extract(t["o_datatype"], "([^#]*)$", 1), t["o_kind"]))
+        values(f"NOT (t.o_datatype <=> '{XSD}{p.datatype}')", "datatype", f"datatype {p.datatype}", f"give {p.path} as {p.datatype}", "coalesce(regexp_extract(t.o_datatype, '([^#]*)$', 1), t.o_kind)")
     if p.one_of:
-        values(lambda t: ~t["o"].isin(*p.one_of), "in", "one of " + ", ".join(p.one_of), f"choose a listed value for {p.path}")
+        values(f"t.o NOT IN ({', '.join(map(quoted, p.one_of))})", "in", "one of " + ", ".join(p.one_of), f"choose a listed value for {p.path}")
     if p.pattern:
-        values(lambda t: ~t["o"].rlike(p.pattern), "pattern", f"pattern {p.pattern}", f"write {p.path} in that form")
-    for bound, kind, below in ((p.low, "minInclusive", True), (p.high, "maxInclusive", False)):
-        if bound is not None:
-            x = lambda t: t["o"].try_cast("double")
-            values(outside(x, bound, below), kind, f"{kind} {bound:g}", f"bring {p.path} into its range")
-    return F.concat(*out) if len(out) > 1 else out[0]
+        values(f"NOT rlike(t.o, {quoted(p.pattern)})", "pattern", f"pattern {p.pattern}", f"write {p.path} in that form")
+    for bound, kind, test in ((p.low, "minInclusive", ">="), (p.high, "maxInclusive", "<=")):
+        if bound is not None:  # what isn't a number can't be compared, and fails
+            values(f"NOT coalesce(try_cast(t.o AS DOUBLE) {test} {bound}, false)", kind, f"{kind} {bound:g}", f"bring {p.path} into its range")
+    return f"transform(array(filter(facts, t -> t.p = {quoted(p.path)})), own -> concat({', '.join(out)}))[0]"
 
 
-def declared() -> Column:
-    return F.transform(objects("conformsToProfile"), lambda t: t["o"])
+def checked(s: Shape) -> str:
+    """SQL of all violations of a shape, by the profile that the node declares; without one a shape of a profile asks for nothing."""
+    found = lambda profile: "concat(" + ", ".join(failing(p, profile) for p in s.properties) + ")"
+    if not s.profile:
+        return found("CAST(NULL AS STRING)")
+    allowed = ", ".join(quoted(q) for q in EXTENDS if s.profile in (q, *EXTENDS[q]))
+    return f"flatten(transform(slice(filter(declared, q -> q IN ({allowed})), 1, 1), profile -> {found('profile')}))"
 
 
 def violations(triples: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[str, ...] = ("core", "vv40", "disposition")) -> DataFrame:
@@ -146,18 +143,13 @@ def violations(triples: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[st
     described, out = nodes(triples), []
     active = [s for s in shapes if s.pack in packs]
     for target in dict.fromkeys(s.target for s in active):
-        rows = described.where(F.exists("facts", lambda t: (t["p"] == "type") & (t["o"] == target))).withColumn("declared", declared())
-        checks = []
-        for s in (s for s in active if s.target == target):
-            allowed = [q for q in EXTENDS if s.profile in (q, *EXTENDS[q])]
-            own = F.try_element_at(F.filter("declared", lambda q: q.isin(*allowed)), F.lit(1)) if s.profile else F.lit(None).cast("string")
-            found = F.flatten(F.array(*[failing(p, own) for p in s.properties]))
-            checks.append(F.when(own.isNotNull(), found).otherwise(F.array()) if s.profile else found)
-        if any(s.target == target and s.profile for s in active):
-            unknown = ~F.exists("declared", lambda q: q.isin(*EXTENDS))
-            shown = F.when(F.size("declared") == 0, MISSING).otherwise(F.array_join(F.array_sort("declared"), ", "))
-            checks.append(F.when(unknown, F.array(violation("conformsToProfile", "or", "one of " + ", ".join(EXTENDS), shown, "declare a profile", "Violation", F.lit(None)))).otherwise(F.array()))
-        out.append(rows.select(KEY, "focus_node", F.explode(F.concat(*checks)).alias("v")).select(KEY, "focus_node", "v.*"))
+        rows = described.where(f"exists(facts, t -> t.p = 'type' AND t.o = '{target}')").withColumn("declared", F.expr("transform(filter(facts, t -> t.p = 'conformsToProfile'), t -> t.o)"))
+        own = [s for s in active if s.target == target]
+        checks = [checked(s) for s in own]
+        if any(s.profile for s in own):
+            none = violation("conformsToProfile", "or", "one of " + ", ".join(EXTENDS), f"IF(size(declared) = 0, '{MISSING}', array_join(array_sort(declared), ', '))", "declare a profile", "Violation", "CAST(NULL AS STRING)")
+            checks.append(f"filter(array({none}), v -> NOT exists(declared, q -> q IN ({', '.join(map(quoted, EXTENDS))})))")
+        out.append(rows.select(KEY, "focus_node", F.explode(F.expr(f"concat({', '.join(checks)})")).alias("v")).select(KEY, "focus_node", "v.*"))
     return reduce(DataFrame.unionByName, out)
 
 
