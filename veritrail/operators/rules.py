@@ -34,12 +34,12 @@ RULES: list[Rule] = [
         ("W-ON-01", "High", "cou IS NULL"),
         ("W-ON-02", "High", "cou IS NOT NULL AND cou_constraint IS NULL AND cou_envelope IS NULL"),
         ("W-SI-01", "High", "signature IS NULL"),
-        ("W-SI-02", "High", "requirement IS NULL"),
+        ("W-SI-02", "High", "(requirement IS NULL OR has_results IS NULL)"),
         ("W-CON-04", "Medium", "profile = 'Complete' AND sensitivity IS NULL"),
     ]),
     *_rules("core", "results", "result_id", [
         ("W-EP-02", "High", "generated_by IS NULL"),
-        ("W-EP-03", "High", "generated_by IS NOT NULL AND evidence_ts < signature_ts"),
+        ("W-EP-03", "High", "generated_by IS NOT NULL AND data_vintage < model_revision"),
         ("W-AL-01", "High", "result_uq IS NULL"),
         ("W-AR-03", "High", "generated_by IS NOT NULL AND required_method <> activity_type"),
         ("W-AR-04", "High", "generated_by IS NOT NULL AND current_version <> config_version"),
@@ -60,9 +60,9 @@ RULES: list[Rule] = [
         ("W-NASA-05", "High", "factor_type = 'SMALL' AND factor_status = 'assessed' AND uq IS NULL"),
         ("W-NASA-06", "High", "factor_type = 'STANDARD' AND factor_status = 'assessed' AND evidence IS NULL"),
     ]),
-    *_rules("surrogate", "packages", PACKAGE, [
-        ("W-SURR-02", "Critical", "parent_decision = 'Not Accepted'"),
-        ("W-SURR-02", "High", "parent_decision IS NULL"),
+    *_rules("surrogate", "packages", "snapshot", [
+        ("W-SURR-02", "Critical", "snapshot IS NOT NULL AND parent_decision = 'Not Accepted'"),
+        ("W-SURR-02", "High", "snapshot IS NOT NULL AND parent_decision IS NULL"),
     ]),
     *_rules("cards", "results", "result_id", [
         ("W-EV-GEN-02", "High", "sampling IS NULL"),
@@ -82,24 +82,33 @@ RANK = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3}
 
 
 def evaluate(packages: DataFrame, classes: dict[str, DataFrame], rules: list[Rule]) -> DataFrame:
-    """Level-1 findings (package_id, pattern_id, severity, node), each once."""
+    """Level-1 findings (package_id, pattern_id, severity, node), each once.
+
+    They are shuffled once, by package: duplicates, and what is grouped by package afterwards, are settled where they lie.
+    """
     out = None
     for name in sorted({r.table for r in rules}):
+        own = [r for r in rules if r.table == name]
         rows = packages if name == "packages" else classes[name].join(packages, "package_id")
-        own = [F.when(F.expr(r.condition), F.struct(F.lit(r.id).alias("pattern_id"), F.lit(r.severity).alias("severity"), F.expr(r.node).alias("node"))) for r in rules if r.table == name]
-        found = rows.select("package_id", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("f")).select("package_id", "f.pattern_id", "f.severity", "f.node")
+        if any("has_results" in r.condition for r in own):
+            rows = rows.join(classes["results"].select("package_id").distinct().withColumn("has_results", F.lit(True)), "package_id", "left")
+        matches = [F.when(F.expr(r.condition), F.struct(F.lit(r.id).alias("pattern_id"), F.lit(r.severity).alias("severity"), F.expr(r.node).alias("node"))) for r in own]
+        found = rows.select("package_id", F.explode(F.filter(F.array(*matches), lambda x: x.isNotNull())).alias("f")).select("package_id", "f.pattern_id", "f.severity", "f.node")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out.repartition("package_id").distinct()
 
 
 def compound(findings: DataFrame, packages: DataFrame) -> DataFrame:
-    """The last stratum: a finding per package and pair of a Critical and a High pattern, and one where risk is not low."""
-    patterns = findings.select("package_id", "pattern_id", "severity").distinct()
-    critical = patterns.where("severity = 'Critical'").select("package_id", F.col("pattern_id").alias("c"))
-    high = patterns.where("severity = 'High'").select("package_id", F.col("pattern_id").alias("h"))
-    one = critical.join(high, "package_id").select("package_id", F.lit("COMPOUND-01").alias("pattern_id"), F.lit("Critical").alias("severity"), F.concat_ws("+", "c", "h").alias("node"))
+    """The last stratum: a finding per package and pair of a Critical and a High pattern, and one where risk is not low.
+
+    A package's patterns are one row, two small sets, so findings are neither joined with themselves nor shuffled again.
+    """
+    named = lambda severity: F.collect_set(F.when(F.col("severity") == severity, F.col("pattern_id")))
+    sets = findings.groupBy("package_id").agg(named("Critical").alias("c"), named("High").alias("h")).where("size(c) > 0")
+    pairs = F.flatten(F.transform("c", lambda c: F.transform("h", lambda h: F.concat(c, F.lit("+"), h))))
+    one = sets.select("package_id", F.lit("COMPOUND-01").alias("pattern_id"), F.lit("Critical").alias("severity"), F.explode(pairs).alias("node"))
     risky = packages.where("assurance_level <> 'Low'").select("package_id")
-    three = critical.select("package_id").distinct().join(risky, "package_id", "left_semi").select("package_id", F.lit("COMPOUND-03").alias("pattern_id"), F.lit("High").alias("severity"), F.expr(PACKAGE).alias("node"))
+    three = sets.select("package_id").join(risky, "package_id", "left_semi").select("package_id", F.lit("COMPOUND-03").alias("pattern_id"), F.lit("High").alias("severity"), F.expr(PACKAGE).alias("node"))
     return one.unionByName(three)
 
 
@@ -111,5 +120,5 @@ def rollup(findings: DataFrame) -> DataFrame:
 
 def sql(rules: list[Rule]) -> str:
     """The findings as SQL: one SELECT per rule."""
-    parts = [f"SELECT package_id, '{r.id}' AS pattern_id, '{r.severity}' AS severity, {r.node} AS node FROM " + ("packages" if r.table == "packages" else f"{r.table} JOIN packages USING (package_id)") + f" WHERE {r.condition}" for r in rules]
+    parts = [f"SELECT package_id, '{r.id}' AS pattern_id, '{r.severity}' AS severity, {r.node} AS node FROM " + ("packages LEFT JOIN (SELECT DISTINCT package_id, true AS has_results FROM results) USING (package_id)" if "has_results" in r.condition else "packages" if r.table == "packages" else f"{r.table} JOIN packages USING (package_id)") + f" WHERE {r.condition}" for r in rules]
     return "findings AS (" + " UNION ".join(parts) + ")"

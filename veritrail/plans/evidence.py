@@ -23,11 +23,12 @@ TABLES = {
         "signature": "CASE WHEN o_orderkey % 13 > 0 THEN 's' END", "requirement": "CASE WHEN o_orderkey % 17 > 0 THEN 'r' END",
         "required_method": "CASE WHEN o_orderkey % 4 > 0 THEN 'method-' || CAST(o_orderkey % 3 AS STRING) END", "offset_rationale": "CASE WHEN o_orderkey % 6 = 0 THEN 'o' END",
         "current_version": "CASE WHEN o_orderkey % 8 > 0 THEN 'v' || CAST(o_custkey % 3 AS STRING) END", "decision_risk": "CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey % 5 AS INT) END",
+        "model_revision": "CASE WHEN o_orderkey % 10 > 0 THEN o_orderdate END", "snapshot": "CASE WHEN o_custkey % 5 > 0 THEN 'snap-' || CAST(o_custkey % 5 AS STRING) END",
         "claim_source": "CASE WHEN o_custkey % 10 > 0 THEN 'd' END", "parent_decision": "CASE WHEN o_custkey % 7 = 0 THEN 'Not Accepted' WHEN o_custkey % 7 > 1 THEN 'Accepted' END",
     }),
     "results": ("lineitem", None, {
         "package_id": "l_orderkey", "result_id": LINE_KEY, "evidence_ts": "l_shipdate", "generated_by": "CASE WHEN l_linestatus = 'F' THEN 'act-' || CAST(l_suppkey AS STRING) END",
-        "comparator": "CASE WHEN l_returnflag <> 'N' THEN 'ds-' || CAST(l_partkey AS STRING) END", "result_uq": "CASE WHEN l_tax > 0 THEN true END",
+        "comparator": "CASE WHEN l_returnflag <> 'N' THEN 'ds-' || CAST(l_partkey AS STRING) END", "data_vintage": "CASE WHEN l_linenumber % 3 > 0 THEN l_shipdate END", "result_uq": "CASE WHEN l_tax > 0 THEN true END",
         "activity_type": "'method-' || CAST(l_suppkey % 3 AS STRING)", "config_version": "CASE WHEN l_linenumber < 6 THEN 'v' || CAST(l_partkey % 4 AS STRING) END",
         "sampling": "CASE WHEN l_linenumber % 2 = 0 THEN 's' END", "null_baseline": "CASE WHEN l_linenumber % 3 = 0 THEN 'b' END", "determinism": "CASE WHEN l_quantity > 10 THEN 'd' END",
         "claimed_cou": "CASE WHEN l_linenumber < 5 THEN 'c' END", "confound": "CASE WHEN l_discount > 0.02 THEN 'c' END", "subject_version": "CASE WHEN l_suppkey % 2 = 0 THEN 'v' END", "generalized": "CASE WHEN l_quantity > 40 THEN 'g' END",
