@@ -9,7 +9,7 @@ import time
 from veritrail.plans import catalog
 from veritrail.session import local_session
 
-HEADLINE = ["check", "rules_core", "compound", "ag_3", "ag_8", "ag_13", "ag_35", "j_1", "fp_3", "w_prov_01", "jd_1", "wn_8", "cr_1", "tx_6", "tx_11", "ma_7"]
+HEADLINE = ["check", "rules_core", "compound", "graph_core", "sh_1", "oos_goals", "ag_3", "ag_8", "ag_13", "ag_35", "j_1", "fp_3", "w_prov_01", "jd_1", "wn_8", "cr_1", "tx_6", "tx_11", "ma_7"]
 
 
 def main() -> None:

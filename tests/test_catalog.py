@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from veritrail.plans import catalog, comparisons, extraction, goals, mutants, packs, reviews, shapes, studies  # noqa: F401
+from veritrail.plans import catalog, comparisons, documents, extraction, goals, mutants, packs, reviews, shapes, studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -118,6 +118,18 @@ def rollup(findings: DataFrame) -> DataFrame:
     return findings.groupBy("package_id", "pattern_id", "severity").agg(F.count("*").alias("hits"), F.countDistinct("node").alias("nodes"), F.min("node").alias("first_node")).withColumn("rank", rank)
 
 
+def guarded(findings: DataFrame, refuse: tuple[str, int], restrict: tuple[str, int]) -> DataFrame:
+    """(package_id, worst, hits, severe, action): each setting is a least severity and how many findings of it or worse it takes.
+
+    ``worst`` ranks Critical as 4 down to Low as 1, ``severe`` counts what reaches the milder setting.
+    """
+    ranks = {s: 4 - i for s, i in RANK.items()}
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("severity")), F.lit(1))
+    reached = lambda setting: F.count_if(F.col("rank") >= ranks[setting[0]])
+    action = F.when(reached(refuse) >= refuse[1], "refuse").when(reached(restrict) >= restrict[1], "restrict").otherwise("none")
+    return findings.withColumn("rank", rank).groupBy("package_id").agg(F.max("rank").alias("worst"), F.count("*").alias("hits"), reached(restrict).alias("severe"), action.alias("action"))
+
+
 def sql(rules: list[Rule]) -> str:
     """The findings as SQL: one SELECT per rule."""
     parts = [f"SELECT package_id, '{r.id}' AS pattern_id, '{r.severity}' AS severity, {r.node} AS node FROM " + ("packages LEFT JOIN (SELECT DISTINCT package_id, true AS has_results FROM results) USING (package_id)" if "has_results" in r.condition else "packages" if r.table == "packages" else f"{r.table} JOIN packages USING (package_id)") + f" WHERE {r.condition}" for r in rules]

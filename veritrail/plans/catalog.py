@@ -64,12 +64,10 @@ def so_2(spark, sf_dir):
     return rules.rollup(found(spark, sf_dir)).orderBy("rank", F.desc("hits"), "package_id", "pattern_id").limit(50)
 
 
-@query(with_sql(CLASSES, "SELECT package_id, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) AS worst, count(*) AS hits, CASE WHEN count(*) FILTER (severity = 'Critical') >= 3 THEN 'refuse' WHEN count(*) FILTER (severity = 'Critical') >= 1 THEN 'restrict' ELSE 'none' END AS action FROM findings GROUP BY package_id", found_sql("core")))
+@query(with_sql(CLASSES, "SELECT package_id, max(rank) AS worst, count(*) AS hits, count(*) FILTER (rank >= 3) AS severe, CASE WHEN count(*) FILTER (rank >= 4) >= 3 THEN 'refuse' WHEN count(*) FILTER (rank >= 3) >= 2 THEN 'restrict' ELSE 'none' END AS action FROM (SELECT *, CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS rank FROM findings) GROUP BY package_id", found_sql("core")))
 def gr_1(spark, sf_dir):
-    """Guardrail: what the severest findings and their number ask for."""
-    rank = F.when(F.col("severity") == "Critical", 4).when(F.col("severity") == "High", 3).when(F.col("severity") == "Medium", 2).otherwise(1)
-    critical = F.count_if(F.col("severity") == "Critical")
-    return found(spark, sf_dir, "core").groupBy("package_id").agg(F.max(rank).alias("worst"), F.count("*").alias("hits"), F.when(critical >= 3, "refuse").when(critical >= 1, "restrict").otherwise("none").alias("action"))
+    """Guardrail: what the severest findings and their number ask for, by two settings of threshold and least hits."""
+    return rules.guarded(found(spark, sf_dir, "core"), refuse=("Critical", 3), restrict=("High", 2))
 
 
 @query(with_sql(CLASSES, "SELECT coalesce(a.pattern_id, b.pattern_id) AS pattern_id, coalesce(a.hits, 0) AS hits_a, coalesce(b.hits, 0) AS hits_b, CASE WHEN b.hits IS NULL THEN 'only_a' WHEN a.hits IS NULL THEN 'only_b' ELSE 'both' END AS side FROM (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 7 = 0 GROUP BY pattern_id) a FULL JOIN (SELECT pattern_id, count(*) AS hits FROM findings WHERE package_id % 7 > 0 GROUP BY pattern_id) b ON a.pattern_id = b.pattern_id", found_sql()))
@@ -208,20 +206,29 @@ def sh_2(spark, sf_dir):
 DECIDED = "SELECT rule, intent, subtlety, fired, valid, others, ms, spec FROM outcomes"
 
 
-@query(with_sql(["outcomes"], "SELECT rule, count(*) FILTER (intent = 'confirm_existing' AND valid) AS targets, round(coalesce(count(*) FILTER (fired AND intent = 'confirm_existing' AND valid) / nullif(count(*) FILTER (intent = 'confirm_existing' AND valid), 0), 0), 6) AS recall, round(coalesce(count(*) FILTER (fired AND intent = 'negative_control' AND valid) / nullif(count(*) FILTER (intent = 'negative_control' AND valid), 0), 0), 6) AS nc_fpr, round(coalesce(count(*) FILTER (fired AND intent = 'confirm_existing' AND valid) / nullif(count(*) FILTER (fired AND valid), 0), 0), 6) AS precision FROM outcomes GROUP BY rule"))
+@query(with_sql(["outcomes"], """SELECT rule, targets, bystanders, controls, round(CASE WHEN targets = 0 THEN 0 ELSE t / targets END, 6) AS recall, round(CASE WHEN controls = 0 THEN 0 ELSE f / controls END, 6) AS nc_fpr, round(CASE WHEN bystanders = 0 THEN 0 ELSE b / bystanders END, 6) AS bystander_rate,
+round(CASE WHEN t + b + f = 0 THEN 0 ELSE t / (t + b + f) END, 6) AS precision, round(CASE WHEN controls = 0 THEN 0 ELSE 1 - f / controls END, 6) AS specificity FROM (SELECT rule, sum((intent = 'confirm_existing')::INT) AS targets, sum((intent = 'gap_probe')::INT) AS bystanders, sum((intent = 'negative_control')::INT) AS controls,
+sum((fired AND intent = 'confirm_existing')::INT)::DOUBLE AS t, sum((fired AND intent = 'gap_probe')::INT)::DOUBLE AS b, sum((fired AND intent = 'negative_control')::INT)::DOUBLE AS f FROM outcomes WHERE valid GROUP BY rule)"""))
 def ag_8(spark, sf_dir):
-    """Recall, false positives on controls, and precision per rule; invalid rows count nowhere."""
-    rows = evidence(spark, sf_dir, "outcomes").where("valid").groupBy("rule").agg(
-        F.count_if(F.col("intent") == "confirm_existing").alias("targets"), F.count_if(F.expr("fired AND intent = 'confirm_existing'")).alias("t"),
-        F.count_if(F.expr("intent = 'negative_control'")).alias("n"), F.count_if(F.expr("fired AND intent = 'negative_control'")).alias("f"), F.count_if("fired").alias("all"),
-    )
-    return rounded(rows.select("rule", "targets", stats.ratio(F.col("t"), F.col("targets")).alias("recall"), stats.ratio(F.col("f"), F.col("n")).alias("nc_fpr"), stats.ratio(F.col("t"), F.col("all")).alias("precision")))
-
-
-@query(with_sql(["outcomes"], "SELECT rule, round(avg(CASE WHEN subtlety = 'low' THEN CAST(fired AS INT) END), 6) AS low, round(avg(CASE WHEN subtlety = 'medium' THEN CAST(fired AS INT) END), 6) AS medium, round(avg(CASE WHEN subtlety = 'high' THEN CAST(fired AS INT) END), 6) AS high FROM outcomes WHERE valid GROUP BY rule"))
+    """Recall, false positives on controls, hits on bystanders, precision over all three, and specificity per rule; invalid rows count nowhere, a rate over nothing is 0."""
+    n = lambda intent: F.count_if(F.col("intent") == intent)
+    hit = lambda intent: F.count_if((F.col("intent") == intent) & F.col("fired"))
+    kinds = {"t": "confirm_existing", "b": "gap_probe", "f": "negative_control"}
+    rows = evidence(spark, sf_dir, "outcomes").where("valid").groupBy("rule").agg(*[n(kinds[k]).alias(name) for k, name in (("t", "targets"), ("b", "bystanders"), ("f", "controls"))], *[hit(kinds[k]).alias(k) for k in "tbf"])
+    ratio, c = stats.ratio, F.col
+    clear = F.when(c("controls") > 0, 1 - c("f") / c("controls")).otherwise(0.0)
+    return rounded(rows.select("rule", "targets", "bystanders", "controls", ratio(c("t"), c("targets")).alias("recall"), ratio(c("f"), c("controls")).alias("nc_fpr"), ratio(c("b"), c("bystanders")).alias("bystander_rate"), ratio(c("t"), c("t") + c("b") + c("f")).alias("precision"), clear.alias("specificity")))
+
+
+@query(with_sql(["outcomes"], """SELECT rule, round(low, 6) AS low, round(medium, 6) AS medium, round(high, 6) AS high, contexts, round(least_, 6) AS least, round(most_, 6) AS most, most_ - least_ >= 0.3 AS context_dependent FROM
+(SELECT rule, avg(CASE WHEN subtlety = 'low' THEN CAST(fired AS INT) END) AS low, avg(CASE WHEN subtlety = 'medium' THEN CAST(fired AS INT) END) AS medium, avg(CASE WHEN subtlety = 'high' THEN CAST(fired AS INT) END) AS high FROM outcomes WHERE valid GROUP BY rule)
+JOIN (SELECT rule, count(*) AS contexts, min(rate) AS least_, max(rate) AS most_ FROM (SELECT rule, spec % 5 AS cou, avg(CAST(fired AS INT)) AS rate FROM outcomes WHERE valid GROUP BY ALL) GROUP BY rule) USING (rule)"""))
 def ag_10(spark, sf_dir):
-    """Hit rate per rule and subtlety, pivoted."""
-    return rounded(evidence(spark, sf_dir, "outcomes").where("valid").groupBy("rule").pivot("subtlety", ["low", "medium", "high"]).agg(F.avg(F.col("fired").cast("int"))))
+    """Hit rate per rule and subtlety, pivoted, and over contexts of use: a rule whose rates lie 0.3 or more apart depends on them."""
+    rows = evidence(spark, sf_dir, "outcomes").where("valid").withColumn("hit", F.col("fired").cast("int"))
+    pivoted = rows.groupBy("rule").pivot("subtlety", ["low", "medium", "high"]).agg(F.avg("hit"))
+    rates = rows.groupBy("rule", (F.col("spec") % 5).alias("cou")).agg(F.avg("hit").alias("rate")).groupBy("rule").agg(F.count("*").alias("contexts"), F.min("rate").alias("least"), F.max("rate").alias("most"))
+    return rounded(pivoted.join(rates.withColumn("context_dependent", F.col("most") - F.col("least") >= 0.3), "rule"))
 
 
 @query(with_sql(["outcomes"], "SELECT intent, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95 FROM outcomes GROUP BY intent HAVING max(ms) > 0"))
@@ -281,10 +288,14 @@ def jd_5(spark, sf_dir):
     return judging.final(judging.triage(trios(spark, sf_dir)), overrides, arbitrated)
 
 
-@query(with_sql(["judgments"], "SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT count(*) AS n, avg(CAST(va = vb AS INT)) AS po, (SELECT sum(x.n * y.n) FROM (SELECT va AS v, count(*) AS n FROM trios GROUP BY va) x JOIN (SELECT vb AS v, count(*) AS n FROM trios GROUP BY vb) y USING (v)) / (count(*) * count(*)) AS pe FROM trios)", TRIOS))
+@query(with_sql(["judgments"], " UNION ALL ".join(f"SELECT '{a}{b}' AS pair, n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, two FROM (SELECT count(*) AS n, avg(CAST(v{a} = v{b} AS INT)) AS po, (SELECT sum(x.n * y.n) FROM (SELECT v{a} AS v, count(*) AS n FROM trios GROUP BY v) x JOIN (SELECT v{b} AS v, count(*) AS n FROM trios GROUP BY v) y USING (v)) / (count(*) * count(*)) AS pe, count(*) FILTER (va = vb OR va = vc OR vb = vc) AS two FROM trios)" for a, b in ("ab", "ac", "bc")), TRIOS))
 def ag_21(spark, sf_dir):
-    """Cohen's kappa of the first two judges."""
-    return rounded(stats.kappa(trios(spark, sf_dir), "va", "vb"))
+    """Cohen's kappa of each pair of judges, and in how many cases two of the three agree."""
+    rows = trios(spark, sf_dir)
+    two = rows.agg(F.count_if("va = vb OR va = vc OR vb = vc").alias("two")).withColumn("k", F.lit(1))
+    pairs = [stats.kappa(rows, f"v{a}", f"v{b}").withColumn("pair", F.lit(a + b)) for a, b in ("ab", "ac", "bc")]
+    every = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).withColumn("k", F.lit(1))
+    return rounded(every.join(two, "k").drop("k"))
 
 
 VERDICTS = ("CONFIRM", "OUT-OF-SCOPE", "REAL-GAP", "UNCERTAIN")
@@ -314,14 +325,16 @@ def ag_24(spark, sf_dir):
     return rows.groupBy("judge").agg(F.sum("n").alias("records"), F.count("*").alias("cases"), (F.sum("n") - F.count("*")).alias("extra"), F.count_if(F.col("f") != F.col("l")).alias("conflicts"))
 
 
-@query("SELECT t AS threshold, count(*) FILTER (value >= t * 500 AND event_type = 'error') AS tp, round(coalesce(count(*) FILTER (value >= t * 500 AND event_type = 'error') / nullif(count(*) FILTER (value >= t * 500), 0), 0), 6) AS precision, round(coalesce(count(*) FILTER (value >= t * 500 AND event_type = 'error') / nullif(count(*) FILTER (event_type = 'error'), 0), 0), 6) AS recall FROM events, (SELECT x / 100.0::DOUBLE AS t FROM range(15, 66, 5) r(x)) GROUP BY t")
+@query("""WITH swept AS (SELECT t, count(*) FILTER (value >= t * 500 AND event_type = 'error')::DOUBLE AS tp, count(*) FILTER (value >= t * 500)::DOUBLE AS p, count(*) FILTER (event_type = 'error')::DOUBLE AS n, count(*)::DOUBLE AS total FROM events, (SELECT x / 100.0::DOUBLE AS t FROM range(15, 66, 5) r(x)) GROUP BY t)
+SELECT t AS threshold, tp::BIGINT AS tp, round(CASE WHEN p = 0 THEN 0 ELSE tp / p END, 6) AS precision, round(CASE WHEN n = 0 THEN 0 ELSE tp / n END, 6) AS recall, round(CASE WHEN p + n = 0 THEN 0 ELSE 2 * tp / (p + n) END, 6) AS f1, round(CASE WHEN total + n = 0 THEN 0 ELSE 2 * n / (total + n) END, 6) AS control_f1 FROM swept""")
 def ag_33(spark, sf_dir):
-    """Threshold sweep in one pass: each row counts towards every threshold it reaches."""
+    """Threshold sweep in one pass: each row counts towards every threshold it reaches; the control says yes to all."""
     steps = [x / 100.0 for x in range(15, 66, 5)]
     flags = [F.struct(F.lit(t).alias("threshold"), (F.col("value") >= t * 500).alias("yes")) for t in steps]
     rows = table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("truth"), F.explode(F.array(*flags)).alias("s")).select("truth", "s.*")
-    sums = rows.groupBy("threshold").agg(F.count_if(F.expr("truth AND yes")).alias("tp"), F.count_if("yes").alias("p"), F.count_if("truth").alias("n"))
-    return rounded(sums.select("threshold", "tp", stats.ratio(F.col("tp"), F.col("p")).alias("precision"), stats.ratio(F.col("tp"), F.col("n")).alias("recall")))
+    sums = rows.groupBy("threshold").agg(F.count_if(F.expr("truth AND yes")).alias("tp"), F.count_if("yes").alias("p"), F.count_if("truth").alias("n"), F.count("*").alias("total"))
+    c = F.col
+    return rounded(sums.select("threshold", "tp", stats.ratio(c("tp"), c("p")).alias("precision"), stats.ratio(c("tp"), c("n")).alias("recall"), stats.ratio(2.0 * c("tp"), c("p") + c("n")).alias("f1"), stats.ratio(2.0 * c("n"), c("total") + c("n")).alias("control_f1")))
 
 
 @query("SELECT quality, CASE WHEN w < 200 THEN '0-199' WHEN w < 800 THEN '200-799' WHEN w < 2000 THEN '800-1999' ELSE '2000+' END AS band, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM (SELECT quality, len(string_split(text, ' ')) AS w FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
@@ -355,11 +368,14 @@ def ag_35(spark, sf_dir):
     return rounded(both.groupBy("dim").agg(F.corr("a", "b").alias("rho")))
 
 
-@query("SELECT user_id, event_id, count(*) OVER w AS calls, round(sum(value) OVER w, 4) AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+@query("""SELECT user_id, event_id, count(*) OVER hour AS calls, round(sum(value) OVER hour, 4) AS tokens, round(sum(value) OVER minute, 4) AS recent, count(*) OVER hour <= 8 AND round(sum(value) OVER minute, 4) <= 300 AS within
+FROM events WINDOW hour AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW), minute AS (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)""")
 def wn_8(spark, sf_dir):
-    """Calls and tokens of the last hour at each call."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).rangeBetween(-3600, 0)
-    return rounded(table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(w).alias("calls"), F.sum("value").over(w).alias("tokens")), 4)
+    """Calls and tokens of the last hour and tokens of the last minute at each call, and whether both caps hold."""
+    by = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    hour, minute = by.rangeBetween(-3600, 0), by.rangeBetween(-60, 0)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(hour).alias("calls"), F.sum("value").over(hour).alias("tokens"), F.sum("value").over(minute).alias("recent"))
+    return rounded(rounded(rows, 4).withColumn("within", (F.col("calls") <= 8) & (F.col("recent") <= 300)), 4)
 
 
 @query("SELECT vec_id, score FROM (SELECT a.vec_id, round(1.0 / (60 + a.r) + 1.0 / (60 + b.r), 9) AS score FROM (SELECT vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS r FROM embeddings) a JOIN (SELECT vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 AS r FROM embeddings) b USING (vec_id)) ORDER BY score DESC, vec_id LIMIT 20")

@@ -188,11 +188,12 @@ def level_fault(standard: Column, level: Column) -> Column:
     return level.isNotNull() & F.when(standard == "nasa", ~level.between(0, 4)).otherwise(~level.between(1, 5))
 
 
-@query(with_sql(["factors"], "SELECT package_id, factor_id, standard, achieved_level FROM factors WHERE achieved_level IS NOT NULL AND CASE WHEN standard = 'nasa' THEN achieved_level NOT BETWEEN 0 AND 4 ELSE achieved_level NOT BETWEEN 1 AND 5 END"))
+@query(with_sql(["factors"], "SELECT package_id, factor_id, standard, 'achieved' AS which, achieved_level AS level FROM factors WHERE achieved_level IS NOT NULL AND CASE WHEN standard = 'nasa' THEN achieved_level NOT BETWEEN 0 AND 4 ELSE achieved_level NOT BETWEEN 1 AND 5 END UNION ALL SELECT package_id, factor_id, standard, 'required', required_level FROM factors WHERE required_level IS NOT NULL AND CASE WHEN standard = 'nasa' THEN required_level NOT BETWEEN 0 AND 4 ELSE required_level NOT BETWEEN 1 AND 5 END"))
 def sh_9(spark, sf_dir):
-    """Levels out of the range of their standard."""
-    rows = evidence(spark, sf_dir, "factors")
-    return rows.where(level_fault(F.col("standard"), F.col("achieved_level"))).select("package_id", "factor_id", "standard", "achieved_level")
+    """Levels, achieved and required, out of the range of their standard."""
+    levels = F.array(*[F.struct(F.lit(w).alias("which"), F.col(f"{w}_level").alias("level")) for w in ("achieved", "required")])
+    rows = evidence(spark, sf_dir, "factors").select("package_id", "factor_id", "standard", F.explode(levels).alias("l")).select("package_id", "factor_id", "standard", "l.*")
+    return rows.where(level_fault(F.col("standard"), F.col("level")))
 
 
 @query("SELECT count(*) AS lines, count(DISTINCT norm) AS different, round(count(DISTINCT norm) / count(*), 6) AS rate FROM (SELECT trim(regexp_replace(lower(line), '[ \\t\\r\\n\\f]+', ' ', 'g')) AS norm FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE norm <> ''")
