@@ -178,6 +178,13 @@ def looked_at(conditions: list[str]) -> dict[str, set[str]]:
     return out
 
 
+def relevant(triples: DataFrame, rules: list[FrameRule]) -> DataFrame:
+    """The triples that these rules look at or walk along; the others make no difference to them."""
+    asked = looked_at([r.condition for r in rules])
+    hops = {p for r in rules for _, p, _ in FRAMES[r.frame]}
+    return triples.where(F.col("p").isin(*sorted(set().union(*asked.values(), hops, {"type"}))))
+
+
 def framed(described: DataFrame, rules: list[FrameRule]) -> DataFrame:
     """Findings of frame rules, each once."""
     out = []
@@ -217,7 +224,7 @@ def check(triples: DataFrame, packs: tuple[str, ...] = PACKS, derivations: list[
     ``triples`` is read once for each predicate that a rule asks for: give a table that lies by predicate. Nodes and the
     findings of the first two strata are written once, as every frame and the compounds read them again.
     """
-    described = laid(nodes(triples), "nodes")
+    described = laid(nodes(relevant(triples, [r for r in RULES if r.pack in packs])), "nodes")
     single = [framed(described, [r for r in RULES if r.pack in packs and r.level == 1])] if set(packs) & {r.pack for r in RULES} else []
     own = {(r.pack, r.id) for r in RULES}
     joined = [r for r in graph_rules.RULES if r.pack in packs and (r.pack, r.id) not in own]

@@ -292,7 +292,7 @@ def jd_5(spark, sf_dir):
 def ag_21(spark, sf_dir):
     """Cohen's kappa of each pair of judges, and in how many cases two of the three agree."""
     rows = trios(spark, sf_dir)
-    two = rows.agg(F.count_if("va = vb OR va = vc OR vb = vc").alias("two")).withColumn("k", F.lit(1))
+    two = rows.agg(F.count_if(F.expr("va = vb OR va = vc OR vb = vc")).alias("two")).withColumn("k", F.lit(1))
     pairs = [stats.kappa(rows, f"v{a}", f"v{b}").withColumn("pair", F.lit(a + b)) for a, b in ("ab", "ac", "bc")]
     every = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).withColumn("k", F.lit(1))
     return rounded(every.join(two, "k").drop("k"))

@@ -16,9 +16,7 @@ CORE = [r for r in package_rules.RULES if r.pack == "core"]
 
 def mutable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triples that core rules look at: others can't change what they say."""
-    asked = package_rules.looked_at([r.condition for r in CORE])
-    hops = {p for r in CORE for _, p, _ in package_rules.FRAMES[r.frame]}
-    return all_triples(spark, sf_dir).where(F.col("p").isin(*set().union(*asked.values(), hops, {"type"})))
+    return package_rules.relevant(all_triples(spark, sf_dir), CORE)
 
 
 ROWS = f"""rows_ AS MATERIALIZED (SELECT x.package_id, x.k, l_linenumber, l_linestatus, l_returnflag, l_discount, l_partkey, o_orderpriority, o_orderstatus FROM x JOIN orders_ USING (package_id)),
