@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as texts
+from veritrail.functions.binding import bind
 
 
 def character_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
-    """All runs of so many characters, from squashed text."""
-    plain = texts.squash(text)
+    """All runs of so many characters, from squashed text, in time linear in its length."""
 
-    def runs(n: int) -> Column:
-        places = F.when(F.length(plain) >= n, F.sequence(F.lit(1), F.length(plain) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.substring(plain, i, F.lit(n)))
+    def runs(characters: Column, n: int) -> Column:
+        places = F.when(F.size(characters) >= n, F.sequence(F.lit(0), F.size(characters) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(*[F.get(characters, i + k) for k in range(n)]))
 
-    return F.concat(*map(runs, sizes))
+    each = F.filter(F.split(texts.squash(text), ""), lambda c: c != "")
+    return bind(each, lambda characters: F.concat(*[runs(characters, n) for n in sizes]))
 
 
 def prepared(rows: DataFrame, text_col: str) -> DataFrame:
