@@ -49,11 +49,32 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], place: str = "place
     return dealt.join(told, same).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(place), size)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: what the product and the sum lose by rounding is worked out and added back."""
+
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * 134217729.0 - (v * 134217729.0 - v)  # 2^27 + 1 cuts the 53 bits of a double in two
+        return high, v - high
+
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    lost = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = p + c
+    rest = (p - (s - (s - p))) + (c - (s - p))
+    out = s + (lost + rest)
+    return F.when(F.isnan(out), s).otherwise(out)
+
+
 def quantile(q: float, value: str) -> Column:
-    """The exact quantile of ``ranked`` rows as an aggregate: the two neighbours of its place, weighted (linear between ranks)."""
+    """The exact quantile of ``ranked`` rows as an aggregate: the two neighbours of its place, weighted (linear between ranks).
+
+    The weighted sum is rounded once, as SQL engines do it: equal neighbours give just their value, so that bounds include it.
+    """
     at = (F.col("size") - 1) * F.lit(q)
     low = F.floor(at)
-    return F.sum(F.when(F.col("place") == low, F.col(value) * (1 - (at - low))).when(F.col("place") == low + 1, F.col(value) * (at - low)))
+    below = F.max(F.when(F.col("place") == low, F.col(value).cast("double")))
+    above = F.coalesce(F.max(F.when(F.col("place") == low + 1, F.col(value).cast("double"))), below)
+    weight = F.max(at - low)
+    return fused(below, 1 - weight, above * weight)
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, **names: float) -> DataFrame:
