@@ -45,7 +45,12 @@ def sentences(text: Column) -> Column:
     return F.flatten(cut)
 
 
+def trimmed(text: Column) -> Column:
+    """Without the spaces of any script (Unicode's Zs) at both ends; tabs and line ends stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def chunks(text: Column, least: int = 40, most: int = 300) -> Column:
     """Paragraphs of at least ``least`` characters, cut every ``most``."""
-    pieces = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: F.length(p) >= least)
+    pieces = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda p: F.length(p) >= least)
     return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most)))))
