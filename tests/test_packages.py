@@ -193,3 +193,18 @@ def test_mutants_against_their_own_baseline(spark):
     assert all(r.injected and r.delta == 1 for r in got.values())
     assert [tuple(x) for x in got["1#drop-requirement#0"].suppressed] == [("W-AR-03", 1)] and got["1#drop-signature#0"].suppressed == []
     assert triples.count() == len(rows)  # the base stays as it is
+
+
+def test_mutants_as_edits_of_frames_fire_as_their_copied_packages_do(spark):
+    rows = [("1", "u", "type", "UnitOfAssurance"), ("1", "u", "bindsRequirement", "r"), ("1", "r", "requiredVerificationMethod", "x"), ("1", "u", "hasValidationResult", "v"), ("1", "v", "wasGeneratedBy", "a"), ("1", "a", "activityType", "y"), ("1", "u", "hasValidationResult", "w")]
+    triples = spark.createDataFrame(rows, GOAL).coalesce(1)
+    rules = [r for r in package_rules.RULES if r.id in ("W-EP-02", "W-AR-03", "W-SI-02")]
+    mutants = spark.createDataFrame(
+        [("m1", "1", "v", [("v", "wasGeneratedBy", "a")], []), ("m2", "1", "u", [("u", "bindsRequirement", "r")], []), ("m3", "1", "b", [], [("b", "activityType", "z")]), ("m4", "1", "w", [], [("w", "wasGeneratedBy", "a")])],
+        f"mutant string, package_id string, site string, removed {mutation.TRIPLE}, added {mutation.TRIPLE}",
+    ).coalesce(1)
+    copied = package_rules.framed(package_rules.nodes(mutation.overlay(triples, mutants)), rules).select("package_id", "pattern_id", "node")
+    edited = package_rules.framed(package_rules.nodes(triples), rules, mutants).select("mutant", "pattern_id", "node")
+    got = sorted(map(tuple, edited.collect()))
+    assert got == sorted(map(tuple, copied.collect()))
+    assert ("m1", "W-EP-02", "v") in got and ("m1", "W-AR-03", "v") not in got and ("m2", "W-SI-02", "u") in got and ("m4", "W-AR-03", "w") in got
