@@ -255,3 +255,15 @@ def test_learned_scores_hold_out(spark):
     mixed = "Click now cheap free buy. Measured against reference within error.\nBuy cheap now free click."
     top = learning.top_sentences(model, spark.createDataFrame([(1, mixed), (2, "")], "doc_id long, text string"), "doc_id", "text", 1).collect()
     assert [(r.doc_id, r.place) for r in top if r.doc_id == 1] == [(1, 1)]
+
+
+def test_features_are_counted_once_and_whole(spark):
+    own = ["The cat  sat", "ab", "", None, "x" * 300_000, "𝄞𝄞𝄞𝄞 é", "the CAT sat"]
+    rows = {r.id: r.counts for r in learning.counted(spark.createDataFrame(list(enumerate(own)), "id int, text string"), "text", 1 << 12).collect()}
+    for i, t in enumerate(own):
+        squashed = " ".join((t or "").lower().split())
+        words, runs = squashed.split(), sum(max(len(squashed) - n + 1, 0) for n in (3, 4, 5))
+        at, n = rows[i].indices, rows[i].values
+        assert rows[i].size == 3 << 12 and (np.diff(at) > 0).all()
+        assert [n[at >> 12 == k].sum() for k in range(3)] == [len(words), max(len(words) - 1, 0), runs]
+    assert rows[0] == rows[6] and len(rows[4].indices) == 4
