@@ -199,6 +199,18 @@ def test_bundles_depend_on_rows_alone(spark, tmp_path):
     assert [r.state for r in sinks.verify_bundle(spark, f"{tmp_path}/b").collect()] == ["changed"]
 
 
+def test_files_of_bundles_lie_in_small_pieces(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("package_id"), F.lit("same").alias("node"))
+    first = {tuple(r) for r in sinks.write_bundle(rows, f"{tmp_path}/a", 4, 100).collect()}
+    again = {tuple(r) for r in sinks.write_bundle(rows.orderBy(F.rand(1)).repartition(9), f"{tmp_path}/b", 4, 100).collect()}
+    assert first == again and len(first) == 4 and sum(r[1] for r in first) == 3000
+    parts = list((tmp_path / "b/rows").rglob("part-*.txt"))
+    assert len(parts) == 32 and max(len(p.read_text().splitlines()) for p in parts) < 200
+    assert sum(p.stat().st_size for p in parts) == sum(r[2] for r in first) and sinks.verify_bundle(spark, f"{tmp_path}/b").count() == 0
+    parts[0].unlink()
+    assert [r.state for r in sinks.verify_bundle(spark, f"{tmp_path}/b").collect()] == ["changed"]
+
+
 def test_snapshots_leave_out_what_varies(spark):
     findings = [(1, "W-B", "n", None, "/work/x/a.json"), (1, "W-A", "m", "d", "/work/x/b.json")]
     schema = "package_id long, pattern_id string, node string, description string, source string"

@@ -31,26 +31,39 @@ def snapshot(findings: DataFrame, violations: DataFrame, key: str = "package_id"
     return both.select(key, text.alias("snapshot"), F.sha2(text, 256).alias("digest"))
 
 
-def write_bundle(rows: DataFrame, path: str, files: int) -> DataFrame:
-    """Write rows as JSON lines into ``files`` numbered folders, one file each, and return the manifest that is written beside them.
+#: Most lines, about, of a piece of a bundle's file.
+LINES = 100_000
 
-    A line's folder follows from its text alone, and lines are sorted within it, so equal rows give equal bytes however
-    they are dealt out before. A line is small; folders are even, whatever key a third of the rows share.
+
+def write_bundle(rows: DataFrame, path: str, files: int, lines: int = LINES) -> DataFrame:
+    """Write rows as JSON lines into ``files`` numbered folders and return the manifest that is written beside them.
+
+    What is a file to the manifest lies in pieces of about ``lines`` lines, as many as the number of rows asks for, so
+    that neither the task that sorts a piece nor the one that digests it grows with the rows. A line's folder and piece
+    follow from its text alone, and lines are sorted within a piece, so equal rows give equal bytes however they are
+    dealt out before. A line is small; pieces are even, whatever key a third of the rows share.
     """
     line = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "true"}).alias("value"))
-    dealt = line.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(files)).cast("int")).repartition(files, "bucket").sortWithinPartitions("bucket", "value")
-    dealt.write.partitionBy("bucket").option("maxRecordsPerFile", 0).text(f"{path}/rows")
+    pieces = max(1, -(-rows.count() // (files * lines)))
+    place = F.pmod(F.xxhash64("value"), F.lit(files * pieces))
+    dealt = line.select("value", F.floor(place / pieces).cast("int").alias("bucket"), (place % pieces).cast("int").alias("piece"))
+    dealt = dealt.repartition(files * pieces, "bucket", "piece").sortWithinPartitions("bucket", "piece", "value")
+    dealt.write.partitionBy("bucket", "piece").option("maxRecordsPerFile", 0).text(f"{path}/rows")
     found = manifest(rows.sparkSession, path)
     found.coalesce(1).sortWithinPartitions("bucket").write.json(f"{path}/manifest")
     return found
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, lines, bytes, sha256) of a bundle's files as they lie there. A file is one row here: ``files`` bounds its size."""
+    """(bucket, lines, bytes, sha256) of a bundle's files as they lie there: the digest of the one piece, or that of all pieces' digests in order. A piece is one row here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/rows")
     text = F.col("content").cast("string")
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return files.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("int").alias("bucket"), lines.cast("long").alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    place = lambda name: F.regexp_extract("path", f"{name}=([0-9]+)", 1).cast("int").alias(name)
+    each = files.select(place("bucket"), place("piece"), lines.cast("long").alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("piece", "sha256"))), lambda x: x["sha256"])
+    whole = each.groupBy("bucket").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), digests.alias("digests"))
+    return whole.select("bucket", "lines", "bytes", F.when(F.size("digests") == 1, F.col("digests")[0]).otherwise(F.sha2(F.concat_ws("", "digests"), 256)).alias("sha256"))
 
 
 def verify_bundle(spark: SparkSession, path: str) -> DataFrame:
