@@ -89,6 +89,19 @@ def test_paraphrases_by_all_windows(spark):
     assert {(r.doc_id, r.item_id) for r in again.collect()} >= {x for x in got if x[0] < 3}
 
 
+def test_the_basis_is_fitted_on_no_sample(spark):
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(300)]
+    items = [rnd.sample(words, 20) for _ in range(10)]
+    docs = [rnd.sample(words, 10) + (items[d % 10] if d % 400 < 10 else []) for d in range(4000)]
+    found = []
+    for shift in (0, 10_000):  # a sample by the ids would be another one
+        rows = spark.createDataFrame([(i + shift, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+        got = decontaminate.contaminated(rows, bench(spark, [" ".join(i) for i in items])).collect()
+        found.append(sorted((r.doc_id - shift, r.item_id, round(r.cosine, 2), r.overlap) for r in got))
+    assert found[0] == found[1] and {x[:2] for x in found[0]} >= {(d, d % 10) for d in range(4000) if d % 400 < 10}
+
+
 def test_a_passage_in_a_long_text(spark):
     item = [f"w{i}" for i in range(40)]
     docs = [" ".join([*(f"x{i % 97}" for i in range(at)), *item, *(f"y{i % 89}" for i in range(100_000 - at))]) for at in (0, 19_990, 40_000, 100_000)]

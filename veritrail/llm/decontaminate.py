@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to ``FEATURES`` dimensions and weighted by their rarity over all documents. A distributed randomised SVD of TF-IDF passages (the benchmark's, weighted, and those of a
-sample of documents) gives a latent basis: one pass finds the range of A^T A with oversampling, a second one the Gram
-matrix within it, whose eigenvectors of the largest eigenvalues are kept. Every window of every document, of a length
-near an item's, is projected; windows whose cosine with an item is high enough are candidates (for items under ``SHORT``
-words, where a cosine says little, all windows that hold enough of their words). A candidate counts if the
-longest common subsequence of words covers most of the item, or a good part of it and nearly all of its answer (its last
-quarter).
-
-Document frequencies are counted over all documents, and all windows of whole texts are searched. Only the basis is
-fitted on a sample: about ``fit_docs`` documents, chosen by a hash of the id, and all benchmark passages. The benchmark
+Words are hashed to ``FEATURES`` dimensions and weighted by their rarity over all documents. A distributed randomised SVD
+of the TF-IDF passages of the whole benchmark gives a latent basis: one pass finds the range of A^T A with oversampling, a
+second one the Gram matrix within it, whose eigenvectors of the largest eigenvalues are kept. Every window of every
+document, of a length near an item's, is projected; windows whose cosine with an item is high enough are candidates (for
+items under ``SHORT`` words, where a cosine says little, all windows that hold enough of their words). A candidate counts
+if the longest common subsequence of words covers most of the item, or a good part of it and nearly all of its answer (its
+last quarter).
+
+Document frequencies are counted over all documents, the basis is fitted on all benchmark passages, and all windows of
+whole texts are searched: nothing is sampled. What no item has lies outside the basis and doesn't lower a cosine. The benchmark
 is a stated query set: it goes to the tasks in blocks of about ``block`` items, which share one basis, so what is found
 for an item doesn't depend on the others in its block.
 
@@ -133,13 +133,10 @@ def gram(passages: list[np.ndarray], idf: np.ndarray, own: np.ndarray) -> np.nda
     return out
 
 
-def basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int, fit_docs: int, id_col: str, text_col: str, weight: float = 100.0, more: int = 16, seed: int = 3) -> np.ndarray:
-    """The leading right singular vectors of the passages of sampled documents and of ``items`` (id, text), those ``weight``-fold."""
-    spark = docs.sparkSession
-    total = max(docs.count(), 1)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(total)) < fit_docs).select(F.col(text_col).alias("text"), F.lit(1.0).alias("weight"))
-    # the scan of all documents stays in as many tasks as it has; what goes to a few is the bounded sample, written once
-    rows = written(sample.union(items.select("text", F.lit(weight).alias("weight"))).repartition(8, F.xxhash64("text")), "decontaminate-fit")
+def basis(items: DataFrame, idf: np.ndarray, rank: int, more: int = 16, seed: int = 3) -> np.ndarray:
+    """The leading right singular vectors of all passages of ``items`` (id, text)."""
+    spark = items.sparkSession
+    rows = written(items.select("text").repartition(8, F.xxhash64("text")), "decontaminate-fit")
 
     def summed(own: np.ndarray, work, shape: tuple) -> np.ndarray:
         """The weighted sums of ``work`` over all passages: a matrix of fixed size for each of a few tasks."""
@@ -148,10 +145,8 @@ def basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int, fit_doc
         def sums(batches):
             features, found = featurer(), np.zeros(shape)
             for batch in batches:
-                texts, weights = batch.column("text").to_pylist(), batch.column("weight").to_numpy()
-                for w in np.unique(weights).tolist():
-                    if passages := [p for t, x in zip(texts, weights.tolist(), strict=True) if x == w for p in cut(features(words_of(t)))]:
-                        found += w * work(passages, idf, shared.value)
+                if passages := [p for t in batch.column("text").to_pylist() for p in cut(features(words_of(t)))]:
+                    found += work(passages, idf, shared.value)
             yield pa.RecordBatch.from_pydict({"part": [found.astype(np.float32).tobytes()]})
 
         out = np.zeros(shape)
@@ -163,7 +158,8 @@ def basis(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int, fit_doc
     test = np.random.default_rng(seed).standard_normal((FEATURES, rank + more))
     own = np.linalg.qr(summed(test, sketch, test.shape))[0]
     values, vectors = np.linalg.eigh(summed(own, gram, (rank + more,) * 2))
-    return own @ vectors[:, np.argsort(-values, kind="stable")[:rank]]
+    order = np.argsort(-values, kind="stable")[:rank]
+    return own @ vectors[:, order[values[order] >= 1e-5 * values[order[0]]]]  # the others are rounding where there are few passages
 
 
 def common(a: list, b: list) -> int:
@@ -286,7 +282,7 @@ def overlapping(words: list[bytes], most: int) -> list[list[bytes]]:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 64, fit_docs: int = 2000,
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 64,
     cosine: float = 0.7, copied: float = 0.75, paraphrased: float = 0.6, answered: float = 0.75, block: int = 1 << 15,
 ) -> DataFrame:
     """(id, item, cosine, overlap, answer): one row for each document and item found in it."""
@@ -298,7 +294,7 @@ def contaminated(
     if not blocks:
         return spark.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_col})
     idf, out = rarity(docs, text_col), None
-    table = (idf[:, None] * basis(docs, items, idf, rank, fit_docs, id_col, text_col)).astype(np.float32)
+    table = (idf[:, None] * basis(items, idf, rank)).astype(np.float32)
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()  # about ``block`` items
         words = [words_of(r["text"]) for r in own]
