@@ -208,3 +208,16 @@ def test_mutants_as_edits_of_frames_fire_as_their_copied_packages_do(spark):
     got = sorted(map(tuple, edited.collect()))
     assert got == sorted(map(tuple, copied.collect()))
     assert ("m1", "W-EP-02", "v") in got and ("m1", "W-AR-03", "v") not in got and ("m2", "W-SI-02", "u") in got and ("m4", "W-AR-03", "w") in got
+
+
+def test_violations_are_found_in_one_pass_over_nodes(spark):
+    from veritrail.operators import shapes
+
+    triples = spark.createDataFrame([(1, "n", "type", t, "iri", None) for t in ("CredibilityFactor", "Disposition")], "package_id long, s string, p string, o string, o_kind string, o_datatype string")
+    found = shapes.violations(triples)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == plan.count("Generate") == 1
+    # a node of two classes has the violations of both, in whatever order
+    assert {(r.path, r.constraint_kind) for r in found.collect()} == {("factorType", "minCount"), ("actionClass", "minCount")}
+    told = shapes.conformance_of(shapes.nodes(triples), found).collect()
+    assert [(r.conforms, r.has_target, r.failed_paths) for r in told] == [(False, False, ["actionClass", "factorType"])]

@@ -8,7 +8,6 @@ give one violation a property, constraints on values one for each value that fai
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,22 +139,35 @@ def violations(triples: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[st
 
     A unit that declares none of the profiles has the one violation that none of them is met.
     """
-    described, out = nodes(triples), []
+    return violations_of(nodes(triples), shapes, packs)
+
+
+def violations_of(described: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[str, ...] = ("core", "vv40", "disposition")) -> DataFrame:
+    """The same of ``nodes``, in one pass over them: a node's violations are those of each target that it is of."""
+    every = []
     active = [s for s in shapes if s.pack in packs]
     for target in dict.fromkeys(s.target for s in active):
-        rows = described.where(f"exists(facts, t -> t.p = 'type' AND t.o = '{target}')").withColumn("declared", F.expr("transform(filter(facts, t -> t.p = 'conformsToProfile'), t -> t.o)"))
         own = [s for s in active if s.target == target]
         checks = [checked(s) for s in own]
         if any(s.profile for s in own):
             none = violation("conformsToProfile", "or", "one of " + ", ".join(EXTENDS), f"IF(size(declared) = 0, '{MISSING}', array_join(array_sort(declared), ', '))", "declare a profile", "Violation", "CAST(NULL AS STRING)")
             checks.append(f"filter(array({none}), v -> NOT exists(declared, q -> q IN ({', '.join(map(quoted, EXTENDS))})))")
-        out.append(rows.select(KEY, "focus_node", F.explode(F.expr(f"concat({', '.join(checks)})")).alias("v")).select(KEY, "focus_node", "v.*"))
-    return reduce(DataFrame.unionByName, out)
+        every.append(f"IF(exists(facts, t -> t.p = 'type' AND t.o = '{target}'), concat({', '.join(checks)}), array())")
+    rows = described.withColumn("declared", F.expr("transform(filter(facts, t -> t.p = 'conformsToProfile'), t -> t.o)"))
+    return rows.select(KEY, "focus_node", F.explode(F.expr(f"concat({', '.join(every)})")).alias("v")).select(KEY, "focus_node", "v.*")
 
 
 def conformance(triples: DataFrame, found: DataFrame) -> DataFrame:
     """(package_id, conforms, has_target, failed_paths) of every package. One without a unit conforms too, having nothing to check: ``has_target`` tells."""
-    each = triples.groupBy(KEY).agg(F.max((F.col("p") == "type") & (F.col("o") == UNIT)).alias("has_target"))
+    return verdicts(triples.groupBy(KEY).agg(F.max((F.col("p") == "type") & (F.col("o") == UNIT)).alias("has_target")), found)
+
+
+def conformance_of(described: DataFrame, found: DataFrame) -> DataFrame:
+    """The same of ``nodes``."""
+    return verdicts(described.groupBy(KEY).agg(F.max(F.expr(f"exists(facts, t -> t.p = 'type' AND t.o = '{UNIT}')")).alias("has_target")), found)
+
+
+def verdicts(each: DataFrame, found: DataFrame) -> DataFrame:
     failed = found.groupBy(KEY).agg(F.sort_array(F.collect_set("path")).alias("failed_paths"))
     rows = each.join(failed, KEY, "left")
     return rows.select(KEY, F.col("failed_paths").isNull().alias("conforms"), "has_target", F.coalesce("failed_paths", F.array().cast("array<string>")).alias("failed_paths"))
