@@ -286,6 +286,15 @@ def test_jaccard_large_groups_around_absent_centres(spark):
         assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, num, 100, width)
 
 
+def test_jaccard_passages_of_many_sets_pair_nobody(spark):
+    """Unlike sets with a passage in common that their hub lacks don't meet by it; sets that link do."""
+    passage = list(range(60))
+    apart = {key: passage + [1000 * key + i for i in range(100)] for key in range(1, 41)} | {key: passage + list(range(90_000, 90_100)) for key in (50, 51)}
+    rows = [(0, key, key, False, 200, 180 * len(x) - 20 * 200, x, -20 * 200) for key, x in apart.items()]
+    frame = spark.createDataFrame(rows, "hub long, key long, root long, far boolean, n long, weight long, apart array<long>, least long")
+    assert [tuple(r) for r in jaccard.meetings(frame, 80, 100).collect()] == [(0, 50, 51)]
+
+
 def test_jaccard_ids_and_long_texts(spark):
     rnd = random.Random(5)
     long = [f"v{rnd.randrange(9000)}" for _ in range(60_000)]

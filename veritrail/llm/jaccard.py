@@ -325,18 +325,35 @@ def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: boo
 
 
 def prefixes(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(hub, key, root, far, n, d, weight, prefix): the differences by which a set is found, in one order for all of a hub.
+    """(hub, key, root, far, n, d, weight, place, element): the differences by which a set is found, in one order for all of a hub.
 
-    What the hub hasn't comes first: it is rarer among the hub's sharers than what they lack. Any one order is right. A
-    set and its partner have at least ``need`` differences in common: their weights and that of a partner, ``least`` at
-    the least, say so, and so does that no more than (den - num) / num of the set's size can be in it and not in the
-    partner. The first of them is then among the d - need + 1 first of both.
+    Those of the fewest sharers come first, so that a passage which many unlike sets have is seldom among them; what only
+    one set has finds nobody and isn't listed, but has its place. Any one order is right. A set and its partner have at
+    least ``need`` differences in common: their weights and that of a partner, ``least`` at the least, say so, and so does
+    that no more than (den - num) / num of the set's size can be in it and not in the partner. The first of them is then
+    among the d - need + 1 first of both.
     """
     both, less = num + den, den - num
     d = F.size("apart")
     need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least")) / (2 * both)), d - F.floor(F.col("n") * less / num))
-    size = F.greatest(d - need + 1, F.lit(0)).cast("int")
-    return rows.select("hub", "key", "root", "far", "n", d.alias("d"), "weight", F.slice("apart", F.lit(1), size).alias("prefix"))
+    about = rows.select("hub", "key", "root", "far", "n", d.alias("d"), "weight", (d - need + 1).alias("first"))
+    every = rows.select("hub", "key", F.explode("apart").alias("element"))
+    sharing = every.withColumn("sharers", F.count("*").over(Window.partitionBy("hub", "element"))).where("sharers > 1")
+    own = Window.partitionBy("hub", "key")
+    place = F.row_number().over(own.orderBy("sharers", "element")) - 1 + F.col("d") - F.count("*").over(own)
+    return sharing.join(about, ["hub", "key"]).withColumn("place", place).where("place < first").drop("sharers", "first")
+
+
+def meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(hub, a, b): sets of different components that may link, met by a common difference to their hub."""
+    both, less = num + den, den - num
+    entry = prefixes(rows, num, den)
+    other = entry.select("hub", "element", *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "far", "n", "d", "weight", "place")])
+    apart = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & ~(F.col("far") & F.col("other_far"))
+    fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
+    # the first common element of a pair that links has as many after it, in both, as must be common
+    enough = 2 * both * F.least(F.col("d") - F.col("place"), F.col("other_d") - F.col("other_place")) >= F.col("weight") + F.col("other_weight")
+    return entry.join(other, ["hub", "element"]).where(apart & fits & enough).select("hub", F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,7 +372,7 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
     common difference, both link with the lightest set of that hub; else they meet by a common difference, if they aren't
     in one component already. Sharers that are both far from the hub meet in the next round; in the last, none counts as far.
     """
-    both, less = num + den, den - num
+    less = den - num
     found = None
     for left in range(rounds, 0, -1):
         last = left == 1
@@ -376,16 +393,10 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
         weighed = least.join(mixed, "hub").join(hub_weight, "hub").select("hub", F.least("own", "x0.weight").alias("least"))
         open_rows = written(labelled.join(weighed, "hub"), "jaccard-open", LONG_ROWS)
 
-        entry = prefixes(open_rows, num, den).select("hub", "key", "root", "far", "n", "d", "weight", F.posexplode("prefix").alias("place", "element"))
-        other = entry.select("hub", "element", *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "far", "n", "d", "weight", "place")])
-        apart = (F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & ~(F.col("far") & F.col("other_far"))
-        fits = F.abs(F.col("d") - F.col("other_d")) * both <= less * (F.col("n") + F.col("other_n"))
-        # the first common element of a pair that links has as many after it, in both, as must be common
-        enough = 2 * both * F.least(F.col("d") - F.col("place"), F.col("other_d") - F.col("other_place")) >= F.col("weight") + F.col("other_weight")
-        met = entry.join(other, ["hub", "element"]).where(apart & fits & enough).select("hub", F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
+        met = written(meetings(open_rows, num, den), "jaccard-met")
         more = written(confirmed(met, open_rows, num, den), "jaccard-links")
         found = stars.union(more) if found is None else found.union(stars).union(more)
-        drop(roots, open_rows)
+        drop(roots, open_rows, met)
 
         apart = rows.where("far").select("key", "hub") if last else rows.where("far").select("key", "hub").union(looked.where("out").select("key", "hub"))
         far = dealt.join(apart, ["key", "hub"]).select("signature", "key")
