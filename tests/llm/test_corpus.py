@@ -43,6 +43,12 @@ def test_encoder_equals_the_tokenizer(spark):
         assert np.frombuffer(encode(t), np.uint16).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_packing_shares_the_encoder_of_the_token_files():
+    """The faster one, made once in each worker."""
+    assert queries.byte_encoder is queries.byte_pair_encoder
+    assert packing.made(queries.byte_encoder) is packing.made(queries.byte_encoder)
+
+
 def test_hilbert_is_a_curve_through_all_points():
     grid = np.stack(np.meshgrid(*[np.arange(4)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert(grid, 2)

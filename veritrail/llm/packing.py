@@ -21,53 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, to_arrow, written
+from .common import arrow_map, made, partitions, to_arrow, written
 
 DIMENSIONS, BITS, WIDTH = 4, 12, 256
 #: Fixed value: what ends a document.
 END_ID = 1
 
 
-def byte_level_encoder(tokenizer_path: str, ranks_path: str, pattern: str, room: int = 300_000) -> Callable[[str], bytes]:
-    """A function from a text to its ids as 16-bit numbers.
-
-    ``ranks_path`` holds the same vocabulary in the faster library's form. Texts are cut at single spaces and line
-    ends, where no token can cross, and the ids of parts seen before are kept, ``room`` of them at most. A text that
-    holds a special token's string goes to the tokenizer itself.
-    """
-    import base64
-    import re
-
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(tokenizer_path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    # a space or line end that stands between two characters other than white space
-    cut = re.compile(r"(?<=\S)(?=[ \n]\S)").split
-
-    class Kept(dict):
-        def __missing__(self, part):
-            if len(self) >= room:
-                self.clear()
-            ids = np.array(encode(part), np.uint16).tobytes()
-            if len(part) <= 64:
-                self[part] = ids
-            return ids
-
-    kept = Kept()
-
-    def ids_of(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        return b"".join(map(kept.__getitem__, cut(text)))
-
-    return ids_of
-
-
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Hilbert index of each row of whole numbers below 2^bits (Skilling's transform, all rows at once)."""
     x = points.astype(np.int64).T.copy()
@@ -117,7 +77,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], id_col:
     kind = dict(docs.dtypes)[id_col]
 
     def make():
-        encode, matrix, end = encoder(), projection(), np.uint16(END_ID).tobytes()
+        encode, matrix, end = made(encoder), projection(), np.uint16(END_ID).tobytes()
 
         def step(rows):
             ids = [encode(t or "") + end for t in rows["text"]]

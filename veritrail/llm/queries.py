@@ -41,7 +41,11 @@ def byte_encoder():
     """Made on each executor; the vocabulary's path is looked up there."""
     import public_tokenizers as public
 
-    return packing.byte_level_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return token_files.byte_pair_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+#: Operators 5 and 12 share it.
+byte_pair_encoder = byte_encoder
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +84,9 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-def byte_pair_encoder():
-    """Made on each executor; the vocabulary's path is looked up there."""
-    import public_tokenizers as public
-
-    return token_files.byte_pair_encoder(public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-
-
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/veritrail/op12-{uuid.uuid4().hex}"
-    token_files.write(table(spark, sf_dir, "documents"), byte_pair_encoder, path)
+    token_files.write(table(spark, sf_dir, "documents"), byte_encoder, path)
     return token_files.with_crc32(token_files.read(spark, path))
 
 

@@ -16,7 +16,6 @@ gives files without rows; columns other than the id, the text and ``keep`` are n
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, to_arrow, written
+from .common import arrow_map, made, partitions, to_arrow, written
 
 IDS = "ids.list.element"
 
@@ -55,12 +54,6 @@ def byte_pair_encoder(tokenizer_path: str, ranks_path: str, pattern: str) -> Cal
     return ids_of
 
 
-@functools.lru_cache(maxsize=2)
-def made(encoder: Callable[[], Callable[[str], bytes]]) -> Callable[[str], bytes]:
-    """The encoder, made once in each Python worker, whatever number of tasks it runs."""
-    return encoder()
-
-
 def layout(encoding: str = "dictionary", row_group_bytes: int = 32 << 20, row_group_rows: int = 50_000, page_bytes: int = 64 << 10, page_rows: int = 200) -> dict[str, str]:
     """Options of the Parquet writer: a row group or page ends at so many bytes or documents. ``encoding``: how ids are stored, dictionary or delta."""
     if encoding not in ("dictionary", "delta"):
