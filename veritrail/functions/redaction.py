@@ -22,9 +22,17 @@ WINDOWS_PATH = r"[A-Za-z]:\\(?:[^\\\s\"'<>|*?]+\\)*[^\\\s\"'<>|*?]*"
 POSIX_PATH = r"/(?:home|Users|root|tmp|var/folders)/[^\s\"'<>|]*"
 #: Kinds replaced by their own pattern, in this order.
 PLAIN = {"mail": r"[A-Za-z0-9][\w.+\-]*@[A-Za-z0-9][\w\-]*(?:\.[\w\-]+)+", "address": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "secret": r"\b[0-9A-Fa-f]{32,64}\b", "number": r"\b\d{13,19}\b"}
+#: All kinds of values.
+KINDS = ["user", "host", "path", *PLAIN]
 #: Names shorter than this stay where they stand by themselves: they could be part of any word.
 LEAST = 4
 TOKEN = "<redacted-[a-z]+-[0-9]+>"
+#: What each match of a pattern holds: texts without it aren't searched by the pattern, which would take far longer.
+NEEDED = {URL: "://", ACCOUNT: "@", WINDOWS_PATH: ":\\", POSIX_PATH: "/", PLAIN["mail"]: "@", PLAIN["address"]: "."}
+
+
+def may_hold(text: Column, pattern: str) -> Column:
+    return F.contains(text, F.lit(NEEDED[pattern])) if pattern in NEEDED else F.lit(True)
 
 
 def pieces(text: Column, pattern: Column | str, replace: Callable[[Column], Column]) -> Column:
@@ -39,11 +47,11 @@ def pieces(text: Column, pattern: Column | str, replace: Callable[[Column], Colu
 
 def outside(text: Column) -> Column:
     """The parts of a text between its links."""
-    return F.split(text, F.lit(URL), -1)
+    return F.when(~may_hold(text, URL), F.array(text)).otherwise(F.split(text, F.lit(URL), -1))
 
 
 def values(parts: Column, pattern: str, group: int = 0) -> Column:
-    return F.flatten(F.transform(parts, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(group))))
+    return F.flatten(F.transform(F.filter(parts, lambda t: may_hold(t, pattern)), lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(group))))
 
 
 def lowered(found: Column) -> Column:
@@ -57,7 +65,15 @@ def head(path: Column) -> Column:
 
 def learned(text: Column) -> dict[str, Column]:
     """For each kind the distinct values of a document, in order of appearance."""
-    parts = outside(text)
+    return of_parts(outside(text))
+
+
+def dictionary(text: Column) -> Column:
+    """What ``learned`` gives, as one struct: the text is cut at its links once."""
+    return bind(outside(text), lambda parts: F.struct(*[v.alias(kind) for kind, v in of_parts(parts).items()]))
+
+
+def of_parts(parts: Column) -> dict[str, Column]:
     users = F.concat(lowered(values(parts, ACCOUNT, 1)), lowered(values(parts, USER_IN_PATH, 1)))
     own = {"user": users, "host": lowered(values(parts, ACCOUNT, 2)), "path": F.transform(F.concat(values(parts, WINDOWS_PATH), values(parts, POSIX_PATH)), head)}
     own |= {kind: values(parts, pattern) for kind, pattern in PLAIN.items()}
@@ -84,23 +100,30 @@ def redacted(text: Column, dictionary: dict[str, Column]) -> Column:
     either = F.concat(F.lit(f"(?i){TOKEN}"), F.array_join(F.transform(known, lambda x: F.concat(F.lit("|\\Q"), x["v"], F.lit("\\E"))), ""))
     name = lambda m: F.when(m.rlike(f"^{TOKEN}$"), m).when(seen("user", F.lower(m)) > 0, token("user", seen("user", F.lower(m)))).otherwise(named("host", F.lower(m)))
 
+    # a step that can't change the text is left out: one whose pattern needs what isn't there, or whose kind has no values
+    step = lambda t, needed, pattern, replace: bind(t, lambda t: F.when(needed(t), pieces(t, pattern, replace)).otherwise(t))
+    some = lambda kind: F.size(dictionary[kind]) > 0
+
     def part(t: Column, pattern: Column) -> Column:
-        out = pieces(pieces(pieces(t, ACCOUNT, account), WINDOWS_PATH, path), POSIX_PATH, path)
+        out = step(t, lambda t: may_hold(t, ACCOUNT), ACCOUNT, account)
+        for own in (WINDOWS_PATH, POSIX_PATH):
+            out = step(out, lambda t, own=own: some("path") & may_hold(t, own), own, path)
         for kind, own in PLAIN.items():
-            out = pieces(out, own, lambda m, kind=kind: named(kind, m))
-        return pieces(out, pattern, name)
+            out = step(out, lambda _, kind=kind: some(kind), own, lambda m, kind=kind: named(kind, m))
+        return step(out, lambda t: (F.size(known) > 0) | F.contains(F.lower(t), F.lit("<redacted-")), pattern, name)
 
     def whole(parts: Column, links: Column) -> Column:
         return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(links)), links, lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
 
     parts = bind(either, lambda pattern: F.transform(outside(text), lambda t: part(t, pattern)))
-    return bind(parts, lambda p: bind(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda links: whole(p, links)))
+    links = F.when(~may_hold(text, URL), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(URL), F.lit(0)))
+    return bind(parts, lambda p: bind(links, lambda found: whole(p, found)))
 
 
 def leaks(text: Column) -> Column:
     """Whether anything of the kind still stands outside links."""
     rest = F.array_join(outside(text), " ")
-    found = [rest.rlike(p) for p in (WINDOWS_PATH, POSIX_PATH, ACCOUNT, USER_IN_PATH, *PLAIN.values())]
+    found = [may_hold(rest, p) & rest.rlike(p) for p in (WINDOWS_PATH, POSIX_PATH, ACCOUNT, USER_IN_PATH, *PLAIN.values())]
     out = found[0]
     for f in found[1:]:
         out = out | f
