@@ -301,6 +301,29 @@ def test_jaccard_passages_of_many_sets_pair_nobody(spark):
     assert [tuple(r) for r in jaccard.meetings(frame, 80, 100).collect()] == [(0, 50, 51)]
 
 
+def test_jaccard_unlike_sets_around_a_passage_meet_by_rare_elements(spark):
+    """Sixty unlike sets have half of their elements from one passage: two that link are found, and the passage pairs nobody."""
+    r = random.Random(5)
+    passage = [r.getrandbits(63) for _ in range(100)]
+    own = [sorted(passage + [r.getrandbits(63) for _ in range(100)]) for _ in range(60)]
+    own += [sorted(own[7][:-4] + [r.getrandbits(63) for _ in range(4)]), sorted(own[9][:-60] + [r.getrandbits(63) for _ in range(60)])]
+    arrays = [np.array(x, np.uint64) for x in own]
+    sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), bytearray(jaccard.sketch(x))) for i, x in enumerate(arrays)], "key long, n long, elements binary, sketch binary")
+    none = spark.createDataFrame([], "a long, b long")
+    assert [tuple(x) for x in jaccard.rare_links(sets.select("key"), sets, none, 80, 100).collect()] == [(7, 60)]
+    assert jaccard.rare_links(sets.select("key"), sets, spark.createDataFrame([(7, 60)], "a long, b long"), 80, 100).isEmpty()
+    found = jaccard.rarest(sets.withColumn("root", F.col("key")), 80, 100).collect()
+    assert len(found) == 62 * 41 and not {x.element for x in found} & set(passage)
+
+
+def test_jaccard_hashes_words_as_they_are_split():
+    """Words over the edges of a block, long ones, and any white space: the hashes tell words apart as splitting does."""
+    for text in ("a A b\x0bB\x1cc \u00a0 \u00e9\u00c9", "x" * 64 + " " + "X" * 65 + " " + "x" * 65, " ".join(f"w{i % 30000}" for i in range(60000)), "y" * (jaccard.BLOCK - 3) + " word word " + "z " * 9, ""):
+        words = text.encode().lower().split()
+        starts, h = jaccard.word_hashes(np.frombuffer(text.encode(), np.uint8))
+        assert len(starts) == len(words) and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+
+
 def test_jaccard_ids_and_long_texts(spark):
     rnd = random.Random(5)
     long = [f"v{rnd.randrange(9000)}" for _ in range(60_000)]

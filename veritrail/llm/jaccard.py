@@ -12,7 +12,9 @@ Work stays in proportion to the documents, though a group of near copies has as
   Most that share one by chance are far from it, which short sketches of the sets show already;
 * what remains are pairs of sharers in different components. Both differ from their hub in a few known elements, and
   two sets differ where just one of them differs from the hub; so the pairs that may link have differences in common,
-  and are found by those (see ``prefixes``). Sets far from their hub take another one in the next round.
+  and are found by those (see ``prefixes``). Sets far from their hub take another one in the next round;
+* what is left then are mostly unlike sets that share a common passage with many: those that link have one of their
+  rarest elements in common, in one order for all, and are found by it (see ``rare_links``).
 
 Rows are plain (signature, set) pairs and joins on keys that Spark can split, so no group is held by a task.
 
@@ -30,8 +32,6 @@ whole, in blocks; an empty table gives an empty result; other columns are not lo
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -43,6 +43,8 @@ from .common import arrow_map, drop, written
 TEXTS, LONG_ROWS = 2000, 200
 #: Most signatures that a set is said to be able to do without.
 SPARE = (1 << 11) - 1
+#: Of how many buckets of elements it is counted how common they are.
+BUCKETS = 1 << 17
 CELLS, PAIRS = 3, ((0, 1), (0, 2), (1, 2))
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -54,20 +56,44 @@ def mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingler(width: int, room: int = 200_000, chars: int = 1 << 19):
-    """A function from texts to their sorted distinct shingle hashes. Words are runs of other than ASCII white space, A-Z lower-cased.
+BLOCK, LONG = 1 << 17, 64
+#: What a byte counts in a word's hash (A-Z as a-z), which bytes are in words, and the powers of an odd number and of its inverse.
+SOLID = ~np.isin(np.arange(256), list(b"\t\n\v\f\r "))
+LETTERS = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * M1, M2)[list(bytes(range(256)).lower())]
+POWERS, INVERSE = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK + LONG, x, np.uint64)])) for x in (int(M1), pow(int(M1), -1, 1 << 64)))
 
-    Some ``chars`` characters of texts are hashed at once.
-    """
 
-    class Kept(dict):
-        def __missing__(self, word):
-            if len(self) >= room:
-                self.clear()
-            h = self[word] = xxhash.xxh3_64_intdigest(word)
-            return h
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word of UTF-8 bytes: runs of other than ASCII white space, A-Z lower-cased.
 
-    kept = Kept()
+    A word's hash is a polynomial of its bytes' letters, taken from running sums over ``BLOCK`` bytes at a time; words of
+    more than ``LONG`` bytes, where polynomials modulo 2^64 get weak, are hashed one by one.
+    """
+    edges = np.flatnonzero(np.diff(SOLID[data], prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    h = np.zeros(len(starts), np.uint64)
+    for first in range(0, len(data), BLOCK):
+        i, j = np.searchsorted(starts, (first, first + BLOCK))
+        letters = LETTERS[data[first : first + BLOCK + LONG]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * POWERS[: len(letters)])])
+        at = starts[i:j] - first
+        h[i:j] = (sums[np.minimum(ends[i:j] - first, len(letters))] - sums[at]) * INVERSE[at]
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return starts, h
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([x[:1] == x[:1], x[1:] != x[:-1]])]
+
+
+def shingler(width: int, chars: int = 1 << 19):
+    """A function from texts to their sorted distinct shingle hashes. Words are runs of other than ASCII white space, A-Z lower-cased.
+
+    Some ``chars`` characters of texts are hashed at once, in time linear in them.
+    """
 
     def rolled(h: np.ndarray, n: int, size: int) -> np.ndarray:
         out = np.full(n, size, np.uint64)
@@ -76,14 +102,14 @@ def shingler(width: int, room: int = 200_000, chars: int = 1 << 19):
         return out
 
     def some(texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        ends = np.cumsum([len(w) for w in words])
-        h = np.fromiter(map(kept.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1])
+        own = [t.encode("utf-8", "surrogatepass") for t in texts]
+        starts, h = word_hashes(np.frombuffer(b"\n".join(own), np.uint8))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in own])).tolist()
         every = rolled(h, max(len(h) - width + 1, 0), width)
         out = []
-        for w, end in zip(words, ends.tolist(), strict=True):
-            n, start = len(w), end - len(w)
-            out.append(np.unique(every[start : end - width + 1]) if n >= width else rolled(h[start:end], min(n, 1), n))
+        for start, end in zip([0, *ends], ends, strict=False):
+            n = end - start
+            out.append(distinct(every[start : end - width + 1]) if n >= width else rolled(h[start:end], min(n, 1), n))
         return out
 
     def shingles(texts: list[str | None]) -> list[np.ndarray]:
@@ -190,8 +216,11 @@ def sets_of(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     return arrow_map(texts, make, f"id {kind}, text_key long, n_shingles long, h long, h2 long")
 
 
-def signed(docs: DataFrame, width: int, num: int, den: int, text_col: str) -> DataFrame:
-    """(signature, h): one row for each signature of each set in a batch."""
+def signed(docs: DataFrame, width: int, num: int, den: int, text_col: str, parity: int) -> DataFrame:
+    """(signature, h): one row for each signature of each set in a batch, in the set's even or odd group of bands.
+
+    Sets share signatures of one group only, and do without spare ones of that group, so either half stands by itself.
+    """
 
     def make():
         shingles, bands = shingler(width), Bands(num, den)
@@ -201,9 +230,9 @@ def signed(docs: DataFrame, width: int, num: int, den: int, text_col: str) -> Da
             for s in shingles(rows["text"]):
                 if len(s):
                     own, band = set_id(s)[0], bands.band(len(s))
-                    for g in (band, band + 1):
-                        if bands.differences(g):  # else linked sets are equal
-                            groups.setdefault(g, {})[own] = s
+                    g = band + (band + parity) % 2
+                    if bands.differences(g):  # else linked sets are equal
+                        groups.setdefault(g, {})[own] = s
             out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for g, own in groups.items():
                 ids, sets = np.array(list(own), np.int64), list(own.values())
@@ -296,12 +325,12 @@ def reaching(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return arrow_map(pairs.join(one, "key").join(two, "hub"), make, "key long, hub long, out boolean")
 
 
-def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: bool) -> DataFrame:
+def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, key, n, far, link, weight, apart) of the pairs (key, hub).
 
     apart: what the set has and the hub hasn't, then what the hub has and the set hasn't, each in order; null for a set so
-    far that it can't link with one near the hub (in the last round, all count as near). ``weight`` is (num + den) *
-    |apart| - (den - num) * n: sets with no common difference to a hub link if their weights add up to 0 or less.
+    far that it can't link with one near the hub. ``weight`` is (num + den) * |apart| - (den - num) * n: sets with no
+    common difference to a hub link if their weights add up to 0 or less.
     """
     both, less = num + den, den - num
 
@@ -312,8 +341,8 @@ def differences(pairs: DataFrame, sets: DataFrame, num: int, den: int, last: boo
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
                 apart = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
                 n = len(x)
-                far = 2 * len(apart) > n and not last
-                reach = last or within_reach(n, len(apart), num, den)
+                far = 2 * len(apart) > n
+                reach = within_reach(n, len(apart), num, den)
                 for name, value in zip(out, (hub, key, n, far, linked(n, len(y), len(apart), num, den), both * len(apart) - less * n, apart if reach else None), strict=True):
                     out[name].append(value)
             return out
@@ -364,22 +393,102 @@ def confirmed(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, ["hub", "a"]).join(two, ["hub", "b"]).where(2 * (num + den) * common >= F.col("wa") + F.col("wb")).select("a", "b")
 
 
-def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = 4) -> DataFrame:
+def spread_of(sets: DataFrame) -> np.ndarray:
+    """How many elements of the sets fall to each of ``BUCKETS`` buckets: about how common they are."""
+
+    def make():
+        def step(rows):
+            n = np.bincount((np.concatenate([np.frombuffer(x, np.uint64) for x in rows["elements"]]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            return {"bucket": np.flatnonzero(n), "n": n[n > 0]}
+
+        return step
+
+    table = written(arrow_map(sets.select("elements"), make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "jaccard-buckets", TEXTS)
+    out = np.zeros(BUCKETS, np.int64)
+    for bucket, n in table.collect():  # a fixed number at most
+        out[bucket] = n
+    drop(table)
+    return out
+
+
+def rarest(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, root, n, place, element) of the elements by which a set is found: its first ones in an order of all elements.
+
+    Those of rare buckets come first; any one order is right. Linked sets have num / den of either in common at least, so
+    the first common element is among the n - ceil(num * n / den) + 1 first of both.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(spread_of(sets))
+
+    def make():
+        def step(rows):
+            out = {name: [] for name in ("key", "root", "n", "place", "element")}
+            for key, root, x in zip(rows["key"], rows["root"], rows["elements"], strict=True):
+                x = np.frombuffer(x, np.uint64)
+                n, first = len(x), len(x) - -(-num * len(x) // den) + 1
+                place = np.lexsort((x, common.value[x % np.uint64(BUCKETS)]))[:first]
+                for name, value in zip(out, (np.full(first, key), np.full(first, root), np.full(first, n), np.arange(first), x[place].view(np.int64)), strict=True):
+                    out[name].append(value)
+            return {name: np.concatenate(value) for name, value in out.items()}
+
+        return step
+
+    return arrow_map(sets.select("key", "root", "elements"), make, "key long, root long, n long, place long, element long")
+
+
+def linking(pairs: DataFrame, sets: DataFrame, num: int, den: int, by: str) -> DataFrame:
+    """(a, b) of the pairs that link by their elements, or may link by their sketches."""
+
+    def apart(x: bytes, y: bytes) -> int:
+        if by == "sketch":
+            return apart_at_least(x, y)
+        x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        return len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+
+    def make():
+        def step(rows):
+            return {"a": rows["a"], "b": rows["b"], "link": [linked(n, m, apart(x, y), num, den) for n, m, x, y in zip(rows["n"], rows["m"], rows["x"], rows["y"], strict=True)]}
+
+        return step
+
+    one, two = sets.select(F.col("key").alias("a"), "n", F.col(by).alias("x")), sets.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col(by).alias("y"))
+    return written(arrow_map(pairs.join(one, "a").join(two, "b"), make, "a long, b long, link boolean").where("link").drop("link"), "jaccard-links", LONG_ROWS)
+
+
+def rare_links(keys: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join the same components as all links between the sets of these keys, beside ``links``.
+
+    Sets of different components meet by one of their rarest elements. A passage that many unlike sets have is seldom
+    among those, and elements that one component alone has pair nobody.
+    """
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    pool = written(sets.join(keys, "key", "left_semi").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "jaccard-pool", TEXTS)
+    every = Window.partitionBy("element")
+    entry = written(rarest(pool, num, den).withColumns({"low": F.min("root").over(every), "high": F.max("root").over(every)}).where("low != high").drop("low", "high"), "jaccard-rarest", LONG_ROWS)
+    other = entry.select("element", *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "n", "place")])
+    # the first common element of a pair that links has as many after it, in both, as must be common
+    enough = (num + den) * F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) >= num * (F.col("n") + F.col("other_n"))
+    met = written(entry.join(other, "element").where((F.col("key") < F.col("other_key")) & (F.col("root") != F.col("other_root")) & enough).select(F.col("key").alias("a"), F.col("other_key").alias("b")).distinct(), "jaccard-met")
+    near = linking(met, pool, num, den, "sketch")
+    more = linking(near, pool, num, den, "elements")
+    drop(roots, pool, entry, met, near)
+    return more
+
+
+def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
     """Links (a, b) that join the same components as all links between sharers (signature, key, size) of a signature.
 
     In each round, each signature has a hub, with which its sharers are compared. Of two sharers of which one is near
     the hub, both are within reach, and their differences to it decide: where their weights allow a link without a
     common difference, both link with the lightest set of that hub; else they meet by a common difference, if they aren't
-    in one component already. Sharers that are both far from the hub meet in the next round; in the last, none counts as far.
+    in one component already. Sharers that are both far from the hub meet in the next round; after the last, by rare elements.
     """
     less = den - num
     found = None
-    for left in range(rounds, 0, -1):
-        last = left == 1
+    for _ in range(rounds):
         dealt = written(hubs_of(entries), "jaccard-hubs")
         pairs = dealt.where("key != hub").select("key", "hub").distinct()
-        looked = None if last else written(reaching(pairs, sets, num, den), "jaccard-reach", TEXTS)
-        rows = written(differences(pairs if last else looked.where("not out").drop("out"), sets, num, den, last), "jaccard-differences", LONG_ROWS)
+        looked = written(reaching(pairs, sets, num, den), "jaccard-reach", TEXTS)
+        rows = written(differences(looked.where("not out").drop("out"), sets, num, den), "jaccard-differences", LONG_ROWS)
         within = rows.where("apart is not null")
 
         # the lightest set of a hub is the hub itself, with no differences, or a lighter one
@@ -398,15 +507,17 @@ def links_of(entries: DataFrame, sets: DataFrame, num: int, den: int, rounds: in
         found = stars.union(more) if found is None else found.union(stars).union(more)
         drop(roots, open_rows, met)
 
-        apart = rows.where("far").select("key", "hub") if last else rows.where("far").select("key", "hub").union(looked.where("out").select("key", "hub"))
+        apart = rows.where("far").select("key", "hub").union(looked.where("out").select("key", "hub"))
         far = dealt.join(apart, ["key", "hub"]).select("signature", "key")
         count = F.count("*").over(Window.partitionBy("signature"))
         entries = written(far.withColumn("size", count).where("size > 1"), "jaccard-far")
-        drop(dealt, rows, *([] if last else [looked]))
-        if last or entries.isEmpty():
+        drop(dealt, rows, looked)
+        if entries.isEmpty():
             drop(entries)
             return found
-    return found
+    left = rare_links(entries.select("key").distinct(), sets, found, num, den)
+    drop(entries)
+    return found.union(left)
 
 
 def needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -435,7 +546,8 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col:
     row = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))
     classes = own.where("n_shingles > 0").groupBy("h", "h2").agg(F.min(row).alias("rep"))
 
-    met = written(shared(signed(docs, width, num, den, text_col)), "jaccard-shared", TEXTS)
+    even, odd = (written(shared(signed(docs, width, num, den, text_col, parity)), "jaccard-shared", TEXTS) for parity in (0, 1))
+    met = even.union(odd)
     sets = written(needed_sets(docs, classes, met.select("h").distinct(), width, id_col, text_col), "jaccard-elements", TEXTS)
     # a row that occurs twice gives its set twice
     names = sets.groupBy("h", "h2").agg(F.min("key").alias("key"))
