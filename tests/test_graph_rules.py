@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from veritrail.operators import graph_rules
+import pytest
+
+from veritrail.operators import graph_rules, package_rules
+from veritrail.plans import packs
 
 SCHEMA = "package_id long, s string, p string, o string"
 UOA = ("u", "type", "UnitOfAssurance")
@@ -42,3 +45,16 @@ def test_no_triples_no_findings(spark):
     for name in ("core", "surrogate", "argument", "management"):
         assert findings(spark, [], name) == []
     assert findings(spark, [(1, None, "type", "UnitOfAssurance"), (1, "x", "referencesIdentifier", None)], "surrogate") == []
+
+
+@pytest.mark.parametrize("name", ["graph_check", "graph_derived", "graph_argument", "graph_management", "graph_surrogate", "graph_core"])
+def test_rules_shuffle_rows_once_and_join_nothing(spark, name):
+    plan = getattr(packs, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "veritrail/" not in plan
+
+
+def test_ends_of_chains_are_found_beside_cycles_and_other_claims(spark):
+    steps = {1: [("c", "x"), ("x", "y"), ("y", "c"), ("y", "z")], 2: [("c", "d"), ("d", "e")], 3: [("c", "x"), ("x", "c")], 4: [("c", "f")], 5: []}
+    rows = [(n, s, "used", o) for n, own in steps.items() for s, o in own] + [(n, "u", "type", "UnitOfAssurance") for n in steps] + [(n, "u", "bindsClaim", c) for n in steps for c in ("c", "e")] + [(4, "f", "isFoundationalEvidence", "true")]
+    found = package_rules.check(spark.createDataFrame(rows, "package_id long, s string, p string, o string"), ("core",)).where("pattern_id = 'W-PROV-01'")
+    assert sorted((r.package_id, r.node) for r in found.collect()) == [(1, "z"), (2, "e")]
