@@ -221,6 +221,17 @@ def test_files_of_bundles_lie_in_small_pieces(spark, tmp_path):
     assert [r.state for r in sinks.verify_bundle(spark, f"{tmp_path}/b").collect()] == ["changed"]
 
 
+def test_compressed_bundles_say_the_same_in_fewer_bytes(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("package_id"), F.when(F.col("id") % 2 == 0, "x").alias("a"), F.when(F.col("id") % 2 == 1, "x").alias("b"))
+    plain = {r.bucket: r for r in sinks.write_bundle(rows, f"{tmp_path}/p", 4, 100).collect()}
+    first = {r.bucket: r for r in sinks.write_bundle(rows, f"{tmp_path}/a", 4, 100, "gzip").collect()}
+    again = {r.bucket: r for r in sinks.write_bundle(rows.orderBy(F.rand(1)).repartition(9), f"{tmp_path}/b", 4, 100, "gzip").collect()}
+    assert first == again and {k: r.lines for k, r in first.items()} == {k: r.lines for k, r in plain.items()} and sum(r.lines for r in first.values()) == 3000
+    assert sum(r.bytes for r in first.values()) * 3 < sum(r.bytes for r in plain.values()) and sinks.verify_bundle(spark, f"{tmp_path}/b").count() == 0
+    next((tmp_path / "b/rows").rglob("part-*.txt.gz")).unlink()
+    assert [r.state for r in sinks.verify_bundle(spark, f"{tmp_path}/b").collect()] == ["changed"]
+
+
 def test_snapshots_leave_out_what_varies(spark):
     findings = [(1, "W-B", "n", None, "/work/x/a.json"), (1, "W-A", "m", "d", "/work/x/b.json")]
     schema = "package_id long, pattern_id string, node string, description string, source string"
@@ -289,3 +300,22 @@ def test_features_are_counted_once_and_whole(spark):
         assert rows[i].size == 3 << 12 and (np.diff(at) > 0).all()
         assert [n[at >> 12 == k].sum() for k in range(3)] == [len(words), max(len(words) - 1, 0), runs]
     assert rows[0] == rows[6] and len(rows[4].indices) == 4
+
+
+def test_findings_are_gone_through_once_and_shuffled_as_rows(spark):
+    from veritrail.plans import catalog
+
+    plan = catalog.QUERIES["check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("l_orderkey#") and sum("FileScan" in x and "lineitem" in x for x in plan.splitlines()) == 3
+    assert sum("Exchange" in x and "pattern_id" in x for x in plan.splitlines()) == 0
+
+
+def test_roll_ups_of_compounds_count_every_package_row(spark):
+    from veritrail.operators import rules
+
+    found = spark.createDataFrame([(1, "W-A", "Critical", "x"), (1, "W-B", "Critical", "x"), (1, "W-C", "High", "y"), (1, "W-C", "High", "x"), (2, "W-C", "High", "y"), (3, "W-A", "Critical", "z")], "package_id long, pattern_id string, severity string, node string")
+    packages = spark.createDataFrame([(1, "High"), (1, "Medium"), (1, "Low"), (2, "High"), (3, "Low")], "package_id long, assurance_level string")
+    key = lambda rows: sorted(map(tuple, rows.select("package_id", "pattern_id", "severity", "hits", "nodes", "first_node", "rank").collect()))
+    got = key(rules.compounded(rules.rollup(found), packages))
+    assert got == key(rules.rollup(found.unionByName(rules.compound(found, packages))))
+    assert (1, "COMPOUND-01", "Critical", 2, 2, "W-A+W-C", 0) in got and (1, "COMPOUND-03", "High", 2, 1, "1", 1) in got and len(got) == 7

@@ -35,34 +35,39 @@ def snapshot(findings: DataFrame, violations: DataFrame, key: str = "package_id"
 LINES = 100_000
 
 
-def write_bundle(rows: DataFrame, path: str, files: int, lines: int = LINES) -> DataFrame:
+def write_bundle(rows: DataFrame, path: str, files: int, lines: int = LINES, compression: str = "none", total: int | None = None) -> DataFrame:
     """Write rows as JSON lines into ``files`` numbered folders and return the manifest that is written beside them.
 
     What is a file to the manifest lies in pieces of about ``lines`` lines, as many as the number of rows asks for, so
     that neither the task that sorts a piece nor the one that digests it grows with the rows. A line's folder and piece
-    follow from its text alone, and lines are sorted within a piece, so equal rows give equal bytes however they are
-    dealt out before. A line is small; pieces are even, whatever key a third of the rows share.
+    follow from its values alone, and lines are sorted within a piece, so equal rows give equal bytes however they are
+    dealt out before; with a ``compression`` (``gzip``) too. Rows are shuffled as they are and become lines afterwards.
+    A line is small; pieces are even, whatever key a third of the rows share. ``total``: how many rows there are, if known.
     """
-    line = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "true"}).alias("value"))
-    pieces = max(1, -(-rows.count() // (files * lines)))
-    place = F.pmod(F.xxhash64("value"), F.lit(files * pieces))
-    dealt = line.select("value", F.floor(place / pieces).cast("int").alias("bucket"), (place % pieces).cast("int").alias("piece"))
-    dealt = dealt.repartition(files * pieces, "bucket", "piece").sortWithinPartitions("bucket", "piece", "value")
-    dealt.write.partitionBy("bucket", "piece").option("maxRecordsPerFile", 0).text(f"{path}/rows")
+    names = sorted(rows.columns)
+    pieces = max(1, -(-(rows.count() if total is None else total) // (files * lines)))
+    place = F.pmod(F.xxhash64(*[F.struct(F.col(c).isNull(), c) for c in names]), F.lit(files * pieces))
+    dealt = rows.select(*names, F.floor(place / pieces).cast("int").alias("_bucket"), (place % pieces).cast("int").alias("_piece")).repartition(files * pieces, "_bucket", "_piece")
+    line = dealt.select(F.to_json(F.struct(*names), {"ignoreNullFields": "true"}).alias("value"), F.col("_bucket").alias("bucket"), F.col("_piece").alias("piece"))
+    line = line.sortWithinPartitions("bucket", "piece", "value")
+    line.write.partitionBy("bucket", "piece").option("maxRecordsPerFile", 0).option("compression", compression).text(f"{path}/rows")
     found = manifest(rows.sparkSession, path)
     found.coalesce(1).sortWithinPartitions("bucket").write.json(f"{path}/manifest")
     return found
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, lines, bytes, sha256) of a bundle's files as they lie there: the digest of the one piece, or that of all pieces' digests in order. A piece is one row here."""
+    """(bucket, lines, bytes, sha256) of a bundle's files as they lie there: the digest of the one piece, or that of all pieces' digests in order. A piece is one row here; the lines of those that are compressed are counted as they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/rows")
     text = F.col("content").cast("string")
-    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    place = lambda name: F.regexp_extract("path", f"{name}=([0-9]+)", 1).cast("int").alias(name)
-    each = files.select(place("bucket"), place("piece"), lines.cast("long").alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    plain = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    place = lambda name, path="path": F.regexp_extract(path, f"{name}=([0-9]+)", 1).cast("int").alias(name)
+    each = files.select(place("bucket"), place("piece"), F.when(F.endswith("path", F.lit(".txt")), plain).otherwise(0).cast("long").alias("lines"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     digests = F.transform(F.sort_array(F.collect_list(F.struct("piece", "sha256"))), lambda x: x["sha256"])
-    whole = each.groupBy("bucket").agg(F.sum("lines").alias("lines"), F.sum("bytes").alias("bytes"), digests.alias("digests"))
+    whole = each.groupBy("bucket").agg(F.sum("lines").alias("plain"), F.sum("bytes").alias("bytes"), digests.alias("digests"))
+    more = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.txt.*").text(f"{path}/rows")
+    more = more.groupBy(place("bucket", "_metadata.file_path")).agg(F.count("*").alias("packed"))
+    whole = whole.join(F.broadcast(more), "bucket", "left").withColumn("lines", F.col("plain") + F.coalesce("packed", F.lit(0)))
     return whole.select("bucket", "lines", "bytes", F.when(F.size("digests") == 1, F.col("digests")[0]).otherwise(F.sha2(F.concat_ws("", "digests"), 256)).alias("sha256"))
 
 
