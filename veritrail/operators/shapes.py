@@ -90,15 +90,19 @@ def quoted(value: str | None) -> str:
     return "CAST(NULL AS STRING)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def violation(path: str, kind: str, requirement: str, actual: str, fix: str, severity: str, profile: str) -> str:
-    """SQL of one violation; ``actual`` and ``profile`` are expressions."""
+#: What a violation says.
+FIELDS = ("path", "constraint_kind", "requirement", "actual", "fix", "severity", "profile")
+
+
+def violation(path: str, kind: str, requirement: str, actual: str, fix: str, severity: str, profile: str, asked: tuple[str, ...] = FIELDS) -> str:
+    """SQL of one violation; ``actual`` and ``profile`` are expressions. What isn't asked for isn't worked out."""
     fields = {"path": quoted(path), "constraint_kind": quoted(kind), "requirement": quoted(requirement), "actual": f"CAST({actual} AS STRING)", "fix": quoted(fix), "severity": quoted(severity), "profile": profile}
-    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")"
+    return "named_struct(" + ", ".join(f"'{n}', {fields[n]}" for n in asked) + ")"
 
 
-def failing(p: Property, profile: str) -> str:
+def failing(p: Property, profile: str, asked: tuple[str, ...] = FIELDS) -> str:
     """SQL of an array of the violations of one property by the node in hand; its objects are worked out once, as ``own``."""
-    make = lambda kind, requirement, actual, fix: violation(p.path, kind, requirement, actual, fix, p.severity, profile)
+    make = lambda kind, requirement, actual, fix: violation(p.path, kind, requirement, actual, fix, p.severity, profile, asked)
     out = []
 
     def count(bad: str, kind: str, requirement: str, actual: str, fix: str) -> None:
@@ -125,9 +129,9 @@ def failing(p: Property, profile: str) -> str:
     return f"transform(array(filter(facts, t -> t.p = {quoted(p.path)})), own -> concat({', '.join(out)}))[0]"
 
 
-def checked(s: Shape) -> str:
+def checked(s: Shape, asked: tuple[str, ...] = FIELDS) -> str:
     """SQL of all violations of a shape, by the profile that the node declares; without one a shape of a profile asks for nothing."""
-    found = lambda profile: "concat(" + ", ".join(failing(p, profile) for p in s.properties) + ")"
+    found = lambda profile: "concat(" + ", ".join(failing(p, profile, asked) for p in s.properties) + ")"
     if not s.profile:
         return found("CAST(NULL AS STRING)")
     allowed = ", ".join(quoted(q) for q in EXTENDS if s.profile in (q, *EXTENDS[q]))
@@ -142,15 +146,15 @@ def violations(triples: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[st
     return violations_of(nodes(triples), shapes, packs)
 
 
-def violations_of(described: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[str, ...] = ("core", "vv40", "disposition")) -> DataFrame:
-    """The same of ``nodes``, in one pass over them: a node's violations are those of each target that it is of."""
+def violations_of(described: DataFrame, shapes: list[Shape] = SHAPES, packs: tuple[str, ...] = ("core", "vv40", "disposition"), fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The same of ``nodes``, in one pass over them: a node's violations are those of each target that it is of; ``fields``: what is asked of a violation."""
     every = []
     active = [s for s in shapes if s.pack in packs]
     for target in dict.fromkeys(s.target for s in active):
         own = [s for s in active if s.target == target]
-        checks = [checked(s) for s in own]
+        checks = [checked(s, fields) for s in own]
         if any(s.profile for s in own):
-            none = violation("conformsToProfile", "or", "one of " + ", ".join(EXTENDS), f"IF(size(declared) = 0, '{MISSING}', array_join(array_sort(declared), ', '))", "declare a profile", "Violation", "CAST(NULL AS STRING)")
+            none = violation("conformsToProfile", "or", "one of " + ", ".join(EXTENDS), f"IF(size(declared) = 0, '{MISSING}', array_join(array_sort(declared), ', '))", "declare a profile", "Violation", "CAST(NULL AS STRING)", fields)
             checks.append(f"filter(array({none}), v -> NOT exists(declared, q -> q IN ({', '.join(map(quoted, EXTENDS))})))")
         every.append(f"IF(exists(facts, t -> t.p = 'type' AND t.o = '{target}'), concat({', '.join(checks)}), array())")
     rows = described.withColumn("declared", F.expr("transform(filter(facts, t -> t.p = 'conformsToProfile'), t -> t.o)"))
@@ -173,12 +177,12 @@ def verdicts(each: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select(KEY, F.col("failed_paths").isNull().alias("conforms"), "has_target", F.coalesce("failed_paths", F.array().cast("array<string>")).alias("failed_paths"))
 
 
-def compared(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(package_id, change, failed_before, failed_after) of two runs: regress, improved, new, gone or same."""
+def compared(before: DataFrame, after: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(package_id, change, failed_before, failed_after) of two runs: regress, improved, new, gone or same; ``more``: columns of the later run beside them."""
     a = before.select(KEY, F.col("conforms").alias("was"), F.col("failed_paths").alias("failed_before"))
-    b = after.select(KEY, F.col("conforms").alias("is"), F.col("failed_paths").alias("failed_after"))
+    b = after.select(KEY, F.col("conforms").alias("is"), F.col("failed_paths").alias("failed_after"), *more)
     change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when(F.col("was") & ~F.col("is"), "regress").when(~F.col("was") & F.col("is"), "improved").otherwise("same")
-    return a.join(b, KEY, "full_outer").select(KEY, change.alias("change"), "failed_before", "failed_after")
+    return a.join(b, KEY, "full_outer").select(KEY, change.alias("change"), "failed_before", "failed_after", *more)
 
 
 def explained(found: DataFrame, definitions: DataFrame) -> DataFrame:
