@@ -319,3 +319,24 @@ def test_roll_ups_of_compounds_count_every_package_row(spark):
     got = key(rules.compounded(rules.rollup(found), packages))
     assert got == key(rules.rollup(found.unionByName(rules.compound(found, packages))))
     assert (1, "COMPOUND-01", "Critical", 2, 2, "W-A+W-C", 0) in got and (1, "COMPOUND-03", "High", 2, 1, "1", 1) in got and len(got) == 7
+
+
+def test_snapshots_and_shape_runs_shuffle_rows_not_what_is_made_of_them(spark):
+    from veritrail.operators import shapes
+    from veritrail.plans import extraction
+
+    plan = extraction.snk_2(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any(word in x for x in dealt for word in ("pattern_id", "focus_node", "facts", " s#"))
+    nodes = spark.createDataFrame([(1, "u", [("type", "UnitOfAssurance", "iri", None), ("conformsToProfile", "ProfileMinimal", "iri", None)])], "package_id long, focus_node string, facts array<struct<p: string, o: string, o_kind: string, o_datatype: string>>")
+    every, paths = shapes.violations_of(nodes), shapes.violations_of(nodes, fields=("path",))
+    assert sorted(r.path for r in every.collect()) == sorted(r.path for r in paths.collect()) and paths.columns == ["package_id", "focus_node", "path"]
+
+
+def test_goals_shuffle_rows_not_triples(spark):
+    from veritrail.plans import goals
+
+    spark.sparkContext.setCheckpointDir("/tmp/veritrail-tests")
+    triples = goals.goal_triples(spark, "/root/testdata/sf0.001")
+    plan = triples.groupBy("package_id", "s").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from veritrail.operators import goals
 from veritrail.session import table
-from veritrail.storage import laid
+from veritrail.storage import dealt
 
 from .evidence import LINE_KEY
+from .packs import buckets
 from .registry import query
 
 #: Taxonomies and claim types, by the remainder of the order's key; kinds of evidence, by that of the part's.
@@ -32,11 +33,13 @@ LINE_FACTS = [("l_linenumber < 5", "'c' || l_suppkey % 2", "hasSupportingEvidenc
 
 
 def goal_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package_id, s, p, o) in buckets of packages: orders and lines are shuffled as they are, and what is joined by package afterwards isn't."""
     triple = lambda when, s, p, o: F.expr(f"CASE WHEN {when} THEN named_struct('s', {s}, 'p', '{p}', 'o', {o}) END")
-    orders = table(spark, sf_dir, "orders").withColumn("package_id", F.col("o_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").withColumn("package_id", F.col("l_orderkey")).withColumn("k", F.expr(LINE_KEY))
-    parts = [rows.select("package_id", F.explode(F.array_compact(F.array(*[triple(*f) for f in facts]))).alias("t")).select("package_id", "t.*") for rows, facts in ((orders, ORDER_FACTS), (lines, LINE_FACTS))]
-    return laid(parts[0].unionByName(parts[1]), "goal-triples", "p").select("package_id", "s", "p", "o")
+    parts = buckets(spark, sf_dir)
+    by_package = lambda name, key: table(spark, sf_dir, name).repartition(parts, key).withColumn("package_id", F.col(key))
+    orders, lines = by_package("orders", "o_orderkey"), by_package("lineitem", "l_orderkey").withColumn("k", F.expr(LINE_KEY))
+    rows = [rows.select("package_id", F.explode(F.array_compact(F.array(*[triple(*f) for f in facts]))).alias("t")).select("package_id", "t.*") for rows, facts in ((orders, ORDER_FACTS), (lines, LINE_FACTS))]
+    return dealt(rows[0].unionByName(rows[1]), "goal_triples", "package_id", parts, ["package_id", "s"], lying=True)
 
 
 OOS = f"""WITH claims AS (SELECT o_orderkey AS package_id, 'c0' AS claim, {case("o_custkey % 4", CLAIMS)} AS kind, {case("o_orderkey % 6", TAXONOMIES, "oos/")} AS taxonomy, true AS bound FROM orders
